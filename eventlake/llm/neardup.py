@@ -2,19 +2,19 @@
 
 Every document becomes the set of its distinct five-word shingles; equal sets form one class, and only one row per class
 goes on. Each class posts its name under every (coordinate, value) pair of its signature. A pair of classes that agrees
-on at least MATCH of the K coordinates is a candidate:
+on at least m of the K coordinates is a candidate:
 
-* a class that shares fewer than MATCH of its postings with anyone is skipped: it can't reach the threshold;
-* of the rest, each class keeps only its rarest postings, K - MATCH + 1 counted over all its coordinates (prefix): two
-  classes that agree on MATCH coordinates must meet in both prefixes;
+* a class that shares fewer than m of its postings with anyone is skipped: it can't reach the threshold;
+* of the rest, each class keeps only its rarest postings, K - m + 1 counted over all its coordinates (prefix): two
+  classes that agree on m coordinates must meet in both prefixes;
 * lists of up to SMALL_LIST classes give all their pairs, longer ones give each member with the list's hub, the member
   whose postings are the most common;
-* candidates are counted on a longer signature (WIDE coordinates, WIDE_MATCH of them must agree), and those left are
+* candidates are counted on a longer signature (WIDE coordinates), and those left are
   confirmed on the full shingle sets.
 
 What longer lists hold besides the pairs with their hub is compared in blocks of BLOCK classes for each hub, on the full
-sets, in tasks that give back only links that join two components. A pair at the threshold of 0.85 fails MATCH of K with
-probability 1e-8 and WIDE_MATCH of WIDE with 2e-9, one above it with less; nothing else is lost, no list is cut short.
+sets, in tasks that give back only links that join two components. Both counts are set so that a pair at the threshold
+fails with a probability of MISS at most, one above it with less; nothing else is lost, no list is cut short.
 
 Null, empty and blank texts have an empty set and link with nothing. Shorter texts are one shingle. Repeated rows are
 one class. Null doc_ids take part in links, and never name a component. Empty tables give an empty result; further
@@ -24,6 +24,7 @@ columns are not read. Classes are named by a 64-bit hash of the set: of n classe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,21 @@ from eventlake.llm import shingles as S
 from eventlake.operators.graph import connected_components
 from eventlake.plans.stage import keep
 
-K, MATCH = 32, 14
-WIDE, WIDE_MATCH = 128, 83
+K, WIDE = 32, 128
+#: With at most this probability a pair at the threshold has fewer agreeing coordinates than are asked for.
+MISS = 2e-8
 SMALL_LIST = 48
 BLOCK = 256
-#: Shingle hashes that one task holds for a block of texts while it compares them.
-BLOCK_SHINGLES = 2_000_000
+
+
+def needed(coordinates: int, percent: int) -> int:
+    """The largest count that a pair at the threshold misses with a probability of MISS at most."""
+    p, below = percent / 100, 0.0
+    for t in range(coordinates):
+        below += comb(coordinates, t) * p**t * (1 - p) ** (coordinates - t)
+        if below > MISS:
+            return max(1, t)
+    return coordinates
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +145,8 @@ def _block_links(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs. Links need 100 * intersection >= percent * union."""
     if percent < 80:
-        raise ValueError("MATCH and WIDE_MATCH are set for thresholds of 80 percent or more")
+        raise ValueError("signatures of this length serve thresholds of 80 percent or more")
+    match, wide_match = needed(K, percent), needed(WIDE, percent)
     signed = keep(sign(docs), "minhash")
     full = signed.where("n > 0")
     classes = full.groupBy("node", "node2", "n").agg(F.min("doc_id").alias("first_id"))
@@ -143,8 +154,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     posts = reps.select("node", F.posexplode("sig").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("post"))
     shared = posts.groupBy("post").agg(F.count("*").alias("c")).where("c > 1")
-    met = posts.join(shared, "post").groupBy("node").agg(F.count("*").alias("m"), F.sum("c").alias("weight"), F.sort_array(F.collect_list(F.struct("c", "post"))).alias("by")).where(F.col("m") >= MATCH)
-    prefix = met.select("node", "weight", F.explode(F.slice("by", F.lit(1), (F.col("m") - (MATCH - 1)).cast("int"))).alias("x")).select("node", "weight", F.col("x.post").alias("post"))
+    met = posts.join(shared, "post").groupBy("node").agg(F.count("*").alias("m"), F.sum("c").alias("weight"), F.sort_array(F.collect_list(F.struct("c", "post"))).alias("by")).where(F.col("m") >= match)
+    prefix = met.select("node", "weight", F.explode(F.slice("by", F.lit(1), (F.col("m") - (match - 1)).cast("int"))).alias("x")).select("node", "weight", F.col("x.post").alias("post"))
     prefix = keep(prefix, "prefix")
     lists = keep(prefix.groupBy("post").agg(F.count("*").alias("c"), F.max_by("node", F.struct("weight", "node")).alias("hub")).where("c > 1"), "lists")
 
@@ -156,7 +167,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     agree = F.pandas_udf(_agree, "int")
     wides = reps.select("node", "wide")
-    near = near.join(wides.toDF("a", "wa"), "a").join(wides.toDF("b", "wb"), "b").where(agree("wa", "wb") >= WIDE_MATCH).select("a", "b")
+    near = near.join(wides.toDF("a", "wa"), "a").join(wides.toDF("b", "wb"), "b").where(agree("wa", "wb") >= wide_match).select("a", "b")
     near = keep(near, "near")
     texts = _texts(docs, near.select("a").union(near.select("b")).union(stars.select("node")).distinct(), reps)
     with_text = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
@@ -191,12 +202,16 @@ def _texts(docs: DataFrame, nodes: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the rows whose component has a row of smaller doc_id; of rows with equal doc_id and text one stays."""
+    """docs without the rows whose component has a row of smaller doc_id; of rows with equal doc_id one stays.
+
+    Rows without a doc_id can't be told apart by it: all of them stay.
+    """
+    nameless, docs = docs.where("doc_id is null"), docs.where("doc_id is not null")
     found = near_duplicates(docs, percent).where("kept").select("doc_id").distinct()
     one = docs.join(found, "doc_id", "left_semi")
     twice = one.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     if not twice.limit(1).count():
-        return one
+        return one.select(*docs.columns).union(nameless)
     single = one.join(twice, "doc_id", "left_anti")
     again = one.join(twice, "doc_id").withColumn("row", F.row_number().over(W.partitionBy("doc_id").orderBy(*(F.col(c).asc_nulls_last() for c in docs.columns if c != "doc_id"))))
-    return single.union(again.where("row = 1").select(*docs.columns))
+    return single.select(*docs.columns).union(again.where("row = 1").select(*docs.columns)).union(nameless)

@@ -125,9 +125,19 @@ MASK = "[secret]"
 
 
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of every row, with strong credentials in the text replaced by MASK; null texts stay null."""
-    body, out = F.col(text), F.col(text)
-    assign = ASSIGN.replace("[A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]{6,})")
-    for pattern in (assign, r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"):
-        out = F.regexp_replace(out, pattern, MASK)
-    return docs.withColumn(text, F.when(body.rlike(ANY), out).otherwise(body))
+    """All columns of every row, with each reported span of the text replaced by MASK; overlapping spans become one.
+
+    Null texts stay null. Rows without a hit are passed on as they are; only rows with one are joined to their spans.
+    """
+    scanned = keep(scan(docs.where(F.col(text).rlike(ANY)), text, ()), "secret-scan")
+    order = W.partitionBy("secret_key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    merged = spans(scanned).withColumn("past", F.coalesce(F.max("end").over(order), F.lit(0))).where(F.col("end") > F.col("past"))
+    each = merged.groupBy("secret_key").agg(F.sort_array(F.collect_list(F.struct(F.greatest("start", "past").alias("start"), "end"))).alias("secret_spans"))
+    hit = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
+    dirty = docs.where(hit).withColumn("secret_key", F.md5(text)).join(each, "secret_key", "left")
+    at, body = F.col("secret_spans"), F.col(text)
+    # what stands before each span, each followed by the mask, then the rest
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(at, lambda x: x["end"]))
+    before = F.zip_with(at, F.slice(ends, 1, F.size(at)), lambda x, e: F.concat(F.substring(body, (e + 1).cast("int"), (x["start"] - e).cast("int")), F.lit(MASK)))
+    masked = F.concat(F.array_join(before, ""), F.substring(body, (F.element_at(ends, -1) + 1).cast("int"), F.length(body)))
+    return docs.where(~hit).union(dirty.withColumn(text, F.when(at.isNull(), body).otherwise(masked)).select(*docs.columns))
