@@ -1,9 +1,486 @@
-"""The library's own registered queries."""
+"""The library's own registered queries, each with its SQL equivalent where SQL can express it.
+
+The driver's tables stand in for the event model: orders are events, their lines are items from suppliers as sources,
+the events table holds clicks, documents hold titles and texts, pages hold raw HTML.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from eventlake.functions import scores, text
+from eventlake.operators import behavior, events, extract, similar
+from eventlake.plans.stage import keep
+from eventlake.sources import scans
+from eventlake.streaming import jobs
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):  # noqa: ANN001, ANN202
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- events of the model ---------------------------------------------------------------------------------------------
+
+_EVENTS = """
+WITH ev AS (
+  SELECT o_orderkey AS event_id, o_orderdate AS published, CAST(floor(o_totalprice) AS BIGINT) % 101 AS importance, o_orderpriority AS category, o_custkey AS source, o_orderstatus = 'F' AS evergreen,
+         count(*) AS items, count(DISTINCT l_suppkey) AS n_sources, max(CAST(l_quantity AS BIGINT)) AS signal
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
+), lim AS (SELECT max(o_orderdate) AS now FROM orders), hot AS (
+  SELECT *, least(100.0, round_even(round(0.45 * importance + 35 * pow(2.0, -greatest(0.0, (epoch_us(now) - epoch_us(published)) / 3.6e9) / 48.0) + least(10.0, 0.1 * least(100.0, round_even(ln(1.0 + signal) / ln(1001.0) * 100, 0))) + least(10.0, 4.0 * (n_sources - 1)), 6), 0)) AS heat FROM ev, lim
+)
+"""
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("items"), F.count_distinct("l_suppkey").alias("n_sources"), F.max(F.col("l_quantity").cast("long")).alias("signal"))
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("published"), (F.floor("o_totalprice") % 101).alias("importance"), F.col("o_orderpriority").alias("category"), F.col("o_custkey").alias("source"), (F.col("o_orderstatus") == "F").alias("evergreen"))
+    now = _t(spark, d, "orders").agg(F.max("o_orderdate").alias("now"))
+    both = o.join(lines, o["event_id"] == lines["l_orderkey"]).drop("l_orderkey").join(F.broadcast(now))  # one row
+    return events.with_heat(both, F.col("now"))
+
+
+@query(_EVENTS + "SELECT event_id, heat, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY heat DESC, importance DESC, published DESC, event_id) AS r FROM hot WHERE published BETWEEN now - INTERVAL 7 DAY AND now) WHERE r <= 2 ORDER BY heat DESC, importance DESC, published DESC, event_id LIMIT 9")
+def hot_top9(spark: SparkSession, d: str) -> DataFrame:
+    recent = _events(spark, d).where(events.recent(F.col("published"), F.col("now"), 7))
+    return events.hot_top(recent, 9).select("event_id", "heat", "source")
+
+
+@query(_EVENTS + "SELECT event_id, heat FROM hot")
+def event_heat(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).select("event_id", "heat")
+
+
+@query("SELECT o_orderkey, round_even(pow(2.0, -greatest(0.0, (epoch_us(TIMESTAMP '1998-01-01') - epoch_us(o_orderdate)) / 3.6e9) / 48.0), 6) AS freshness FROM orders")
+def freshness_half_life(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").select("o_orderkey", F.bround(scores.freshness(F.col("o_orderdate"), F.lit("1998-01-01").cast("timestamp_ntz")), 6).alias("freshness"))
+
+
+@query("SELECT l_orderkey, l_linenumber, least(100.0, round_even(ln(1.0 + l_quantity) / ln(1001.0) * 100, 0)) AS score FROM lineitem")
+def community_score(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scores.community_score(F.col("l_quantity")).alias("score"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r <= CASE WHEN o_custkey = 1 THEN 2 ELSE 5 END")
+def source_capped_feed(spark: SparkSession, d: str) -> DataFrame:
+    return events.cap_per_key(_t(spark, d, "orders"), "o_custkey", [F.desc("o_orderdate"), F.asc("o_orderkey")], 5, {1: 2}).select("o_orderkey", "o_custkey")
+
+
+@query(_EVENTS + "SELECT event_id, CASE WHEN evergreen THEN 'pinned' WHEN importance >= 80 THEN 'importance' WHEN importance >= 75 AND n_sources >= 2 THEN 'multi_source' END AS reason FROM ev")
+def push_recommended(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).select("event_id", events.push_reason(F.col("evergreen"), F.col("importance"), F.col("n_sources")).alias("reason"))
+
+
+@query(_EVENTS + "SELECT event_id FROM hot WHERE evergreen OR importance >= 70 OR heat >= 65 OR items >= 6")
+def quality_gate(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).where(F.col("evergreen") | (F.col("importance") >= 70) | (F.col("heat") >= 65) | (F.col("items") >= 6)).select("event_id")
+
+
+@query(_EVENTS + "SELECT event_id, CASE WHEN importance < 30 THEN 'importance' WHEN items < 2 THEN 'items' WHEN category IS NULL THEN 'category' END AS reason FROM ev")
+def list_eligible_reasons(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    return e.select("event_id", events.first_reason(("importance", e["importance"] < 30), ("items", e["items"] < 2), ("category", e["category"].isNull())).alias("reason"))
+
+
+@query(_EVENTS + "SELECT event_id FROM ev, lim WHERE evergreen OR greatest(published, (SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = event_id)) > now - INTERVAL 8 DAY")
+def retention(spark: SparkSession, d: str) -> DataFrame:
+    ship = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.max("l_shipdate").alias("ship"))
+    return _events(spark, d).join(ship, "event_id").where(F.col("evergreen") | (scores.recency_time(F.col("published"), F.col("ship")) > F.col("now") - F.expr("INTERVAL 8 DAYS"))).select("event_id")
+
+
+@query(_EVENTS + "SELECT event_id, heat FROM hot WHERE category = '1-URGENT' ORDER BY heat DESC, event_id LIMIT 40 OFFSET 20")
+def search_page(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).where(F.col("category") == "1-URGENT").orderBy(F.desc("heat"), "event_id").offset(20).limit(40).select("event_id", "heat")
+
+
+@query("""WITH it AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_suppkey, l_extendedprice, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+SELECT l_orderkey AS event_id, min(l_shipdate) AS published, max(q) AS signal, sum(q) AS stacked, max_by(l_linenumber, (l_extendedprice, -l_linenumber)) AS longest,
+  array_to_string((SELECT list(s ORDER BY f, s) FROM (SELECT s, f FROM (SELECT l_suppkey AS s, min(l_linenumber) AS f FROM it i WHERE i.l_orderkey = o.l_orderkey GROUP BY l_suppkey) ORDER BY f, s LIMIT 5)), ',') AS sources FROM it o GROUP BY l_orderkey""")
+def merge_event_items(spark: SparkSession, d: str) -> DataFrame:
+    it = _t(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("long"))
+    names = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"].cast("string"))
+    return it.groupBy(F.col("l_orderkey").alias("event_id")).agg(F.min("l_shipdate").alias("published"), F.max("q").alias("signal"), F.sum("q").alias("stacked"), F.max_by("l_linenumber", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("longest"), F.array_join(F.slice(F.array_distinct(names), 1, 5), ",").alias("sources"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_shipdate, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 100 WHEN 'BUILDING' THEN 80 WHEN 'FURNITURE' THEN 45 WHEN 'HOUSEHOLD' THEN 40 WHEN 'MACHINERY' THEN 25 ELSE 30 END + least(20, CAST(l_quantity AS BIGINT) // 10) AS score
+ FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = l_suppkey)
+SELECT l_orderkey AS event_id, max_by(l_linenumber, (score, l_shipdate, l_linenumber)) AS primary_item, max(score)::BIGINT AS score FROM s GROUP BY l_orderkey""")
+def primary_source(spark: SparkSession, d: str) -> DataFrame:
+    li, c = _t(spark, d, "lineitem"), _t(spark, d, "customer")
+    s = li.join(_t(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("c_custkey") == F.col("l_suppkey"), "left")
+    scored = s.select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("item"), F.col("l_shipdate").alias("published"), (scores.tier_score(F.col("c_mktsegment")) + F.least(F.lit(20), F.floor(F.col("l_quantity").cast("long") / 10))).cast("long").alias("score"))
+    return events.primary_item(scored)
+
+
+@query("SELECT l_orderkey AS event_id, l_suppkey AS source, count(*) AS reports FROM lineitem WHERE l_linenumber > 1 GROUP BY ALL")
+def group_supplements(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "lineitem").where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("source")).agg(F.count("*").alias("reports"))
+
+
+_SUP = "orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey"
+
+
+def _supplied(spark: SparkSession, d: str) -> DataFrame:
+    o, li, s, n, r = (_t(spark, d, x) for x in ("orders", "lineitem", "supplier", "nation", "region"))
+    return o.join(li, o["o_orderkey"] == li["l_orderkey"]).join(s, s["s_suppkey"] == li["l_suppkey"]).join(n, n["n_nationkey"] == s["s_nationkey"]).join(r, r["r_regionkey"] == n["n_regionkey"])
+
+
+@query(f"SELECT n_name AS topic, count(DISTINCT o_orderkey) AS total, count(DISTINCT CASE WHEN o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY THEN o_orderkey END) AS recent, count(DISTINCT s_suppkey) AS vendors FROM {_SUP} GROUP BY n_name")
+def topic_counts(spark: SparkSession, d: str) -> DataFrame:
+    now = _t(spark, d, "orders").agg(F.max("o_orderdate").alias("now"))
+    s = _supplied(spark, d).join(F.broadcast(now))  # one row
+    # one row per topic, event and supplier first: the distinct counts then see few rows
+    one = s.groupBy("n_name", "o_orderkey", "s_suppkey").agg(F.first("o_orderdate").alias("o_orderdate"), F.first("now").alias("now"))
+    return one.groupBy(F.col("n_name").alias("topic")).agg(F.count_distinct("o_orderkey").alias("total"), F.count_distinct(F.when(F.col("o_orderdate") > F.col("now") - F.expr("INTERVAL 7 DAYS"), F.col("o_orderkey"))).alias("recent"), F.count_distinct("s_suppkey").alias("vendors"))
+
+
+@query(f"SELECT r_name AS parent, n_name AS topic, count(*) AS items FROM {_SUP} GROUP BY ROLLUP (r_name, n_name)")
+def topic_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return _supplied(spark, d).rollup(F.col("r_name").alias("parent"), F.col("n_name").alias("topic")).agg(F.count("*").alias("items"))
+
+
+@query(f"SELECT s_name AS vendor, count(*) AS n FROM {_SUP} WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY GROUP BY s_name ORDER BY n DESC, vendor LIMIT 8")
+def vendor_heat(spark: SparkSession, d: str) -> DataFrame:
+    now = _t(spark, d, "orders").agg(F.max("o_orderdate").alias("now"))
+    return _supplied(spark, d).join(F.broadcast(now)).where(F.col("o_orderdate") > F.col("now") - F.expr("INTERVAL 30 DAYS")).groupBy(F.col("s_name").alias("vendor")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "vendor").limit(8)
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN c.o_orderkey IS NULL THEN 'lost' WHEN b.o_orderkey IS NULL THEN 'new' ELSE 'kept' END AS change FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 0) b FULL JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 1) c USING (o_orderkey)")
+def catalog_diff(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    return events.catalog_diff(o.where("id % 10 <> 0"), o.where("id % 10 <> 1"), "id")
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0), c AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 1)
+SELECT (SELECT count(*) FROM b) AS base, (SELECT count(*) FROM c) AS candidate, count(*) FILTER (WHERE c.o_orderkey IS NULL) AS lost, count(*) FILTER (WHERE c.o_orderkey IS NULL AND o_orderstatus = 'F') AS lost_protected FROM b LEFT JOIN c USING (o_orderkey)""")
+def release_guard(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    b, c = o.where("o_orderkey % 10 <> 0").select("o_orderkey", "o_orderstatus", F.lit(1).alias("b")), o.where("o_orderkey % 10 <> 1").select("o_orderkey", F.lit(1).alias("c"))
+    gone = F.col("b").isNotNull() & F.col("c").isNull()
+    return b.join(c, "o_orderkey", "full_outer").agg(F.count("b").alias("base"), F.count("c").alias("candidate"), F.count_if(gone).alias("lost"), F.count_if(gone & (F.col("o_orderstatus") == "F")).alias("lost_protected"))
+
+
+@query("SELECT o_orderpriority AS source, date_trunc('month', o_orderdate) AS run, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS accepted, round_even(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 4) AS rate FROM orders GROUP BY ALL")
+def source_scorecard(spark: SparkSession, d: str) -> DataFrame:
+    ok = F.count_if(F.col("o_orderstatus") == "F")
+    return _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("run")).agg(F.count("*").alias("total"), ok.alias("accepted"), scores.safe_ratio(ok, F.count("*")).alias("rate"))
+
+
+@query("""WITH m AS (SELECT o_custkey AS source, date_trunc('month', o_orderdate) AS run, count(*) FILTER (WHERE o_orderstatus = 'F') AS ok FROM orders GROUP BY ALL)
+SELECT source, count(*) FILTER (WHERE ok = 0 AND run > coalesce(last, TIMESTAMP '1900-01-01')) AS streak FROM m LEFT JOIN (SELECT source, max(run) AS last FROM m WHERE ok > 0 GROUP BY source) USING (source) GROUP BY source""")
+def zero_streaks(spark: SparkSession, d: str) -> DataFrame:
+    m = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("source"), F.date_trunc("month", "o_orderdate").alias("run")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("ok"))
+    return events.streaks(m, "source", "run", F.col("ok") == 0, F.lit(False))
+
+
+@query("SELECT event_id, user_id, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS spent, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 2000 AS admitted FROM (SELECT *, CAST(floor(value) AS BIGINT) AS n FROM events)")
+def budget_admit(spark: SparkSession, d: str) -> DataFrame:
+    q = _t(spark, d, "events").withColumn("n", F.floor("value"))
+    return events.admit_prefix(q, [F.col("ts"), F.col("event_id")], "n", 2000, "user_id").select("event_id", "user_id", "spent", "admitted")
+
+
+@query()
+def budget_skip(spark: SparkSession, d: str) -> DataFrame:
+    q = _t(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.floor("value").alias("cost"))
+    return events.admit_skipping(q, "cost", 2000, "user_id", "user_id long, event_id long, at long, cost long, admitted boolean")
+
+
+@query("SELECT event_id FROM (SELECT event_id, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS r FROM events) WHERE r <= 5")
+def budget_unique(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").withColumn("r", F.dense_rank().over(W.partitionBy("event_type").orderBy("user_id"))).where("r <= 5").select("event_id")
+
+
+@query("SELECT event_type AS purpose, CAST(ts AS DATE) AS day, count(*) AS calls, round(sum(value), 2) AS tokens FROM events GROUP BY GROUPING SETS ((event_type), (day), ())")
+def usage_rollup(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").select(F.col("event_type").alias("purpose"), F.to_date("ts").alias("day"), "value")
+    return e.groupingSets([[F.col("purpose")], [F.col("day")], []], F.col("purpose"), F.col("day")).agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("tokens"))
+
+
+@query("""WITH w AS (SELECT o_custkey % 20 AS tag, CAST(o_orderdate AS DATE) AS day FROM orders), m AS (SELECT max(day) AS now FROM w)
+SELECT tag, count(*) FILTER (WHERE day > now - 7) AS this_week, round_even(count(*) FILTER (WHERE day <= now - 7 AND day > now - 35) / 4.0, 4) AS baseline,
+ CASE WHEN count(*) FILTER (WHERE day > now - 7) = 0 THEN CASE WHEN count(*) FILTER (WHERE day <= now - 7 AND day > now - 35) > 0 THEN 'cooling' ELSE 'unknown' END WHEN count(*) FILTER (WHERE day <= now - 7 AND day > now - 35) = 0 THEN 'new' WHEN count(*) FILTER (WHERE day > now - 7) * 4.0 > 1.5 * count(*) FILTER (WHERE day <= now - 7 AND day > now - 35) THEN 'strengthening' ELSE 'continuing' END AS change FROM w, m GROUP BY tag""")
+def baseline_trend(spark: SparkSession, d: str) -> DataFrame:
+    w = _t(spark, d, "orders").select((F.col("o_custkey") % 20).alias("tag"), F.to_date("o_orderdate").alias("day"))
+    w = w.join(F.broadcast(w.agg(F.max("day").alias("now"))))  # one row
+    this = F.count_if(F.col("day") > F.date_sub("now", 7))
+    past = F.count_if((F.col("day") <= F.date_sub("now", 7)) & (F.col("day") > F.date_sub("now", 35)))
+    change = F.when(F.col("this_week") == 0, F.when(F.col("past") > 0, "cooling").otherwise("unknown")).when(F.col("past") == 0, "new").when(F.col("this_week") * 4.0 > 1.5 * F.col("past"), "strengthening").otherwise("continuing")
+    return w.groupBy("tag").agg(this.alias("this_week"), past.alias("past")).select("tag", "this_week", F.bround(F.col("past") / 4.0, 4).alias("baseline"), change.alias("change"))
+
+
+@query("""SELECT event_id, week_id FROM (SELECT o_orderkey AS event_id, strftime(o_orderdate + INTERVAL 8 HOUR, '%G-W%V') AS week_id, row_number() OVER (PARTITION BY strftime(o_orderdate + INTERVAL 8 HOUR, '%G-W%V') ORDER BY CAST(floor(o_totalprice) AS BIGINT) % 101 DESC, o_orderkey) AS r FROM orders WHERE CAST(floor(o_totalprice) AS BIGINT) % 101 >= 45) WHERE r <= 60""")
+def weekly_evidence(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), scores.week_id(F.col("o_orderdate")).alias("week_id"), (F.floor("o_totalprice") % 101).alias("importance")).where("importance >= 45")
+    return events.cap_per_key(e, "week_id", [F.desc("importance"), F.asc("event_id")], 60).select("event_id", "week_id")
+
+
+@query(f"SELECT o_orderkey AS claim, count(*) AS evidence, count(DISTINCT n_name) AS families, CASE WHEN count(DISTINCT n_name) < 2 THEN 'single_family' WHEN count(*) < 3 THEN 'few_rows' END AS error FROM {_SUP} GROUP BY o_orderkey")
+def claim_validation(spark: SparkSession, d: str) -> DataFrame:
+    g = _supplied(spark, d).groupBy(F.col("o_orderkey").alias("claim")).agg(F.count("*").alias("evidence"), F.count_distinct("n_name").alias("families"))
+    return g.withColumn("error", events.first_reason(("single_family", F.col("families") < 2), ("few_rows", F.col("evidence") < 3)))
+
+
+@query()
+def diverse_timeline(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    return events.diverse_timeline(e.select("event_id", F.to_date("published").alias("day"), "source", (F.col("source") % 7).alias("vendor"), "category", (F.col("importance") >= 70).alias("quality"), "heat"))
+
+
+# --- texts, URLs, pages ----------------------------------------------------------------------------------------------
+
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+_PATH = r"regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#;]*)', 1), '/+$', '')"
+_KEPT = r"array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '=.') AND NOT regexp_matches(lower(x), '^(utm_|ref|fbclid|gclid)')), '&')"
+_NORM = rf"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || {_HOST} || {_PATH} || CASE WHEN {_KEPT} <> '' THEN '?' || {_KEPT} ELSE '' END"
+
+
+@query(f"SELECT page_id, {_NORM} AS norm, substr(md5({_NORM}), 1, 12) AS id FROM pages QUALIFY row_number() OVER (PARTITION BY {_NORM} ORDER BY page_id) = 1")
+def norm_url_dedup(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "pages").select("page_id", text.norm_url(F.col("url")).alias("norm"))
+    return p.groupBy("norm").agg(F.min("page_id").alias("page_id")).select("page_id", "norm", text.stable_id(F.col("norm")).alias("id"))
+
+
+@query(f"SELECT array_to_string(string_split({_HOST}, '.')[-2:], '.') AS site, count(*) AS pages FROM pages GROUP BY 1")
+def site_key_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").groupBy(text.site_key(text.url_host(F.col("url"))).alias("site")).agg(F.count("*").alias("pages"))
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '^(?i:https?)://[^/?#@\\]+(?:[/?#]|$)') AND NOT contains(url, '\') THEN url ELSE '' END AS safe FROM pages")
+def url_parts_safe(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", text.safe_url(F.col("url")).alias("safe"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?is)<h1[^>]*>([^<]*)', 1)) AS title FROM pages")
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", "(?is)<h1[^>]*>([^<]*)", 1)).alias("title"))
+
+
+@query(r"""SELECT page_id, href FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS r FROM (SELECT page_id, href, min(pos) AS pos FROM (SELECT page_id, unnest(x) AS href, generate_subscripts(x, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"'']+)["'']', 1) AS x FROM pages)) GROUP BY ALL)) WHERE r <= 20""")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_link_list(_t(spark, d, "pages")).select("page_id", "href")
+
+
+@query(r"""SELECT DISTINCT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"'']+)["'']', 1)) AS href FROM pages) WHERE href NOT IN (SELECT url FROM pages)""")
+def link_integrity(spark: SparkSession, d: str) -> DataFrame:
+    p = _t(spark, d, "pages")
+    hrefs = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href=["']([^"']+)["']"""), F.lit(1))).alias("href")).distinct()
+    return hrefs.join(p.select(F.col("url").alias("href")), "href", "left_anti").select("page_id", "href")
+
+
+@query()
+def page_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return extract.page_blocks(_t(spark, d, "pages"))
+
+
+@query()
+def page_body(spark: SparkSession, d: str) -> DataFrame:
+    return extract.body_blocks(extract.page_blocks(_t(spark, d, "pages")))
+
+
+@query()
+def body_quality(spark: SparkSession, d: str) -> DataFrame:
+    return extract.body_quality(extract.body_blocks(extract.page_blocks(_t(spark, d, "pages"))))
+
+
+@query("SELECT conv_id, turn, substr(text, 1, 1000 - before) AS text FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM conversations) WHERE before < 1000")
+def char_limit(spark: SparkSession, d: str) -> DataFrame:
+    return extract.limit_chars(_t(spark, d, "conversations").select("conv_id", "turn", "text"), 1000, "conv_id", "turn")
+
+
+@query("SELECT conv_id, min(turn) AS cut FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations) WHERE before >= 400 AND role = 'user' GROUP BY conv_id")
+def tail_boundary(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "conversations").withColumn("before", extract.before_chars("text", "conv_id", "turn")).where("before >= 400 and role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("cut"))
+
+
+_COUNT = "len(regexp_extract_all(text, '{}'))"
+
+
+@query(f"SELECT doc_id, CASE WHEN kana > 0 OR hangul > 0 THEN 'other' WHEN han = 0 THEN CASE WHEN latin > 0 THEN 'other' ELSE 'unknown' END WHEN han * 2 >= latin THEN 'zh' ELSE 'other' END AS script FROM (SELECT doc_id, {_COUNT.format('[㐀-鿿]')} AS han, {_COUNT.format('[぀-ヿ]')} AS kana, {_COUNT.format('[가-힣]')} AS hangul, {_COUNT.format('[A-Za-z]')} AS latin FROM documents)")
+def detect_script(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", text.detect_script(F.col("text")).alias("script"))
+
+
+@query(r"SELECT min(doc_id) AS doc_id, count(*) AS copies, sha256(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS hash FROM documents GROUP BY hash")
+def content_hash_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").groupBy(F.sha2(text.clean_text(F.col("text")), 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+_GRAMS = r"""WITH t AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 80)), '[^\p{L}\p{N}_]+', '', 'g') AS t FROM documents),
+g AS (SELECT DISTINCT doc_id, substr(t, i, 2) AS gram FROM (SELECT doc_id, t, unnest(generate_series(1, greatest(1, length(t) - 1))) AS i FROM t WHERE t <> ''))"""
+
+
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), text.title_bigrams(F.left("text", F.lit(80))).alias("grams"))
+
+
+@query(_GRAMS + "SELECT gram, count(*) AS df FROM g GROUP BY gram")
+def title_bigram_df(spark: SparkSession, d: str) -> DataFrame:
+    return _titles(spark, d).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+
+_PAIRS = _GRAMS + ", n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / (min(u.n) + min(v.n) - count(*)) AS similarity FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id JOIN n u ON u.doc_id = x.doc_id JOIN n v ON v.doc_id = y.doc_id GROUP BY 1, 2 HAVING count(*) / (min(u.n) + min(v.n) - count(*)) > 0.6)"
+
+
+@query(_PAIRS + "SELECT a, b, round(similarity, 6) AS similarity FROM p")
+def similar_title_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similar_pairs(_titles(spark, d), 0.6).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_PAIRS.replace("WITH t", "WITH RECURSIVE t") + ", e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT doc_id AS id, least(doc_id, coalesce(m, doc_id)) AS group_id FROM documents LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = doc_id")
+def same_event_components(spark: SparkSession, d: str) -> DataFrame:
+    titles = keep(_titles(spark, d), "titles")
+    return similar.resolve(titles, similar.similar_pairs(titles, 0.6))
+
+
+@query(_PAIRS + "SELECT id, other, place FROM (SELECT s.a AS id, s.b AS other, row_number() OVER (PARTITION BY s.a ORDER BY similarity DESC, s.b) AS place FROM (SELECT a, b, similarity FROM p UNION ALL SELECT b, a, similarity FROM p) s JOIN documents x ON x.doc_id = s.a JOIN documents y ON y.doc_id = s.b WHERE x.lang = y.lang) WHERE place <= 3")
+def related_top3(spark: SparkSession, d: str) -> DataFrame:
+    p = similar.similar_pairs(_titles(spark, d), 0.6)
+    both = p.union(p.select("b", "a", "similarity")).toDF("id", "other", "similarity")
+    lang = _t(spark, d, "documents").select("doc_id", "lang")
+    near = both.join(lang.toDF("id", "x"), "id").join(lang.toDF("other", "y"), "other").where("x = y")
+    return near.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where("place <= 3").select("id", "other", "place")
+
+
+_DROP = "CASE WHEN length(text) < 200 THEN 'short' WHEN lang = 'es' THEN 'language' WHEN contains(lower(text), 'license') THEN 'keyword' END"
+
+
+def _dropped(df: DataFrame) -> DataFrame:
+    return df.withColumn("reason", events.first_reason(("short", F.length("text") < 200), ("language", F.col("lang") == "es"), ("keyword", events.keyword_match(F.col("text"), ["license"]))))
+
+
+@query(f"SELECT doc_id, {_DROP} AS reason FROM documents")
+def prefilter_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _dropped(_t(spark, d, "documents")).select("doc_id", "reason")
+
+
+@query(f"SELECT source, count(*) AS fetched, count(*) FILTER (WHERE ({_DROP}) IS NULL) AS eligible, count(*) FILTER (WHERE ({_DROP}) = 'short') AS short, count(*) FILTER (WHERE ({_DROP}) = 'keyword') AS keyword FROM documents GROUP BY source")
+def prefilter_stats(spark: SparkSession, d: str) -> DataFrame:
+    r = F.col("reason")
+    return _dropped(_t(spark, d, "documents")).groupBy("source").agg(F.count("*").alias("fetched"), F.count_if(r.isNull()).alias("eligible"), F.count_if(r == "short").alias("short"), F.count_if(r == "keyword").alias("keyword"))
+
+
+@query("SELECT doc_id FROM documents WHERE md5(substr(text, 1, 100)) NOT IN (SELECT md5(substr(text, 1, 100)) FROM benchmark)")
+def drop_seen(spark: SparkSession, d: str) -> DataFrame:
+    seen = _t(spark, d, "benchmark").select(F.md5(F.left("text", F.lit(100))).alias("h"))
+    return _t(spark, d, "documents").withColumn("h", F.md5(F.left("text", F.lit(100)))).join(seen, "h", "left_anti").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def known_semi(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").join(_t(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id")
+
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'absent' WHEN n_chars % 7 = 0 THEN 'content_changed' WHEN n_chars % 11 = 0 THEN 'version_invalidated' WHEN quality = 0 THEN CASE WHEN n_chars % 24 < 6 THEN 'error_backoff' ELSE 'error_retry' END WHEN n_chars % 1000 > 504 THEN 'expired' ELSE 'hit' END AS reason FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def decision_lookup_reasons(spark: SparkSession, d: str) -> DataFrame:
+    lab = _t(spark, d, "labels").withColumn("found", F.lit(True))
+    j = _t(spark, d, "documents").join(lab, "doc_id", "left")
+    n, status = F.col("n_chars"), F.when(F.col("quality") == 0, "error").otherwise("ok")
+    age = F.when(status == "error", n % 24).otherwise(n % 1000)
+    return j.select("doc_id", events.cache_reason(F.col("found").isNotNull(), n % 7 != 0, n % 11 != 0, status, age).alias("reason"))
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 1 - quality FROM labels WHERE doc_id % 3 = 0")
+def upsert_decisions(spark: SparkSession, d: str) -> DataFrame:
+    lab = _t(spark, d, "labels").select("doc_id", "quality")
+    return events.upsert(lab, lab.where("doc_id % 3 = 0").withColumn("quality", 1 - F.col("quality")), "doc_id")
+
+
+# --- clicks ----------------------------------------------------------------------------------------------------------
+
+_B = """WITH b AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'exposure' WHEN 'click' THEN 'detail' WHEN 'purchase' THEN 'outbound' WHEN 'signup' THEN 'session_start' WHEN 'error' THEN 'search' END AS name, CAST(ts AS DATE) AS day, user_id AS device, user_id || ':' || CAST(ts AS DATE) AS session, CAST(json_extract_string(props, '$.k') AS INT) AS object, value FROM events)"""
+
+
+def _b(spark: SparkSession, d: str) -> DataFrame:
+    return behavior.as_behavior(_t(spark, d, "events"))
+
+
+@query(_B + "SELECT name, count(*) AS n FROM b GROUP BY name")
+def behavior_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _b(spark, d).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(_B + "SELECT event_id, CASE WHEN value NOT BETWEEN 0 AND 100 THEN 'value_range' ELSE '' END AS errors FROM b")
+def behavior_errors(spark: SparkSession, d: str) -> DataFrame:
+    known = ["exposure", "detail", "outbound", "session_start", "search"]
+    return _b(spark, d).select("event_id", F.array_join(behavior.errors(F.col("event_id"), F.col("name"), F.col("ts"), F.col("value"), known), ",").alias("errors"))
+
+
+@query(_B + "SELECT count(*) AS exposures, coalesce(round_even(sum(d) / count(*), 4), 0.0) AS ctr, coalesce(round_even(sum(o) / count(*), 4), 0.0) AS outbound_rate FROM (SELECT session, object, max((name = 'exposure')::INT) AS e, max((name = 'detail')::INT) AS d, max((name = 'outbound')::INT) AS o FROM b WHERE object IS NOT NULL GROUP BY ALL) WHERE e = 1")
+def funnel_rates(spark: SparkSession, d: str) -> DataFrame:
+    return behavior.funnel(_b(spark, d))
+
+
+@query(_B + "SELECT count(*) AS orphans FROM b WHERE session NOT IN (SELECT session FROM b WHERE name = 'session_start')")
+def orphans(spark: SparkSession, d: str) -> DataFrame:
+    b = _b(spark, d)
+    return b.join(b.where("name = 'session_start'").select("session"), "session", "left_anti").agg(F.count("*").alias("orphans"))
+
+
+@query(_B + "SELECT round_even(count(*) FILTER (WHERE s = 1) / count(*), 4) AS search_rate FROM (SELECT session, max((name = 'search')::INT) AS s FROM b GROUP BY session)")
+def usage_rates(spark: SparkSession, d: str) -> DataFrame:
+    s = _b(spark, d).groupBy("session").agg(F.max((F.col("name") == "search").cast("int")).alias("s"))
+    return s.agg(scores.safe_ratio(F.sum("s"), F.count("*")).alias("search_rate"))
+
+
+@query(_B + "SELECT day, count(DISTINCT device) AS devices FROM b GROUP BY day")
+def dau(spark: SparkSession, d: str) -> DataFrame:
+    return behavior.daily_active(_b(spark, d))
+
+
+@query(_B + ", f AS (SELECT device, min(day) AS first FROM b GROUP BY device), c AS (SELECT * FROM f WHERE first <= (SELECT max(day) FROM b) - INTERVAL 7 DAY) SELECT count(*) AS cohort, coalesce(round_even(sum(back) / count(*), 4), 0.0) AS rate FROM (SELECT c.device, max((day - first BETWEEN 1 AND 7)::INT) AS back FROM c JOIN b USING (device) GROUP BY c.device)")
+def return_7d(spark: SparkSession, d: str) -> DataFrame:
+    return behavior.return_rate(_b(spark, d))
+
+
+@query()
+def click_dedup(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return events.click_dedup(c, 3 * 3600 * 1000, "key string, id long, at_ms long")
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.drain(jobs.dedup(jobs.read_events(spark, d)).select("event_id", "event_type"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_daily(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.drain(jobs.daily_counts(jobs.read_events(spark, d)), "complete").withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP - INTERVAL (k) DAY AS start, event_type, count(*) AS n FROM events, generate_series(0, 6) g(k) GROUP BY ALL")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.drain(jobs.sliding_counts(jobs.read_events(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.drain(jobs.sessions(jobs.read_events(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
