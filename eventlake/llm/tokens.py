@@ -11,7 +11,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces whose ids a task remembers; beyond it, the memory starts anew.
-REMEMBER = 250_000
+REMEMBER = 700_000
 
 
 def tokenizer(path: str) -> Tokenizer:
