@@ -6,12 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HALF_LIFE_H = 48.0
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "EEE, dd MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "dd MMM yyyy")
+FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "dd MMM yyyy")
 
 
 def parse_date_multi(c: Column) -> Column:
     """The first format that reads the text; without a zone it is UTC; else null."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)) for f in FORMATS))
+    # the day of the week says nothing that the date doesn't
+    bare = F.regexp_replace(F.trim(c), "^[A-Za-z]{3}, *", "")
+    return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS))
 
 
 def clamp_future(ts: Column, now: Column, hours: int = 2) -> Column:
