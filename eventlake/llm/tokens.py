@@ -7,6 +7,8 @@ are encoded together in one call, apart from each other by a special token that
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -14,7 +16,9 @@ from tokenizers import Tokenizer
 REMEMBER = 700_000
 
 
+@cache
 def tokenizer(path: str) -> Tokenizer:
+    """Loaded once in each Python worker."""
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
