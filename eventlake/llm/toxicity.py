@@ -288,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = {r.term: r.clean for r in clean.limit(20_000).collect()}
     entries = choose([(t, x, counts.get(t, 0)) for t, x in top], n_toxic, n_clean)
     rows = train.mapInArrow(_features(entries), "x array<double>, toxic int").toPandas()
-    x = np.array(rows["x"].tolist()).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist()).reshape(len(rows), len(entries) + len(EXTRA))
     return Model(entries, *fit_scorer(x, rows["toxic"].to_numpy().astype(float)))
 
 
