@@ -53,7 +53,7 @@ def _counter(path: str):
             for lo, hi in blocks(texts):
                 rows: list[tuple] = []
                 part = texts[lo:hi]
-                enc.batch(part)  # learns every piece of these texts in one call
+                enc.learn_texts(part)
                 for doc, text in zip(ids[lo:hi], part, strict=True):
                     cuts = line_ends(text)
                     count, cross = _lines(enc, text, cuts, width)

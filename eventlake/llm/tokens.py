@@ -62,6 +62,13 @@ class PieceEncoder:
     def split(self, text: str) -> list[str]:
         return text.split(" ") if self.spaced else text.replace("\n", " ").split(" ")
 
+    def learn_texts(self, texts: list[str]) -> None:
+        """Remember the pieces of these texts, all but each one's first, which has no space before it."""
+        new: set[str] = set()
+        for t in texts:
+            new.update(t.split(" ")[1:])
+        self.learn([p for p in new if p not in self.seen] if len(self.seen) + len(new) <= REMEMBER else self._reset(new))
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. The batch should be small enough that its pieces fit in memory beside the remembered ones."""
         cut = [self.split(t) for t in texts]
