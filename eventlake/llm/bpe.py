@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from eventlake.llm.tokens import PieceEncoder, blocks, tokenizer
+from eventlake.llm.tokens import PieceEncoder, blocks, encoder, tokenizer
 from eventlake.plans.stage import keep
 
 #: Characters up to which a text is encoded in one piece.
@@ -135,7 +135,7 @@ def _short(path: str, n: int, digest: bool):
     """n carried columns, then the text, are the input columns; the text gives way to the result."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = PieceEncoder(path, spaced=False)
+        enc = encoder(path, spaced=False)
         names = tokens_by_id(enc.tok)
         numbers = [str(i) for i in range(len(names))]
         for batch in batches:
@@ -150,7 +150,7 @@ def _short(path: str, n: int, digest: bool):
 def _leaves(path: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """key, at, leaf -> key, at, the runs without white space at both ends, and the ids of what lies between."""
-        enc = PieceEncoder(path, spaced=False)
+        enc = encoder(path, spaced=False)
         for batch in batches:
             out = []
             for text in batch.column(2).to_pylist():

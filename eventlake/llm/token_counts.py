@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from eventlake.llm.tokens import PieceEncoder, blocks
+from eventlake.llm.tokens import PieceEncoder, blocks, encoder
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 
@@ -46,7 +46,7 @@ def attribute(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> tuple[n
 
 def _counter(path: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = PieceEncoder(path, spaced=True)
+        enc = encoder(path, spaced=True)
         width = enc.width
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]

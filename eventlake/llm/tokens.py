@@ -1,24 +1,28 @@
 """Encoding whole texts with the tokenizers library, at the speed of the distinct pieces in them.
 
 A byte-pair encoder that first splits text never merges across the boundary between a non-space and a space, so a text's
-ids are those of its space-delimited pieces, one after the other. Each task keeps the ids of pieces it has seen; new ones
-are encoded together in one call, apart from each other by a special token that the tokenizer itself cuts at.
+ids are those of its space-delimited pieces, one after the other. Each worker keeps the ids of pieces it has seen; new ones
+are encoded together in one call, and told apart by the spaces that their tokens begin with or, for tokenizers that drop
+spaces, by a special token between them that the tokenizer itself cuts at.
 """
 
 from __future__ import annotations
 
+import os
 from functools import cache
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces whose ids a task remembers; beyond it, the memory starts anew.
-REMEMBER = 700_000
+#: Pieces whose ids a worker remembers; beyond it, only those of the texts at hand stay.
+REMEMBER = 500_000
 
 
 @cache
 def tokenizer(path: str) -> Tokenizer:
-    """Loaded once in each Python worker."""
+    """Loaded once in each Python worker, and kept to the one core that its task has."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
@@ -38,36 +42,61 @@ class PieceEncoder:
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
         self.cut_id = self.tok.token_to_id(cut)
+        #: Whether a token begins with a space, for the alphabet of byte-level tokenizers.
+        self.begins = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
         self.seen: dict[str, bytes | None] = {}
 
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of one text. Nothing here needs offsets, and the library is quicker without them."""
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _cut(self, ids: np.ndarray, at: np.ndarray, skip: int) -> list[bytes]:
+        """Slices before, between and after the places, less so many ids at the start of all but the first."""
+        raw, ends = ids.tobytes(), [*(at * self.width).tolist(), ids.nbytes]
+        return [raw[a:b] for a, b in zip([0, *(x + skip * self.width for x in ends[:-1])], ends, strict=True)]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Each text by itself, in one call where none holds the cutting token."""
         plain = [t for t in texts if self.cut not in t and t]
-        ids = np.array(self.tok.encode(self.cut.join(plain), add_special_tokens=False).ids, self.dtype)
-        at = np.flatnonzero(ids == self.cut_id)
-        raw, ends = ids.tobytes(), [*(at * self.width).tolist(), ids.nbytes]
-        begins = [0, *(x + self.width for x in ends[:-1])]
-        done = dict(zip(plain, (raw[a:b] for a, b in zip(begins, ends, strict=True)), strict=True)) if plain else {}
-        return [done[t] if t in done else np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t in texts]
+        ids = self.ids(self.cut.join(plain))
+        done = dict(zip(plain, self._cut(ids, np.flatnonzero(ids == self.cut_id), 1), strict=True)) if plain else {}
+        return [done[t] if t in done else self.ids(t).tobytes() for t in texts]
+
+    def _encode_spaced(self, pieces: list[str]) -> list[bytes]:
+        """Pieces without spaces that don't end in white space, each with one space before it.
+
+        In the text that they form together, a token begins with a space exactly where a piece begins.
+        """
+        ids = self.ids(" " + " ".join(pieces)) if pieces else np.zeros(0, self.dtype)
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(pieces) or (pieces and at[0] != 0):
+            return self._encode([" " + p for p in pieces])
+        return self._cut(ids, at[1:], 0) if pieces else []
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.seen) + len(pieces) > REMEMBER:
-            self.seen = {}
-        lead = " " if self.spaced else ""
-        good = [p for p in pieces if not self.spaced or (p and not p[-1].isspace())]
-        self.seen.update(zip(good, self._encode([lead + p for p in good]), strict=True))
-        if self.spaced:
-            self.seen.update((p, None) for p in pieces if not p or p[-1].isspace())
+        if not self.spaced:
+            self.seen.update(zip(pieces, self._encode(pieces), strict=True))
+            return
+        good = [p for p in pieces if p and not p[-1].isspace()]
+        self.seen.update(zip(good, self._encode_spaced(good), strict=True))
+        self.seen.update((p, None) for p in pieces if not p or p[-1].isspace())
 
     def split(self, text: str) -> list[str]:
         return text.split(" ") if self.spaced else text.replace("\n", " ").split(" ")
 
+    def learn_all(self, new: set[str]) -> None:
+        """Remember these pieces; where they don't fit beside the others, the others are forgotten."""
+        missing = new - self.seen.keys()
+        if len(self.seen) + len(missing) > REMEMBER:
+            self.seen = {p: self.seen[p] for p in new & self.seen.keys()}
+        self.learn(list(missing))
+
     def learn_texts(self, texts: list[str]) -> None:
         """Remember the pieces of these texts, all but each one's first, which has no space before it."""
         new: set[str] = set()
         for t in texts:
-            new.update(t.split(" ")[1:])
-        self.learn([p for p in new if p not in self.seen] if len(self.seen) + len(new) <= REMEMBER else self._reset(new))
+            new.update(islice(t.split(" "), 1, None))
+        self.learn_all(new)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. The batch should be small enough that its pieces fit in memory beside the remembered ones."""
@@ -75,24 +104,26 @@ class PieceEncoder:
         heads = self._encode([c[0] for c in cut]) if self.spaced else []
         new: set[str] = set()
         for c in cut:
-            new.update(c[1:] if self.spaced else c)
-        self.learn([p for p in new if p not in self.seen] if len(self.seen) + len(new) <= REMEMBER else self._reset(new))
-        seen, out = self.seen, []
+            new.update(islice(c, 1, None) if self.spaced else c)
+        self.learn_all(new)
+        known, out = self.seen.__getitem__, []
         for k, (text, c) in enumerate(zip(texts, cut, strict=True)):
             if not self.spaced:
-                out.append(b"".join([seen[p] for p in c]))
+                out.append(b"".join(map(known, c)))
                 continue
             try:
                 if c[0] and c[0][-1].isspace() and len(c) > 1:
                     raise TypeError
-                out.append(heads[k] + b"".join([seen[p] for p in c[1:]]))
+                out.append(heads[k] + b"".join(map(known, islice(c, 1, None))))
             except TypeError:  # None: a piece that belongs to the next one
-                out.append(np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+                out.append(self.ids(text).tobytes())
         return out
 
-    def _reset(self, new: set[str]) -> list[str]:
-        self.seen = {}
-        return list(new)
+
+@cache
+def encoder(path: str, spaced: bool) -> PieceEncoder:
+    """One in each Python worker, whose later tasks find the pieces that earlier ones learnt."""
+    return PieceEncoder(path, spaced)
 
 
 def blocks(texts: list[str], chars: int = 2_000_000):

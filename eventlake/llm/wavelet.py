@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from eventlake.llm.tokens import PieceEncoder, blocks
+from eventlake.llm.tokens import blocks, encoder
 from eventlake.plans.stage import keep
 
 MAGIC = b"WMX1"
@@ -140,7 +140,7 @@ def load(file: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 
 def _writer(path: str, shard_tokens: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = PieceEncoder(path, spaced=True), None
+        enc = encoder(path, spaced=True)
         end = np.array([END_ID], enc.dtype).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
