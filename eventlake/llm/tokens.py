@@ -17,6 +17,8 @@ from tokenizers import Tokenizer
 
 #: Pieces whose ids a worker remembers; beyond it, only those of the texts at hand stay.
 REMEMBER = 500_000
+#: Marks that the tokenizers cut off behind a letter, whatever follows.
+MARKS = frozenset(",.;:!?")
 
 
 @cache
@@ -44,6 +46,7 @@ class PieceEncoder:
         self.cut_id = self.tok.token_to_id(cut)
         #: Whether a token begins with a space, for the alphabet of byte-level tokenizers.
         self.begins = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
+        self.marks = {m: self.ids(m).tobytes() for m in MARKS}
         self.seen: dict[str, bytes | None] = {}
 
     def ids(self, text: str) -> np.ndarray:
@@ -74,6 +77,14 @@ class PieceEncoder:
         return self._cut(ids, at[1:], 0) if pieces else []
 
     def learn(self, pieces: list[str]) -> None:
+        """A piece that ends in a small letter and a mark is its stem and the mark, so that only stems are encoded."""
+        tails = {p for p in pieces if p[-1:] in MARKS and p[-2:-1].islower() and p[-2] <= "\u024f"}
+        stems = {p[:-1] for p in tails} - self.seen.keys()
+        stems.update(p for p in pieces if p not in tails)
+        self._learn(list(stems))
+        self.seen.update((p, self.seen[p[:-1]] + self.marks[p[-1]]) for p in tails)
+
+    def _learn(self, pieces: list[str]) -> None:
         if not self.spaced:
             self.seen.update(zip(pieces, self._encode(pieces), strict=True))
             return
