@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from eventlake.llm.tokens import PieceEncoder, blocks, encoder, tokenizer
+from eventlake.llm.tokens import PieceEncoder, blocks, encoder, strings, tokenizer
 from eventlake.plans.stage import keep
 
 #: Characters up to which a text is encoded in one piece.
@@ -139,7 +139,7 @@ def _short(path: str, n: int, digest: bool):
         names = tokens_by_id(enc.tok)
         numbers = [str(i) for i in range(len(names))]
         for batch in batches:
-            texts, rows = [t or "" for t in batch.column(n).to_pylist()], []
+            texts, rows = strings(batch.column(n)), []
             for lo, hi in blocks(texts):
                 rows += [_result(names, numbers, np.frombuffer(r, enc.dtype), digest) for r in enc.batch(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *_columns(rows, digest)], [*batch.schema.names[:n], *OUT[digest][0]])

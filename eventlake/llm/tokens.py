@@ -13,10 +13,14 @@ from functools import cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces whose ids a worker remembers; beyond it, only those of the texts at hand stay.
-REMEMBER = 500_000
+REMEMBER = 1_000_000
+#: Pieces that are joined into one text for the tokenizer, which is quicker on short texts.
+TOGETHER = 200
 #: Marks that the tokenizers cut off behind a letter, whatever follows.
 MARKS = frozenset(",.;:!?")
 
@@ -51,7 +55,11 @@ class PieceEncoder:
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of one text. Nothing here needs offsets, and the library is quicker without them."""
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        return self._ids([text])
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        """The ids of these texts, one after the other."""
+        return np.concatenate([np.zeros(0, self.dtype), *(np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False))])
 
     def _cut(self, ids: np.ndarray, at: np.ndarray, skip: int) -> list[bytes]:
         """Slices before, between and after the places, less so many ids at the start of all but the first."""
@@ -61,8 +69,8 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Each text by itself, in one call where none holds the cutting token."""
         plain = [t for t in texts if self.cut not in t and t]
-        ids = self.ids(self.cut.join(plain))
-        done = dict(zip(plain, self._cut(ids, np.flatnonzero(ids == self.cut_id), 1), strict=True)) if plain else {}
+        ids = self._ids([self.cut.join(plain[i : i + TOGETHER]) + self.cut for i in range(0, len(plain), TOGETHER)])
+        done = dict(zip(plain, self._cut(ids[:-1], np.flatnonzero(ids[:-1] == self.cut_id), 1), strict=True)) if plain else {}
         return [done[t] if t in done else self.ids(t).tobytes() for t in texts]
 
     def _encode_spaced(self, pieces: list[str]) -> list[bytes]:
@@ -70,7 +78,7 @@ class PieceEncoder:
 
         In the text that they form together, a token begins with a space exactly where a piece begins.
         """
-        ids = self.ids(" " + " ".join(pieces)) if pieces else np.zeros(0, self.dtype)
+        ids = self._ids([" " + " ".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)])
         at = np.flatnonzero(self.begins[ids])
         if len(at) != len(pieces) or (pieces and at[0] != 0):
             return self._encode([" " + p for p in pieces])
@@ -79,7 +87,7 @@ class PieceEncoder:
     def learn(self, pieces: list[str]) -> None:
         """A piece that ends in a small letter and a mark is its stem and the mark, so that only stems are encoded."""
         tails = {p for p in pieces if p[-1:] in MARKS and p[-2:-1].islower() and p[-2] <= "\u024f"}
-        stems = {p[:-1] for p in tails} - self.seen.keys()
+        stems = {p[:-1] for p in tails if p[:-1] not in self.seen}
         stems.update(p for p in pieces if p not in tails)
         self._learn(list(stems))
         self.seen.update((p, self.seen[p[:-1]] + self.marks[p[-1]]) for p in tails)
@@ -92,15 +100,12 @@ class PieceEncoder:
         self.seen.update(zip(good, self._encode_spaced(good), strict=True))
         self.seen.update((p, None) for p in pieces if not p or p[-1].isspace())
 
-    def split(self, text: str) -> list[str]:
-        return text.split(" ") if self.spaced else text.replace("\n", " ").split(" ")
-
     def learn_all(self, new: set[str]) -> None:
         """Remember these pieces; where they don't fit beside the others, the others are forgotten."""
-        missing = new - self.seen.keys()
+        missing = [p for p in new if p not in self.seen]
         if len(self.seen) + len(missing) > REMEMBER:
-            self.seen = {p: self.seen[p] for p in new & self.seen.keys()}
-        self.learn(list(missing))
+            self.seen = {p: self.seen[p] for p in new if p in self.seen}
+        self.learn(missing)
 
     def learn_texts(self, texts: list[str]) -> None:
         """Remember the pieces of these texts, all but each one's first, which has no space before it."""
@@ -110,27 +115,50 @@ class PieceEncoder:
         self.learn_all(new)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. The batch should be small enough that its pieces fit in memory beside the remembered ones."""
-        cut = [self.split(t) for t in texts]
-        heads = self._encode([c[0] for c in cut]) if self.spaced else []
-        new: set[str] = set()
-        for c in cut:
-            new.update(islice(c, 1, None) if self.spaced else c)
-        self.learn_all(new)
-        known, out = self.seen.__getitem__, []
-        for k, (text, c) in enumerate(zip(texts, cut, strict=True)):
-            if not self.spaced:
-                out.append(b"".join(map(known, c)))
-                continue
-            try:
-                if c[0] and c[0][-1].isspace() and len(c) > 1:
-                    raise TypeError
-                out.append(heads[k] + b"".join(map(known, islice(c, 1, None))))
-            except TypeError:  # None: a piece that belongs to the next one
-                out.append(self.ids(text).tobytes())
+        """The ids of each text. The batch should be small enough that its pieces fit in memory beside the remembered ones.
+
+        Pieces are numbered by Arrow, so that Python handles each distinct one once; ids are then gathered by number.
+        """
+        column = pa.array(texts, pa.large_string())
+        cut = pc.split_pattern(column if self.spaced else pc.replace_substring(column, "\n", " "), " ")
+        begins = np.asarray(cut.offsets)[:-1]
+        coded = cut.flatten().dictionary_encode()
+        at, distinct = coded.indices.to_numpy().astype(np.int64), strings(coded.dictionary)
+        wanted = set(distinct)
+        if self.spaced:  # a text's first piece has no space before it
+            inner = np.bincount(np.delete(at, begins), minlength=len(distinct)) > 0
+            wanted = {p for p, used in zip(distinct, inner.tolist(), strict=True) if used}
+            first, at[begins] = np.unique(at[begins], return_inverse=True)
+            at[begins] += len(distinct)
+            heads = [distinct[k] for k in first.tolist()]
+        self.learn_all(wanted)
+        ids = [self.seen[p] if p in wanted else b"" for p in distinct]
+        whole = np.zeros(len(texts), bool)
+        if self.spaced:
+            # a piece that ends in white space belongs to the next one, so that its text is encoded in one call
+            open_ = np.array([k is None for k in ids] + [p[-1:].isspace() for p in heads])
+            last = np.append(begins[1:], len(at)) - 1
+            inside = open_[at]
+            inside[last[last == begins]] = False
+            whole = np.logical_or.reduceat(inside, begins) if len(begins) else whole
+            ids = [k or b"" for k in ids] + self._encode(heads)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        n = size[at]
+        ends = np.cumsum(n)
+        raw = flat[np.repeat(np.cumsum(size)[at] - ends, n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        to = (ends[np.append(begins[1:], len(at)) - 1] * self.width).tolist() if len(begins) else []
+        out = [raw[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)] if to else []
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self.ids(texts[k]).tobytes()
         return out
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The values of a column without nulls, much quicker than by to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 @cache
 def encoder(path: str, spaced: bool) -> PieceEncoder:
     """One in each Python worker, whose later tasks find the pieces that earlier ones learnt."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from eventlake.llm.tokens import blocks, encoder
+from eventlake.llm.tokens import blocks, encoder, strings
 from eventlake.plans.stage import keep
 
 MAGIC = b"WMX1"
@@ -153,7 +153,7 @@ def _writer(path: str, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([file], pa.binary())], ["part", "seq", "n_tokens", "file"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
             for lo, hi in blocks(texts):
                 for doc, r in zip(ids[lo:hi], enc.batch(texts[lo:hi]), strict=True):
                     docs.append(doc)
@@ -174,7 +174,7 @@ def write_shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS) -
     The files are the cells of a binary column, so that any store that Spark writes to can hold them.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return keep(ordered.mapInArrow(_writer(path, shard_tokens), "part int, seq int, n_tokens long, file binary"), "wavelet")
 
 
