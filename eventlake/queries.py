@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from eventlake.functions import scores, text
-from eventlake.operators import behavior, events, extract, similar
+from eventlake.operators import behavior, events, extract, publish, similar
 from eventlake.plans.stage import keep
 from eventlake.sources import scans
 from eventlake.streaming import jobs
@@ -251,6 +251,51 @@ def diverse_timeline(spark: SparkSession, d: str) -> DataFrame:
     return events.diverse_timeline(e.select("event_id", F.to_date("published").alias("day"), "source", (F.col("source") % 7).alias("vendor"), "category", (F.col("importance") >= 70).alias("quality"), "heat"))
 
 
+@query("""SELECT user_id, place, event_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, day DESC, event_id) AS place FROM (
+SELECT n_nationkey AS user_id, o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS day, 100e0 + 0.35e0 * (CAST(floor(o_totalprice) AS BIGINT) % 101) + greatest(0e0, 18e0 - 1.7e0 * date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-31')) AS score
+FROM nation JOIN orders ON substr(o_orderpriority, 1, 1) = CAST(n_nationkey % 5 + 1 AS VARCHAR))) WHERE place <= 10""")
+def personal_rank(spark: SparkSession, d: str) -> DataFrame:
+    follows = _t(spark, d, "nation").select(F.col("n_nationkey").alias("user_id"), (F.col("n_nationkey") % 5 + 1).cast("string").alias("key"))
+    e = _t(spark, d, "orders").select(F.substring("o_orderpriority", 1, 1).alias("key"), F.col("o_orderkey").alias("event_id"), (F.floor("o_totalprice") % 101).alias("importance"), F.to_date("o_orderdate").alias("published"))
+    return publish.personal_rank(follows, e, F.lit("1998-12-31").cast("date"), 10)
+
+
+@query("""SELECT * FROM (SELECT 'topic' AS kind, o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 2 ORDER BY n DESC, name LIMIT 8) UNION ALL
+SELECT * FROM (SELECT 'vendor', CAST(l_suppkey AS VARCHAR) AS name, count(*) AS n FROM lineitem GROUP BY 2 ORDER BY n DESC, name LIMIT 8)""")
+def follow_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    def best(df: DataFrame, kind: str, name) -> DataFrame:  # noqa: ANN001
+        return df.groupBy(name.alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(8).select(F.lit(kind).alias("kind"), "name", "n")
+
+    return best(_t(spark, d, "orders"), "topic", F.col("o_orderpriority")).union(best(_t(spark, d, "lineitem"), "vendor", F.col("l_suppkey").cast("string")))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, md5(coalesce(text, '')) || '-' || row_number() OVER (PARTITION BY conv_id, md5(coalesce(text, '')) ORDER BY turn) AS block FROM conversations),
+t AS (SELECT conv_id, turn AS theirs, md5(coalesce(text, '')) || '-' || row_number() OVER (PARTITION BY conv_id, md5(coalesce(text, '')) ORDER BY turn) AS block FROM conversations WHERE turn % 4 <> 2),
+p AS (SELECT s.conv_id, turn, theirs, coalesce(theirs < max(theirs) OVER (PARTITION BY s.conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS back FROM s LEFT JOIN t ON s.conv_id = t.conv_id AND s.block = t.block),
+g AS (SELECT conv_id, count(*) AS blocks, count(theirs) AS anchors, NOT bool_or(back) AS ordered, arg_min(theirs IS NOT NULL, turn) AS a, arg_max(theirs IS NOT NULL, turn) AS b FROM p GROUP BY conv_id)
+SELECT conv_id, blocks, anchors, ordered, anchors >= 3 AND anchors >= 0.6e0 * blocks AND ordered AND a AND b AS aligned FROM g""")
+def translation_align(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    return publish.align_blocks(c, c.where("turn % 4 <> 2"), "conv_id", "turn")
+
+
+@query("SELECT o_custkey, breaks FROM (SELECT o_custkey, count(*) FILTER (WHERE o_orderdate > last) AS breaks FROM (SELECT o_custkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS last FROM orders) GROUP BY o_custkey) WHERE breaks > 0")
+def feed_order_breaks(spark: SparkSession, d: str) -> DataFrame:
+    return publish.order_breaks(_t(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@query("SELECT CAST(o_orderdate + INTERVAL 8 HOUR AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1")
+def day_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").groupBy(F.to_date(F.col("o_orderdate") + F.expr("INTERVAL 8 HOURS")).alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT user_id, max(epoch_us(ts)) AS last FROM events GROUP BY user_id), m AS (SELECT user_id, (user_id % 48 + 1) * 60 - CAST(floor(((SELECT max(last) FROM l) - last) / 6e7) AS BIGINT) AS remain FROM l)
+SELECT user_id, remain <= 0 AS due, CAST(greatest(remain, 0) AS BIGINT) AS minutes_left FROM m""")
+def due_sources(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return publish.due_sources(e, "user_id", "ts", F.col("user_id") % 48 + 1)
+
+
 # --- texts, URLs, pages ----------------------------------------------------------------------------------------------
 
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
