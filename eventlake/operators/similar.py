@@ -9,18 +9,21 @@ from eventlake.functions.text import jaccard
 from eventlake.operators.graph import connected_components
 
 
-def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", grams: str = "grams") -> DataFrame:
+def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", grams: str = "grams", group: str | None = None) -> DataFrame:
     """(a, b, similarity) with a < b and Jaccard above the threshold.
 
     Each set is looked up by its rarest grams only: two sets above the threshold must share one of them. Sets of equal
-    content are compared once, so a group of copies costs one row each.
+    content are compared once, so a group of copies costs one row each. With a group, only sets of an equal one are
+    compared; a null group equals none.
     """
-    base = sets.select(F.col(key).alias("id"), F.sort_array(F.array_distinct(grams)).alias("g")).where(F.size("g") > 0)
+    part = F.col(group) if group else F.lit(0)
+    base = sets.select(F.col(key).alias("id"), F.sort_array(F.array_distinct(grams)).alias("g"), part.alias("part")).where((F.size("g") > 0) & F.col("part").isNotNull())
     count = base.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = base.select("id", F.size("g").alias("n"), F.explode("g").alias("gram")).join(count, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("by"))
-    prefix = ranked.select("id", "n", F.explode(F.slice("by", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("x")).select("id", "n", F.col("x.gram").alias("gram"))
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "gram")
-    near = prefix.join(other, "gram").where((F.col("id") < F.col("b")) & (F.col("m") >= F.col("n") * threshold) & (F.col("n") >= F.col("m") * threshold)).select(F.col("id").alias("a"), "b").distinct()
+    ranked = base.select("id", "part", F.size("g").alias("n"), F.explode("g").alias("gram")).join(count, "gram").groupBy("id", "part", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("by"))
+    prefix = ranked.select("id", "part", "n", F.explode(F.slice("by", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("x")).select("id", "part", "n", F.col("x.gram").alias("gram"))
+    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "part", "gram")
+    near = prefix.join(other, ["part", "gram"]).where((F.col("id") < F.col("b")) & (F.col("m") >= F.col("n") * threshold) & (F.col("n") >= F.col("m") * threshold)).select(F.col("id").alias("a"), "b").distinct()
+    base = base.select("id", "g")
     both = near.join(base.toDF("a", "ga"), "a").join(base.toDF("b", "gb"), "b")
     return both.withColumn("similarity", jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
 

@@ -101,6 +101,12 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).where(F.col("evergreen") | (F.col("importance") >= 70) | (F.col("heat") >= 65) | (F.col("items") >= 6)).select("event_id")
 
 
+@query(_EVENTS + "SELECT event_id FROM hot WHERE evergreen OR importance >= 70 OR heat >= 65 OR items >= 2")
+def event_quality_gate(spark: SparkSession, d: str) -> DataFrame:
+    """The rule of the reference, with two items; quality_gate asks for six."""
+    return _events(spark, d).where(events.quality_gate(F.col("evergreen"), F.col("importance"), F.col("heat"), F.col("items"))).select("event_id")
+
+
 @query(_EVENTS + "SELECT event_id, CASE WHEN importance < 30 THEN 'importance' WHEN items < 2 THEN 'items' WHEN category IS NULL THEN 'category' END AS reason FROM ev")
 def list_eligible_reasons(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
@@ -411,6 +417,35 @@ def related_top3(spark: SparkSession, d: str) -> DataFrame:
     return near.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where("place <= 3").select("id", "other", "place")
 
 
+#: The reference's rule of one event: bigrams of titles with a Jaccard above 0.3. A title is a text's whole first line with a letter or digit.
+SAME_EVENT = 0.3
+_LINE_GRAMS = _GRAMS.replace("substr(text, 1, 80)", r"regexp_extract(text, '[\p{L}\p{N}_][^\n]*')")
+_SAME = _PAIRS.replace(_GRAMS, _LINE_GRAMS).replace("> 0.6", "> 0.3")
+
+
+def _title_lines(spark: SparkSession, d: str, *carry: str) -> DataFrame:
+    line = F.regexp_extract("text", r"[\p{L}\p{N}_][^\n]*", 0)
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), text.title_bigrams(line).alias("grams"), *carry)
+
+
+@query(_SAME + "SELECT a, b, round(similarity, 6) AS similarity FROM p")
+def same_event_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return similar.similar_pairs(_title_lines(spark, d), SAME_EVENT).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def same_event_groups(spark: SparkSession, d: str) -> DataFrame:
+    titles = keep(_title_lines(spark, d), "title-lines")
+    return similar.resolve(titles, similar.similar_pairs(titles, SAME_EVENT))
+
+
+@query(_SAME + "SELECT id, other, place FROM (SELECT s.a AS id, s.b AS other, row_number() OVER (PARTITION BY s.a ORDER BY similarity DESC, s.b) AS place FROM (SELECT a, b, similarity FROM p UNION ALL SELECT b, a, similarity FROM p) s JOIN documents x ON x.doc_id = s.a JOIN documents y ON y.doc_id = s.b WHERE x.lang = y.lang) WHERE place <= 3")
+def same_event_related3(spark: SparkSession, d: str) -> DataFrame:
+    p = similar.similar_pairs(_title_lines(spark, d, "lang"), SAME_EVENT, group="lang")
+    both = p.union(p.select("b", "a", "similarity")).toDF("id", "other", "similarity")
+    return both.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where("place <= 3").select("id", "other", "place")
+
+
 _DROP = "CASE WHEN length(text) < 200 THEN 'short' WHEN lang = 'es' THEN 'language' WHEN contains(lower(text), 'license') THEN 'keyword' END"
 
 

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from eventlake import queries as core
 from eventlake.functions import scores, text
 from eventlake.operators import events, extract, similar
 from eventlake.operators.graph import connected_components
@@ -56,6 +57,27 @@ def test_similar_pairs_match_all_pairs(spark):
     assert got == want
 
 
+def test_similar_pairs_of_a_group(spark):
+    rnd = random.Random(5)
+    rows = [(i, sorted({rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 6))}), rnd.choice(["x", "y", None])) for i in range(60)]
+    got = {(r.a, r.b) for r in similar.similar_pairs(spark.createDataFrame(rows, "id long, grams array<string>, lang string"), 0.3, group="lang").collect()}
+    want = {(i, j) for i, x, k in rows for j, y, m in rows if i < j and k and k == m and x and y and len({*x} & {*y}) / len({*x} | {*y}) > 0.3}
+    assert got == want
+
+
+def test_same_event_rules(spark, tmp_path):
+    """Pairs between 0.3 and 0.6 count; nothing behind a first line's 80th character is cut; two items pass the gate."""
+    same, other = "word " * 20, " ending alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, "budget vote delayed again", "en"), (2, "budget vote passed", "en"), (3, same + other, "en"), (4, same + " 0123456789 9876543210 1357924680", "en"), (5, "budget vote passed", "de"), (6, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    near = {(r.a, r.b): r.similarity for r in core.same_event_pairs(spark, str(tmp_path)).collect()}
+    assert set(near) == {(1, 2), (1, 5), (2, 5)} and 0.3 < near[1, 2] < 0.6
+    assert {r.id: r.group_id for r in core.same_event_groups(spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6}
+    assert {(r.id, r.other) for r in core.same_event_related3(spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
+    gate = spark.range(1).select(events.quality_gate(F.lit(False), F.lit(1), F.lit(1.0), F.lit(2)).alias("ok")).first()
+    assert gate.ok
+
+
 def test_caps_match_greedy(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.randint(0, 5), rnd.randint(0, 99)) for i in range(200)]
