@@ -29,8 +29,9 @@ SAMPLE = 20_000
 BUCKETS = 1 << 12
 LABELLERS = ("shouting", "symbols", "odd_ends", "repetition", "stutter", "lines", "table", "word_length", "empty", "prose")
 THRESHOLD = 0.3
-
-
+#: Words within which a repeated word counts, and words of a passage that counts if it comes again anywhere.
+WINDOW = 200
+PASSAGE = 8
 
 
 def _classes() -> bytes:
@@ -61,6 +62,26 @@ def shape(data: bytes) -> bytes:
     return a[keep_].tobytes()
 
 
+def repeated(words: list[bytes]) -> float:
+    """How much of a text repeats, whatever its length: the mean share over consecutive windows, or that of passages.
+
+    The last window ends with the text. In clean prose the share of words seen before grows with the text, that within a
+    window doesn't, nor do passages come again; a copied stretch longer than a window shows in its passages.
+    """
+    n = len(words)
+    if n < 20:
+        return 0.0
+    if n <= WINDOW:
+        return 1 - len(set(words)) / n
+    at = [*range(0, n - WINDOW, WINDOW), n - WINDOW]
+    near = 1 - sum(len(set(words[i : i + WINDOW])) for i in at) / (WINDOW * len(at))
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    passages = np.zeros(n - PASSAGE + 1, np.uint64)
+    for k in range(PASSAGE):
+        passages = passages * np.uint64(0x9E3779B97F4A7C15) + ids[k : n - PASSAGE + 1 + k]
+    return max(near, 1 - len(np.unique(passages)) / len(passages))
+
+
 def votes_and_shapes(text: str | None) -> tuple[np.ndarray, Counter]:
     """The labellers' votes (1, 0, or -1 for none) and how often each word shape occurs."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -79,7 +100,7 @@ def votes_and_shapes(text: str | None) -> tuple[np.ndarray, Counter]:
     capitals = upper / max(1, lower + upper)
     symbols = (len(data) - lower - upper - digit - blank - plain) / max(1, len(data) - blank)
     odd = sum(c for s, c in shapes.items() if s[-1:] in b"!%*$#&@~^=+<>_") / n
-    again = 1 - len(set(words)) / n if n >= 20 else 0.0
+    again = repeated(words)
     stutter = sum(map(bytes.__eq__, words[1:], words[:-1])) / max(1, n - 1)
     bars = words.count(b"|") / n
     mean = (len(data) - blank) / n

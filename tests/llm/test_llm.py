@@ -68,6 +68,20 @@ def test_quality(spark, docs):
     assert sum(got[i] for i, _ in good) >= 198 and not any(got[i] for i, _ in bad)
 
 
+def test_quality_of_long_texts(spark):
+    rnd = random.Random(12)
+    vocabulary = ["".join(random.Random(k).choices("abcdefghilmnorstu", k=2 + k % 8)) + ("." if k % 11 == 0 else "") for k in range(400)]
+    prose = lambda n: " ".join(rnd.choices(vocabulary, k=n))
+    good = [(i, prose(60 + i)) for i in range(200)] + [(200, prose(200_000))]
+    bad = [(1000 + i, "BUY!! NOW!! " * 30 if i % 2 else "on%%% in*** to$$$ " * 20) for i in range(30)]
+    got = {r.doc_id: r for r in quality.classify(spark.createDataFrame(good + bad, "doc_id long, text string")).collect()}
+    assert got[200].keep and got[200].votes == got[199].votes and not any(got[i].keep for i, _ in bad)
+    words = [b"%d" % i for i in range(900)]
+    assert quality.repeated(words) == 0 and quality.repeated(words * 10) > 0.85 and quality.repeated(words[:10] * 90) > 0.9
+    # a window at the end is seen too
+    assert quality.repeated(words[:201] + words[:1] * 199) > quality.repeated(words[:400])
+
+
 def test_mixing(spark, docs):
     assert mixing.mix(docs).count() == docs.count()
     assert mixing.mix(docs.limit(0)).count() == 0
