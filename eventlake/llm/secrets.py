@@ -1,7 +1,7 @@
 """Secret scans: credentials found by pattern, and weak parts reported only next to a complementary part.
 
 Column expressions and joins only. A scan gives for each text its base spans (kinds assign, access, hex: leftmost,
-non-overlapping per kind) and weak parts (ident: a named account; blob: a mixed run of 32 to 64 base-64 characters;
+non-overlapping per kind) and weak parts (ident: a named account; blob: a mixed run of 32 base-64 characters or more;
 endpoint: a URL with a host). A weak part is reported if, within SCOPE code points in the same text, a part of another
 role lies: an ident needs a secret, a blob needs an identifier or endpoint, an endpoint needs an identifier or secret.
 
@@ -25,9 +25,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 IDENT = r"""(?i:\b(?:user_?name|user|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9_.@-]{3,})"""
-BLOB = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/_-])"
+BLOB = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}+(?![A-Za-z0-9+/_-])"
 ENDPOINT = r"(?:https?|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9.-]+(?::[0-9]+)?"
-#: A text without a hit here has no base span and nothing that a weak part could complete.
+#: A text without a hit here has no base span and no blob, so only an ident and an endpoint can complete each other.
 ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|" + BLOB
 
 #: (kind, pattern, group whose length counts, shortest that counts), in the order in which kinds are listed.
@@ -60,11 +60,16 @@ def _parts(text: Column, order: int, kind: str, pattern: str, group: int, least:
     return F.transform(both, part)
 
 
+def _hit(text: Column) -> Column:
+    """Whether a text can have a span."""
+    return text.rlike(ANY) | (text.rlike(ENDPOINT) & text.rlike(IDENT))
+
+
 def scan(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(carried columns..., secret_key, secret_parts): both null where nothing was found; the key stands for the text."""
     body = F.coalesce(F.col(text), F.lit(""))
     parts = F.concat(*(_parts(body, n, *k) for n, k in enumerate(KINDS)))
-    hit = body.rlike(ANY)
+    hit = _hit(body)
     return docs.select(*carry, F.when(hit, F.md5(body)).alias("secret_key"), F.when(hit, parts).alias("secret_parts"))
 
 
@@ -78,16 +83,19 @@ def spans(scanned: DataFrame) -> DataFrame:
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before)).where("ok").select("secret_key", "ord", name.alias("kind"), (F.col("end") - F.col("len")).alias("start"), "end")
     placed = keep(placed, "secret-parts")
     base, weak = placed.where(F.col("ord") < BASE), placed.where(F.col("ord") >= BASE)
-    # interval join: equal text and scope bucket first, then the distance between the two spans
-    bucket = F.floor(F.col("start") / SCOPE)
-    left = weak.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    right = placed.select(F.col("secret_key").alias("k2"), F.col("kind").alias("kind2"), F.col("start").alias("s2"), F.col("end").alias("e2"), bucket.alias("b2"))
+    # interval join: equal text and scope bucket first, then the distance between the two spans. A part that follows is
+    # found by where it starts, one that precedes by where it ends, so that the length of neither matters
+    def at(c: str, side: int, shift: int = 0) -> Column:
+        return F.struct(F.lit(side).alias("side"), (F.floor(F.col(c) / SCOPE) + shift).alias("bucket"))
+
+    left = weak.withColumn("at", F.explode(F.array(at("end", 1), at("end", 1, 1), at("start", 0, -1), at("start", 0))))
+    right = placed.select(F.col("secret_key").alias("k2"), F.col("kind").alias("kind2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(F.array(at("start", 1), at("end", 0))).alias("at2"))
     apart = F.greatest(F.col("s2") - F.col("end"), F.col("start") - F.col("e2"))
     fits = F.lit(False)
     for kind, others in PARTNERS.items():
         fits = fits | ((F.col("kind") == kind) & F.col("kind2").isin(*others))
-    linked = left.join(right, (F.col("secret_key") == F.col("k2")) & (F.col("bucket") == F.col("b2")) & fits & (apart >= 0) & (apart <= SCOPE), "left_semi")
-    linked = linked.drop("bucket").distinct()
+    linked = left.join(right, (F.col("secret_key") == F.col("k2")) & (F.col("at") == F.col("at2")) & fits & (apart >= 0) & (apart <= SCOPE), "left_semi")
+    linked = linked.drop("at").distinct()
     # a weak span inside or across a base span says nothing new
     covers = base.select(F.col("secret_key").alias("k2"), F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor((F.col("end") - 1) / SCOPE))).alias("b2"))
     on = (F.col("secret_key") == F.col("k2")) & (F.col("wb") == F.col("b2")) & (F.col("s2") < F.col("end")) & (F.col("start") < F.col("e2"))
@@ -129,11 +137,11 @@ def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null texts stay null. Rows without a hit are passed on as they are; only rows with one are joined to their spans.
     """
-    scanned = keep(scan(docs.where(F.col(text).rlike(ANY)), text, ()), "secret-scan")
+    scanned = keep(scan(docs.where(_hit(F.col(text))), text, ()), "secret-scan")
     order = W.partitionBy("secret_key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     merged = spans(scanned).withColumn("past", F.coalesce(F.max("end").over(order), F.lit(0))).where(F.col("end") > F.col("past"))
     each = merged.groupBy("secret_key").agg(F.sort_array(F.collect_list(F.struct(F.greatest("start", "past").alias("start"), "end"))).alias("secret_spans"))
-    hit = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
+    hit = F.coalesce(_hit(F.col(text)), F.lit(False))
     dirty = docs.where(hit).withColumn("secret_key", F.md5(text)).join(each, "secret_key", "left")
     at, body = F.col("secret_spans"), F.col(text)
     # what stands before each span, each followed by the mask, then the rest
