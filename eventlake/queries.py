@@ -428,6 +428,11 @@ def _title_lines(spark: SparkSession, d: str, *carry: str) -> DataFrame:
     return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), text.title_bigrams(line).alias("grams"), *carry)
 
 
+@query(_LINE_GRAMS + "SELECT gram, count(*) AS df FROM g GROUP BY gram")
+def title_line_bigram_df(spark: SparkSession, d: str) -> DataFrame:
+    return _title_lines(spark, d).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+
+
 @query(_SAME + "SELECT a, b, round(similarity, 6) AS similarity FROM p")
 def same_event_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similar.similar_pairs(_title_lines(spark, d), SAME_EVENT).withColumn("similarity", F.round("similarity", 6))
@@ -470,6 +475,17 @@ def drop_seen(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").withColumn("h", F.md5(F.left("text", F.lit(100)))).join(seen, "h", "left_anti").select("doc_id")
 
 
+_WHOLE = r"sha256(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')))"
+
+
+@query(f"SELECT doc_id FROM documents WHERE text IS NULL OR {_WHOLE} NOT IN (SELECT {_WHOLE} FROM benchmark WHERE text IS NOT NULL)")
+def drop_seen_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Compares whole texts; drop_seen compares their first 100 characters."""
+    h = F.when(F.col("text").isNotNull(), F.sha2(text.clean_text(F.col("text")), 256)).alias("h")
+    seen = _t(spark, d, "benchmark").select(h)
+    return _t(spark, d, "documents").select("doc_id", h).join(seen, "h", "left_anti").select("doc_id")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def known_semi(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").join(_t(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id")

@@ -78,6 +78,16 @@ def test_same_event_rules(spark, tmp_path):
     assert gate.ok
 
 
+def test_drop_seen_compares_whole_texts(spark, tmp_path):
+    start = "the same opening " * 10
+    rows = [(1, start + "and an end"), (2, start + "and  another\nend"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, start + "and another end"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in core.drop_seen_whole(spark, str(tmp_path)).collect()} == {1, 3}
+    # only behind the 80th character
+    assert "da" in {r.gram for r in core.title_line_bigram_df(spark, str(tmp_path)).collect()}
+
+
 def test_caps_match_greedy(spark):
     rnd = random.Random(1)
     rows = [(i, rnd.randint(0, 5), rnd.randint(0, 99)) for i in range(200)]
