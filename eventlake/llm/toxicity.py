@@ -2,8 +2,10 @@
 
 The lexicon is learned: words and word beginnings that labelled toxic documents hold far more often than clean ones. It
 is a trie; the automaton for up to one edit runs over trie and word at the same time and is built lazily, so a word costs
-one look-up per character and most die after two or three. The first character must match, and only entries of
-FUZZY_FROM characters or more allow an edit. Each caught word is weighed by its context: WINDOW words on either side tell
+one look-up per character and most die after two or three. Only entries of FUZZY_FROM characters or more allow an
+edit. Edited matches have a weight for each entry, and those of the first character one more, since chance neighbours are
+among them. So that edits have a weight where no labelled text is misspelled, each text is also learned from with its
+caught words misspelled: every other text at their first character, the rest at the other places in turn. Each caught word is weighed by its context: WINDOW words on either side tell
 quotation (quotation marks, words of reporting) from abuse (words of address). A logistic scorer over these counts turns
 them into a score from 0 to 1.
 
@@ -58,10 +60,13 @@ class Node:
 
 
 class Automaton:
-    """Entries ("idiot" a word, "lowei*" a beginning) and a lazily built automaton for up to one edit."""
+    """Entries ("idiot" a word, "lowei*" a beginning) and a lazily built automaton for up to one edit.
 
-    def __init__(self, entries: list[str]):
-        self.entries, self.root = entries, Node()
+    The first character must match, unless `first` allows the edit there too, and a beginning's last one to be missing.
+    """
+
+    def __init__(self, entries: list[str], first: bool = False):
+        self.entries, self.root, self.first = entries, Node(), first
         self.fuzzy = [len(e.rstrip("*")) >= FUZZY_FROM for e in entries]
         for i, e in enumerate(entries):
             node = self.root
@@ -98,6 +103,8 @@ class Automaton:
             # a last character of the entry may be missing at the end of the word
             closing = found("word")
             missing = [(1, m.word) for n, e in best.values() if e == 0 and n is not self.root for m in n.next.values() if m.word >= 0 and self.fuzzy[m.word]]
+            if self.first:
+                missing += [(1, m.begins) for n, e in best.values() if e == 0 and n is not self.root for m in n.next.values() if m.begins >= 0 and self.fuzzy[m.begins]]
             self.end.append(min([closing, *missing]))
         return self.known[key]
 
@@ -106,7 +113,7 @@ class Automaton:
         for node, e in self.states[state].values():
             if c in node.next:
                 out.append((node.next[c], e))
-            if e == 0 and node is not self.root:
+            if e == 0 and (self.first or node is not self.root):
                 out.append((node, 1))  # one character too many
                 for d, n in node.next.items():
                     if d != c:
@@ -194,37 +201,69 @@ def choose(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, entri
     return chosen
 
 
-#: Counts per document besides those of single entries.
-EXTRA = ("exact", "fuzzy", "abuse", "quoted", "share")
+#: Counts per document besides those of single entries, exact and with an edit.
+EXTRA = ("exact", "fuzzy", "first", "abuse", "quoted", "share")
+
+
+def misspell(word: str, place: int) -> str:
+    """The word with another, no, or one more character at the place."""
+    at, kind = place % len(word), place // len(word) % 3
+    return word[:at] + ("0", "", "0" + word[at])[kind] + word[at + 1 :]
 
 
 class Catcher:
     """Features of a text. Each task builds its own from the entries."""
 
     def __init__(self, entries: list[str]):
-        self.automaton, self.seen = Automaton(entries), {}
+        self.automaton, self.wide, self.seen, self.turn = Automaton(entries), Automaton(entries, first=True), {}, 0
+
+    def caught(self, word: str) -> tuple[int, int]:
+        """(0, entry) exact, (1, entry) with an edit behind the first character, (2, entry) with one of the first, or (2, -1)."""
+        best = self.automaton.match(word)
+        if best[1] < 0 and len(word) >= FUZZY_FROM - 1:
+            best = (2, self.wide.match(word)[1])
+        return best
+
+    def misspelled(self, text: str | None) -> str:
+        """The text with each exact match of an entry that allows edits misspelled, at the first character or one behind it."""
+        out = []
+        self.turn += 1
+        for w in (text or "").lower().split():
+            edits, entry = self.automaton.match(plain(w))
+            if entry >= 0 and edits == 0 and self.automaton.fuzzy[entry]:
+                stem = self.automaton.entries[entry].rstrip("*")
+                at, turn = w.index(stem), self.turn // 2
+                place = 0 if self.turn % 2 else 1 + turn % (len(stem) - 1)
+                w = w[:at] + misspell(stem, place + turn % 3 * len(stem)) + w[at + len(stem) :]
+            out.append(w)
+        return " ".join(out)
 
     def features(self, text: str | None) -> np.ndarray:
         words = (text or "").lower().split()
-        seen, match = self.seen, self.automaton.match
+        seen, match = self.seen, self.caught
         if len(seen) > REMEMBER:
             seen.clear()
         for w in set(words).difference(seen):
             seen[w] = match(plain(w))
-        n = len(self.automaton.entries)
+        n = 2 * len(self.automaton.entries)
         x = np.zeros(n + len(EXTRA))
         for i, w in enumerate(words):
             edits, entry = seen[w]
             if entry < 0:
                 continue
+            if edits:
+                x[n // 2 + entry] += 1
+            if edits == 2:
+                x[n + 2] += 1
+                continue
             window = words[max(0, i - WINDOW) : i + WINDOW + 1]
             quoted = any(c in QUOTES for c in (w[0], w[-1])) or any(plain(v) in REPORTING for v in window) or _inside_quotes(words, i)
             if edits == 0 and not quoted:
                 x[entry] += 1
             x[n + (1 if edits else 0)] += 1
-            x[n + 2] += not quoted and any(plain(v) in ADDRESS for v in window)
-            x[n + 3] += quoted
-        x[n + 4] = x[:n].sum() / max(10, len(words)) * 50
+            x[n + 3] += not quoted and any(plain(v) in ADDRESS for v in window)
+            x[n + 4] += quoted
+        x[n + 5] = x[: n // 2].sum() / max(10, len(words)) * 50
         return np.log1p(x)
 
 
@@ -265,8 +304,9 @@ def _features(entries: list[str]):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Catcher(entries)
         for batch in batches:
-            rows = [c.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+            texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [c.features(t) for t in texts] + [c.features(c.misspelled(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(toxic + toxic, batch.schema.field(1).type)], ["x", "toxic"])
 
     return go
 
@@ -288,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = {r.term: r.clean for r in clean.limit(20_000).collect()}
     entries = choose([(t, x, counts.get(t, 0)) for t, x in top], n_toxic, n_clean)
     rows = train.mapInArrow(_features(entries), "x array<double>, toxic int").toPandas()
-    x = np.array(rows["x"].tolist()).reshape(len(rows), len(entries) + len(EXTRA))
+    x = np.array(rows["x"].tolist()).reshape(len(rows), 2 * len(entries) + len(EXTRA))
     return Model(entries, *fit_scorer(x, rows["toxic"].to_numpy().astype(float)))
 
 

@@ -244,3 +244,17 @@ def test_toxicity(spark, docs):
     assert all(r.predicted == (r.doc_id % 5 == 0) for r in held)
     none = toxicity.fit(df, labels.limit(0))
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, none).collect())
+
+
+def test_toxicity_of_misspelled_terms(spark):
+    """A term misspelled at any place is caught, and scored as toxic though no labelled text is misspelled."""
+    a = toxicity.Automaton(["idiot", "asshole", "scum"], first=True)
+    assert [a.match(w) for w in ("1diot", "xdiot", "diot", "xidiot", "xdiox", "xcum")] == [(1, 0)] * 4 + [(2, -1)] * 2
+    assert a.match(toxicity.plain("@sshole")) == (1, 1) and toxicity.Catcher(["idiot"]).caught("idi0t") == (1, 0)
+    rnd = random.Random(8)
+    words = "the of stone river light walks green houses under near".split()
+    rows = [(i, " ".join([*rnd.choices(words, k=30), *(rnd.choices(["idiot", "moron"], k=2) if i % 5 == 0 else [])])) for i in range(800)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    planted = [(p * 2 + k, " ".join([*rnd.choices(words, k=30), toxicity.misspell(w, p), toxicity.misspell(w, p)])) for p in range(15) for k, w in enumerate(("idiot", "moron"))]
+    assert all(r.predicted for r in toxicity.score(spark.createDataFrame(planted, "doc_id long, text string"), model).collect())
