@@ -4,11 +4,13 @@ A text of up to LEAF characters is encoded in one piece. A longer one is halved
 are rows of their own, encoded in parallel, and joined pairwise as a tree. Where two halves meet, a window of tokens on
 both sides is encoded anew and grows until its outer tokens agree with both halves, or until it has reached white space
 on a side (no token spans white space) or the end of a half. Then the left half's tokens up to the window, the window's
-and the right half's from there on are the encoding of the whole: between tokens that agree, neither side can change.
+and the right half's from there on are the encoding of the whole: between tokens that agree, neither side can change. An
+added token such as an end mark is matched as a string before anything is split, so a window always holds as many
+characters on both sides as the longest one has: one that a cut went through lies in it whole.
 
 Null counts as empty, and has no ids and decodes to the empty text. Repeated rows and doc_ids each keep their row; equal
-long texts are encoded once. An empty table gives an empty result. Other columns pass through untouched where `carry`
-names them.
+long texts are encoded once, and so are equal texts that lie near each other. An empty table gives an empty result. Other
+columns pass through untouched where `carry` names them, whatever their names are, but for those of the results.
 """
 
 from __future__ import annotations
@@ -16,15 +18,17 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
-from eventlake.llm.tokens import PieceEncoder, blocks, encoder, strings, tokenizer
+from eventlake.llm.tokens import PieceEncoder, encoder, slices, strings, tokenizer
 from eventlake.plans.stage import keep
 
 #: Characters up to which a text is encoded in one piece.
@@ -47,6 +51,12 @@ def encode_part(tok: Tokenizer, text: str) -> Part:
     return Part(text, e.ids, [a for a, _ in e.offsets], [b for _, b in e.offsets])
 
 
+@cache
+def reach(tok: Tokenizer) -> int:
+    """Characters of the longest added token."""
+    return max((len(t.content) for t in tok.get_added_tokens_decoder().values()), default=0)
+
+
 def _cut_before(p: Part, i: int) -> bool:
     """Whether token i begins where a character begins that doesn't combine with the one before."""
     return i == 0 or (p.begins[i] >= p.ends[i - 1] and not unicodedata.combining(p.text[p.begins[i]]))
@@ -56,14 +66,14 @@ def join(tok: Tokenizer, left: Part, right: Part, window: int = WINDOW) -> Part:
     """The encoding of the two texts together."""
     if not left.ids or not right.ids:
         return encode_part(tok, left.text + right.text)
-    shift, text = len(left.text), left.text + right.text
+    shift, text, far = len(left.text), left.text + right.text, reach(tok)
     w = window
     while True:
         i = max(0, len(left.ids) - w)
-        while i and not _cut_before(left, i):
+        while i and (left.begins[i] > shift - far or not _cut_before(left, i)):
             i -= 1
         j = min(len(right.ids), w)
-        while j < len(right.ids) and not _cut_before(right, j):
+        while j < len(right.ids) and (right.begins[j] < far or not _cut_before(right, j)):
             j += 1
         a = left.begins[i]
         b = shift + (right.begins[j] if j < len(right.ids) else len(right.text))
@@ -119,30 +129,35 @@ def _digest(names: list[str], numbers: list[str], ids: np.ndarray) -> tuple[int,
     return len(listed), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decode(names, listed).encode("utf-8", "surrogatepass")).hexdigest()
 
 
+#: The result columns, with a digest and without.
+OUT = {
+    True: [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())],
+    False: [StructField("ids", ArrayType(IntegerType()))],
+}
+
+
 def _columns(rows: list[tuple], digest: bool) -> list[pa.Array]:
     types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32())]
     return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * len(types), types, strict=True)]
 
 
-OUT = {True: (["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens long, ids_sha256 string, decoded_sha256 string"), False: (["ids"], "ids array<int>")}
-
-
 def _result(names: list[str], numbers: list[str], ids: np.ndarray, digest: bool) -> tuple:
     return _digest(names, numbers, ids) if digest else (ids.astype(np.int32),)
 
 
-def _short(path: str, n: int, digest: bool):
-    """n carried columns, then the text, are the input columns; the text gives way to the result."""
+def _short(path: str, digest: bool):
+    """carried columns, text -> the carried columns and the result; equal texts of a slice are encoded once."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, spaced=False)
         names = tokens_by_id(enc.tok)
         numbers = [str(i) for i in range(len(names))]
         for batch in batches:
-            texts, rows = strings(batch.column(n)), []
-            for lo, hi in blocks(texts):
-                rows += [_result(names, numbers, np.frombuffer(r, enc.dtype), digest) for r in enc.batch(texts[lo:hi])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *_columns(rows, digest)], [*batch.schema.names[:n], *OUT[digest][0]])
+            for part in slices(batch, 1):
+                coded = part.column(1).dictionary_encode()
+                found = [_result(names, numbers, np.frombuffer(r, enc.dtype), digest) for r in enc.batch(strings(coded.dictionary))]
+                columns = [c.take(coded.indices) for c in _columns(found, digest)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["carry", *(f.name for f in OUT[digest])])
 
     return go
 
@@ -215,40 +230,43 @@ def _assemble(path: str, digest: bool):
         close()
         ids = np.concatenate(done) if done else np.zeros(0, np.int64)
         row = _result(names, [str(i) for i in range(len(names))], ids, digest)
-        return pd.DataFrame([[pdf["key"].iloc[0], *row]], columns=["key", *OUT[digest][0]])
+        return pd.DataFrame([[pdf["key"].iloc[0], *row]], columns=["key", *(f.name for f in OUT[digest])])
 
     return go
 
 
 def encode(docs: DataFrame, path: str, digest: bool = False, carry: tuple[str, ...] = ("doc_id",), leaf: int = LEAF) -> DataFrame:
     """The carried columns with ids; with `digest`, the ids' number and hash and the decoded text's hash instead."""
-    names, schema = OUT[digest]
+    out = [f.name for f in OUT[digest]]
+    if clash := set(out) & set(carry):
+        raise ValueError(f"carried columns are named like results: {sorted(clash)}")
     text = F.coalesce(F.col("text"), F.lit(""))
-    long_ = F.length(text) > leaf
-    kept = [docs.schema[c] for c in carry]
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    short = docs.where(~long_).select(*carry, text.alias("text")).mapInArrow(_short(path, len(carry), digest), f"{head}, {schema}" if head else schema)
-    longs = docs.where(long_).select(*carry, F.md5(text).alias("key"), text.alias("text"))
+    rows = docs.select(F.struct(*carry).alias("carry"), text.alias("text"))
+    long_ = F.length("text") > leaf
+    schema = StructType([rows.schema["carry"], *OUT[digest]])
+    short = rows.where(~long_).mapInArrow(_short(path, digest), schema)
+    longs = rows.where(long_).withColumn("key", F.md5("text"))
     one = longs.select("key", "text").dropDuplicates(["key"])
     # halved until short enough: a power of two of equal parts
     parts = F.pow(2.0, F.ceil(F.log2(F.length("text") / F.lit(leaf)))).cast("int")
     size = F.ceil(F.length("text") / parts).cast("int")
     cut = one.withColumn("size", size).withColumn("at", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / F.col("size")).cast("int") - 1)))
-    leaves = cut.select("key", "at", F.expr("substring(text, at * size + 1, size)").alias("leaf")).repartition("key", "at")
+    # long texts are few and heavy, so the number of partitions is set rather than left to their bytes
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = cut.select("key", "at", F.expr("substring(text, at * size + 1, size)").alias("leaf")).repartition(n, "key", "at")
     done = leaves.mapInArrow(_leaves(path), "key string, at int, head string, mid binary, tail string, head_ids binary, tail_ids binary")
-    whole = keep(done.groupBy("key").applyInPandas(_assemble(path, digest), f"key string, {schema}"), "long-texts")
-    return short.union(longs.select(*carry, "key").join(whole, "key").select(*carry, *names))
+    whole = done.repartition(n, "key").groupBy("key").applyInPandas(_assemble(path, digest), StructType([StructField("key", StringType()), *OUT[digest]]))
+    both = short.union(longs.select("carry", "key").join(keep(whole, "long-texts"), "key").select("carry", *out))
+    return both.select("carry.*", *out)
 
 
 def decode_texts(encoded: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns with the text that the ids decode to; null ids decode to the empty text."""
-    n = len(carry)
-
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = tokens_by_id(tokenizer(path))
         for batch in batches:
-            texts = pa.array([decode(names, ids or []) for ids in batch.column(n).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], texts], [*batch.schema.names[:n], "decoded"])
+            texts = pa.array([decode(names, ids or []) for ids in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["carry", "decoded"])
 
-    head = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in carry)
-    return encoded.select(*carry, "ids").mapInArrow(go, f"{head}, decoded string")
+    rows = encoded.select(F.struct(*carry).alias("carry"), "ids")
+    return rows.mapInArrow(go, StructType([rows.schema["carry"], StructField("decoded", StringType())])).select("carry.*", "decoded")

@@ -9,16 +9,18 @@ spaces, by a special token between them that the tokenizer itself cuts at.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces whose ids a worker remembers; beyond it, only those of the texts at hand stay.
-REMEMBER = 1_000_000
+#: Bytes of pieces and their ids that a worker remembers; beyond it, only those of the texts at hand stay.
+REMEMBER = 64 << 20
+#: What Python adds to the bytes of a remembered piece and its ids.
+ENTRY = 160
 #: Pieces that are joined into one text for the tokenizer, which is quicker on short texts.
 TOGETHER = 200
 #: Marks that the tokenizers cut off behind a letter, whatever follows.
@@ -43,8 +45,8 @@ class PieceEncoder:
     every piece stands alone.
     """
 
-    def __init__(self, path: str, spaced: bool, cut: str = "<|endoftext|>"):
-        self.tok, self.spaced, self.cut = tokenizer(path), spaced, cut
+    def __init__(self, path: str, spaced: bool, remember: int = REMEMBER, cut: str = "<|endoftext|>"):
+        self.tok, self.spaced, self.remember, self.cut = tokenizer(path), spaced, remember, cut
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
         self.cut_id = self.tok.token_to_id(cut)
@@ -52,6 +54,7 @@ class PieceEncoder:
         self.begins = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
         self.marks = {m: self.ids(m).tobytes() for m in MARKS}
         self.seen: dict[str, bytes | None] = {}
+        self.held = 0
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of one text. Nothing here needs offsets, and the library is quicker without them."""
@@ -103,16 +106,16 @@ class PieceEncoder:
     def learn_all(self, new: set[str]) -> None:
         """Remember these pieces; where they don't fit beside the others, the others are forgotten."""
         missing = [p for p in new if p not in self.seen]
-        if len(self.seen) + len(missing) > REMEMBER:
+        if self.held + self._size(missing) > self.remember:
             self.seen = {p: self.seen[p] for p in new if p in self.seen}
+            self.held = self._size(self.seen)
         self.learn(missing)
+        self.held += self._size(missing)
 
-    def learn_texts(self, texts: list[str]) -> None:
-        """Remember the pieces of these texts, all but each one's first, which has no space before it."""
-        new: set[str] = set()
-        for t in texts:
-            new.update(islice(t.split(" "), 1, None))
-        self.learn_all(new)
+    @staticmethod
+    def _size(pieces: Iterable[str]) -> int:
+        """About the bytes that these take with their ids, of which there are as many bytes at most in practice."""
+        return sum(ENTRY + 2 * len(p) for p in pieces)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. The batch should be small enough that its pieces fit in memory beside the remembered ones.
@@ -160,18 +163,20 @@ def strings(column: pa.Array) -> list[str]:
 
 
 @cache
-def encoder(path: str, spaced: bool) -> PieceEncoder:
+def encoder(path: str, spaced: bool, remember: int = REMEMBER) -> PieceEncoder:
     """One in each Python worker, whose later tasks find the pieces that earlier ones learnt."""
-    return PieceEncoder(path, spaced)
-
-
-def blocks(texts: list[str], chars: int = 2_000_000):
-    """Slices of a list that hold at most so many characters, or one text."""
-    begin, total = 0, 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > chars:
-            yield begin, i
-            begin, total = i, 0
-        total += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+    return PieceEncoder(path, spaced, remember)
+
+
+def slices(batch: pa.RecordBatch, text: int, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, in order, whose texts hold at most so many characters together, or one row.
+
+    Python strings and results exist for one part at a time, so a task's memory doesn't grow with the batch.
+    """
+    sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + chars, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end

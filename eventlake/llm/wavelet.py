@@ -1,10 +1,12 @@
 """Token ids in wavelet-matrix shards: one compressed file per shard with access, counting and occurrence lookup.
 
 A shard holds the ids of consecutive documents. Plane k has bit k of every id (the highest first); after each plane the
-ids are stably parted into zeros and ones. Ranks are stored for every 512th bit. Planes are compressed one by one.
+ids are stably parted into zeros and ones. A plane is stored in chunks of CHUNK bits, each compressed by itself, with the
+number of ones before each of them (its ranks). So looking up one place unpacks one or two chunks per plane, not the file.
 
 Documents are written in ascending doc_id order (null first), each with the end id. Null text counts as empty. Repeated
-doc_ids stand next to each other, ordered by text. An empty table writes no shard and reads as an empty result.
+doc_ids stand next to each other, ordered by text. A text of any length is one document of one shard. An empty table
+writes no shard and reads as an empty result. Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +24,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from eventlake.llm.tokens import blocks, encoder, strings
+from eventlake.llm.tokens import encoder, slices, strings
 from eventlake.plans.stage import keep
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 #: Ids after which a shard is closed; a longer document has a shard of its own length.
 SHARD_TOKENS = 1 << 20
-RANK_BITS = 512
+CHUNK = 1 << 17
+CHUNK_BYTES = CHUNK // 8
 END_ID = 2
+#: Bytes of pieces that a writing worker remembers: it runs alone in its executor's slot and has no other large state.
+REMEMBER = 192 << 20
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence of unsigned ids."""
+    """Bit planes of a sequence of unsigned ids: their zeros, the ones before each chunk, and access to chunks."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        step = RANK_BITS // 8
-        self.ranks = []
-        for p in planes:
-            ones = np.add.reduceat(np.bitwise_count(p), np.arange(0, len(p), step), dtype=np.int64) if len(p) else np.zeros(0, np.int64)
-            self.ranks.append(np.concatenate([[0], np.cumsum(ones)]))
+    def __init__(self, n: int, zeros: list[int], ranks: np.ndarray, chunk: Callable[[int, int], np.ndarray]):
+        self.n, self.zeros, self.ranks, self._chunk = n, zeros, ranks, chunk
+        self.depth, self._unpacked = len(zeros), {}
 
     @staticmethod
     def build(ids: np.ndarray) -> WaveletMatrix:
@@ -52,64 +53,92 @@ class WaveletMatrix:
             low = x[np.flatnonzero(~bit)]
             zeros.append(len(low))
             x = np.concatenate([low, x[np.flatnonzero(bit)]])
-        return WaveletMatrix(len(ids), planes, zeros)
+        at = np.arange(0, len(planes[0]), CHUNK_BYTES)
+        ones = [np.add.reduceat(np.bitwise_count(p), at, dtype=np.int64) if len(p) else np.zeros(0, np.int64) for p in planes]
+        ranks = np.array([np.concatenate([[0], np.cumsum(o)]) for o in ones])
+        return WaveletMatrix(len(ids), zeros, ranks, lambda k, c: planes[k][c * CHUNK_BYTES : (c + 1) * CHUNK_BYTES])
+
+    def chunks(self, k: int) -> int:
+        return self.ranks.shape[1] - 1
+
+    def chunk(self, k: int, c: int) -> np.ndarray:
+        """Bytes of one chunk; the last one used of each plane is kept unpacked."""
+        held = self._unpacked.get(k)
+        if held is None or held[0] != c:
+            held = self._unpacked[k] = (c, self._chunk(k, c))
+        return held[1]
 
     def _rank(self, k: int, i: int) -> int:
         """Ones among the first i bits of plane k."""
-        block = i // RANK_BITS
-        a, whole, rest = block * RANK_BITS // 8, i // 8, i % 8
-        ones = int(self.ranks[k][block]) + int(np.bitwise_count(self.planes[k][a:whole]).sum(dtype=np.int64))
-        return ones + (int(self.planes[k][whole]) & ((1 << rest) - 1)).bit_count() if rest else ones
-
-    def _bit(self, k: int, i: int) -> int:
-        return int(self.planes[k][i >> 3]) >> (i & 7) & 1
+        c, left = divmod(i, CHUNK)
+        ones = int(self.ranks[k, c])
+        if left:
+            bits, (whole, rest) = self.chunk(k, c), divmod(left, 8)
+            ones += int(np.bitwise_count(bits[:whole]).sum(dtype=np.int64))
+            ones += (int(bits[whole]) & ((1 << rest) - 1)).bit_count() if rest else 0
+        return ones
 
     def access(self, i: int) -> int:
         value = 0
-        for k in range(len(self.planes)):
-            bit, ones = self._bit(k, i), self._rank(k, i)
+        for k in range(self.depth):
+            c, left = divmod(i, CHUNK)
+            bit, ones = int(self.chunk(k, c)[left >> 3]) >> (left & 7) & 1, self._rank(k, i)
             value = value << 1 | bit
             i = self.zeros[k] + ones if bit else i - ones
         return value
 
+    def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
+        """Where the token's occurrences in [lo, hi) lie below the last plane."""
+        if token < 0 or token >> self.depth:
+            return 0, 0
+        for k in range(self.depth):
+            a, b = self._rank(k, lo), self._rank(k, hi)
+            lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if token >> (self.depth - 1 - k) & 1 else (lo - a, hi - b)
+        return lo, hi
+
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """How often a token stands in [lo, hi)."""
-        hi, depth = self.n if hi is None else hi, len(self.planes)
-        if token >> depth:
-            return 0
-        for k in range(depth):
-            a, b = self._rank(k, lo), self._rank(k, hi)
-            lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if token >> (depth - 1 - k) & 1 else (lo - a, hi - b)
-        return hi - lo
+        a, b = self._range(token, lo, self.n if hi is None else hi)
+        return b - a
 
     def _select(self, k: int, bit: int, j: int) -> int:
         """Place of the j-th (from 0) such bit of plane k."""
-        marks = self.ranks[k] if bit else np.arange(len(self.ranks[k])) * RANK_BITS - self.ranks[k]
-        block = int(np.searchsorted(marks, j, "right")) - 1
-        a = block * RANK_BITS // 8
-        bits = np.unpackbits(self.planes[k][a : a + RANK_BITS // 8], bitorder="little")
-        return block * RANK_BITS + int(np.flatnonzero(bits == bit)[j - int(marks[block])])
+        marks = self.ranks[k] if bit else np.minimum(np.arange(self.ranks.shape[1]) * CHUNK, self.n) - self.ranks[k]
+        c = int(np.searchsorted(marks, j, "right")) - 1
+        bits = np.unpackbits(self.chunk(k, c), bitorder="little")
+        return c * CHUNK + int(np.flatnonzero(bits == bit)[j - int(marks[c])])
 
     def select(self, token: int, j: int) -> int:
         """Place of the j-th (from 0) occurrence of a token; -1 if there are fewer."""
-        depth = len(self.planes)
-        if j < 0 or j >= self.count(token):
+        lo, hi = self._range(token, 0, self.n)
+        if not 0 <= j < hi - lo:
             return -1
-        lo = 0
-        for k in range(depth):
-            a = self._rank(k, lo)
-            lo = self.zeros[k] + a if token >> (depth - 1 - k) & 1 else lo - a
         i = lo + j
-        for k in range(depth - 1, -1, -1):
-            bit = token >> (depth - 1 - k) & 1
+        for k in range(self.depth - 1, -1, -1):
+            bit = token >> (self.depth - 1 - k) & 1
             i = self._select(k, bit, i - self.zeros[k] if bit else i)
         return i
 
+    def _bits(self, k: int) -> np.ndarray:
+        whole = np.concatenate([np.zeros(0, np.uint8), *(self._chunk(k, c) for c in range(self.chunks(k)))])
+        return np.unpackbits(whole, count=self.n, bitorder="little").view(bool)
+
+    def places(self, token: int) -> np.ndarray:
+        """All places of a token in ascending order."""
+        lo, hi = self._range(token, 0, self.n)
+        at = np.arange(lo, hi)
+        for k in range(self.depth - 1, -1, -1):
+            if not len(at):
+                break
+            bit = self._bits(k)
+            at = np.flatnonzero(bit)[at - self.zeros[k]] if token >> (self.depth - 1 - k) & 1 else np.flatnonzero(~bit)[at]
+        return at
+
     def all(self) -> np.ndarray:
         """Every id, from the lowest plane upwards: each plane undoes its own parting."""
-        v = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for low, k in enumerate(range(len(self.planes) - 1, -1, -1)):
-            bit = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+        v = np.zeros(self.n, np.uint16 if self.depth <= 16 else np.uint32)
+        for low, k in enumerate(range(self.depth - 1, -1, -1)):
+            bit = self._bits(k)
             out = np.empty_like(v)
             out[np.flatnonzero(~bit)] = v[: self.zeros[k]]
             out[np.flatnonzero(bit)] = v[self.zeros[k] :] | v.dtype.type(1 << low)
@@ -118,29 +147,40 @@ class WaveletMatrix:
 
 
 def dump(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-    """One shard as one file."""
+    """One shard as one file: head, sizes of the chunks, ranks, documents, chunks."""
     m, z = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1)
-    parts = [z.compress(json.dumps([doc_ids, lengths.tolist()]).encode()), *(z.compress(p.tobytes()) for p in m.planes)]
-    head = json.dumps({"n": m.n, "zeros": m.zeros, "sizes": [len(p) for p in parts]}).encode()
-    return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
+    docs = z.compress(json.dumps([doc_ids, lengths.tolist()]).encode())
+    chunks = [z.compress(m.chunk(k, c).tobytes()) for k in range(m.depth) for c in range(m.chunks(k))]
+    sizes = np.array([len(c) for c in chunks], "<u4").tobytes()
+    head = json.dumps({"n": m.n, "zeros": m.zeros, "docs": len(docs)}).encode()
+    return b"".join([MAGIC, struct.pack("<I", len(head)), head, sizes, m.ranks.astype("<u4").tobytes(), docs, *chunks])
 
 
 def load(file: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
-    """The matrix, the doc_ids and the lengths of a shard's documents."""
+    """The matrix, whose chunks are unpacked as they are needed, the doc_ids and the lengths of a shard's documents."""
     if file[:4] != MAGIC:
         raise ValueError("not a wavelet shard")
-    size = struct.unpack("<I", file[4:8])[0]
-    head, at, parts, z = json.loads(file[8 : 8 + size]), 8 + size, [], zstandard.ZstdDecompressor()
-    for k in head["sizes"]:
-        parts.append(z.decompress(file[at : at + k], max_output_size=1 << 31) if k else b"")
-        at += k
-    docs, lengths = json.loads(parts[0])
-    return WaveletMatrix(head["n"], [np.frombuffer(p, np.uint8) for p in parts[1:]], head["zeros"]), docs, np.array(lengths, np.int64)
+    at = 8 + struct.unpack("<I", file[4:8])[0]
+    head, z = json.loads(file[8:at]), zstandard.ZstdDecompressor()
+    n, zeros = head["n"], head["zeros"]
+    depth, each = len(zeros), -(-n // CHUNK)
+    sizes = np.frombuffer(file, "<u4", depth * each, at).astype(np.int64)
+    at += sizes.size * 4
+    ranks = np.frombuffer(file, "<u4", depth * (each + 1), at).astype(np.int64).reshape(depth, each + 1)
+    at += ranks.size * 4
+    docs, lengths = json.loads(z.decompress(file[at : at + head["docs"]], max_output_size=1 << 31))
+    ends = at + head["docs"] + np.cumsum(sizes)
+
+    def chunk(k: int, c: int) -> np.ndarray:
+        end = int(ends[k * each + c])
+        return np.frombuffer(z.decompress(file[end - int(sizes[k * each + c]) : end], max_output_size=CHUNK_BYTES), np.uint8)
+
+    return WaveletMatrix(n, zeros, ranks, chunk), docs, np.array(lengths, np.int64)
 
 
 def _writer(path: str, shard_tokens: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, spaced=True)
+        enc = encoder(path, spaced=True, remember=REMEMBER)
         end = np.array([END_ID], enc.dtype).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
@@ -153,9 +193,8 @@ def _writer(path: str, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([file], pa.binary())], ["part", "seq", "n_tokens", "file"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-            for lo, hi in blocks(texts):
-                for doc, r in zip(ids[lo:hi], enc.batch(texts[lo:hi]), strict=True):
+            for rows in slices(batch, 1, 2_000_000):
+                for doc, r in zip(rows.column(0).to_pylist(), enc.batch(strings(rows.column(1))), strict=True):
                     docs.append(doc)
                     raw.append(r + end)
                     held += len(r) // enc.width + 1
@@ -190,12 +229,61 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
-def read_digest(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shard files.
+def _starts(shards: DataFrame) -> DataFrame:
+    """part, seq, from: ids before each shard. One task orders one row per partition that wrote; the rest is by part."""
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("sum"))
+    before = parts.select("part", F.coalesce(F.sum("sum").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inner = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return shards.select("part", "seq", "n_tokens", inner.alias("inner")).join(before, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("from"), "n_tokens")
 
-    Starts come from a running sum over one small row per shard, not per document.
-    """
-    before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
-    starts = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("from"))
+
+def read_digest(shards: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shard files."""
     rows = shards.select("part", "seq", "file").mapInArrow(_read, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    starts = _starts(shards).select("part", "seq", "from")
     return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("from") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def count_tokens(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """token, n: how often each of the given tokens stands in all shards. Two chunks per plane and token are unpacked."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0):
+                m, _, _ = load(file.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int32()), pa.array([m.count(t) for t in tokens], pa.int64())], ["token", "n"])
+
+    return shards.select("file").mapInArrow(go, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """token, doc_id, at: every occurrence of the given tokens, and its place within its document."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0):
+                m, docs, lengths = load(file.as_py())
+                ends = np.cumsum(lengths)
+                for t in tokens:
+                    at = m.places(t)
+                    doc = np.searchsorted(ends, at, "right")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t), pa.int32()), pa.array(docs, pa.int64()).take(pa.array(doc)), pa.array(at - (ends - lengths)[doc], pa.int64())], ["token", "doc_id", "at"])
+
+    return shards.select("file").mapInArrow(go, "token int, doc_id long, at long")
+
+
+def tokens_at(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """start, token: the token at each wanted place (column start) of the whole sequence; places outside give no row."""
+    spans = _starts(shards).where("n_tokens > 0").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("from") / SHARD_TOKENS), F.floor((F.col("from") + F.col("n_tokens") - 1) / SHARD_TOKENS))))
+    asked = wanted.select(F.col("start").cast("long").alias("start")).distinct().withColumn("bucket", F.floor(F.col("start") / SHARD_TOKENS))
+    inside = (F.col("start") >= F.col("from")) & (F.col("start") < F.col("from") + F.col("n_tokens"))
+    placed = asked.join(spans, "bucket").where(inside).select(F.col("part").alias("p"), F.col("seq").alias("s"), "start", (F.col("start") - F.col("from")).alias("at"))
+
+    def go(places: pa.Table, files: pa.Table) -> pa.Table:
+        found = []
+        if places.num_rows and files.num_rows:
+            m, _, _ = load(files.column("file")[0].as_py())
+            found = [m.access(i) for i in places.column("at").to_pylist()]
+        return pa.table({"start": places.column("start").slice(0, len(found)), "token": pa.array(found, pa.int32())})
+
+    return placed.groupBy("p", "s").cogroup(shards.select("part", "seq", "file").groupBy("part", "seq")).applyInArrow(go, "start long, token int")
