@@ -6,19 +6,24 @@ goes whole to the section with the largest overlap in characters; among equals t
 document's sections sum to the number of its tokens.
 
 By default sections are lines, each with the line feed that ends it. Null and empty texts have one empty section without
-tokens. Repeated rows are each counted; a null doc_id is passed on. An empty table gives an empty result.
+tokens. Repeated rows are each counted; a null doc_id is passed on. An empty table gives an empty result. Texts of any
+length are encoded whole; a task holds the tokens of about SLICE characters, or of one text, at a time. Other columns
+are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from eventlake.llm.tokens import PieceEncoder, blocks, encoder
+from eventlake.llm.tokens import slices, strings, tokenizer
 
+SLICE = 200_000
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 
 
@@ -46,56 +51,24 @@ def attribute(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> tuple[n
 
 def _counter(path: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, spaced=True)
-        width = enc.width
+        tok = tokenizer(path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in blocks(texts):
-                rows: list[tuple] = []
-                part = texts[lo:hi]
-                enc.learn_texts(part)
-                for doc, text in zip(ids[lo:hi], part, strict=True):
+            for part in slices(batch, 1, SLICE):
+                found = []
+                texts = strings(part.column(1))
+                for text, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+                    spans = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e)).reshape(-1, 2)
                     cuts = line_ends(text)
-                    count, cross = _lines(enc, text, cuts, width)
-                    begins = np.concatenate([[0], cuts[:-1]])
-                    rows += zip([doc] * len(cuts), range(len(cuts)), begins.tolist(), cuts.tolist(), count.tolist(), cross.tolist(), strict=True)
-                cols = list(zip(*rows, strict=True))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
+                    section, crossing = attribute(spans[:, 0], spans[:, 1], cuts)
+                    k = len(cuts)
+                    found.append((np.arange(k), np.concatenate([[0], cuts[:-1]]), cuts, np.bincount(section, minlength=k), np.bincount(section[crossing], minlength=k)))
+                n, columns = np.array([len(f[0]) for f in found]), [np.concatenate(c) for c in zip(*found, strict=True)]
+                doc = part.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
 
     return go
 
 
-def _lines(enc: PieceEncoder, text: str, cuts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each section. Pieces inside one section only count; those that hold a boundary are joined by offsets."""
-    count, cross = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64)
-    pieces = text.split(" ")
-    seen = enc.seen
-    known = [seen.get(p, b"") for p in pieces[1:]]
-    whole = None in known or any(k is None for k in known) or (len(pieces) > 1 and pieces[0][-1:].isspace())
-    spans: list[tuple[int, str]] = []
-    if whole:
-        spans.append((0, text))
-    else:
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
-        sizes[0] -= 1
-        ends = np.cumsum(sizes)
-        begins = ends - sizes
-        first = np.searchsorted(cuts, begins, "right")
-        last = np.searchsorted(cuts, np.maximum(ends - 1, begins), "right")
-        n = np.concatenate([[0], np.fromiter(map(len, known), np.int64, len(known)) // width])
-        inside = first == last
-        inside[0] = False
-        np.add.at(count, first[inside], n[inside])
-        spans += [(int(begins[i]), text[begins[i] : ends[i]]) for i in np.flatnonzero(~inside)]
-    for at, piece in spans:
-        offsets = np.array(enc.tok.encode(piece, add_special_tokens=False).offsets, np.int64).reshape(-1, 2) + at
-        section, crossing = attribute(offsets[:, 0], offsets[:, 1], cuts)
-        np.add.at(count, section, 1)
-        np.add.at(cross, section[crossing], 1)
-    return count, cross
-
-
 def section_tokens(docs: DataFrame, path: str) -> DataFrame:
     """One row for each section of each document: its span, its tokens, and how many of these cross a boundary."""
-    return docs.select("doc_id", "text").mapInArrow(_counter(path), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counter(path), SCHEMA)
