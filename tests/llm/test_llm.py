@@ -34,6 +34,35 @@ def test_token_counts(spark, docs):
     assert section.tolist() == [0, 1, 1] and crossing.tolist() == [False, True, False]
 
 
+def plain_sections(tok, text):
+    """(start, end, tokens, crossing) of each line: every token against every line."""
+    ends = [i + 1 for i, c in enumerate(text) if c == "\n"]
+    ends += [len(text)] if not ends or ends[-1] < len(text) else []
+    lines = list(zip([0, *ends[:-1]], ends, strict=True))
+    out = [[a, b, 0, 0] for a, b in lines]
+    for a, b in tok.encode(text, add_special_tokens=False).offsets:
+        shared = [min(b, y) - max(a, x) for x, y in lines]
+        if max(shared) <= 0:  # a token without characters of its own
+            shared = [int(x <= a < y) for x, y in lines]
+        best = shared.index(max(shared))
+        out[best][2] += 1
+        out[best][3] += sum(x > 0 for x in shared) > 1
+    return [tuple(x) for x in out]
+
+
+def test_token_sections_match_plain_attribution(spark):
+    rnd = random.Random(21)
+    bits = ["word", " two", "  ", "\n", "\n\n", "\n \n", "é", "日本", "😀", "<|endoftext|>", "1234", " \t", "!?", "\n\n\n\n   x", "don't"]
+    texts = ["".join(rnd.choices(bits, k=rnd.randint(0, 40))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, section int")
+    got: dict = {}
+    for r in token_counts.section_tokens(df, BYTE).orderBy("doc_id", "section").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.n_tokens, r.n_crossing))
+    tok = bpe.tokenizer(BYTE)
+    assert got == {i: plain_sections(tok, t) for i, t in enumerate(texts)}
+    assert sum(x[3] for v in got.values() for x in v) > 0
+
+
 def plain_spans(text):
     out = []
     rules = ((r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6), ("AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24))
@@ -136,9 +165,33 @@ def test_wavelet(spark, docs):
     where = np.flatnonzero(a == 7)
     assert (m.all() == a).all() and m.access(1234) == a[1234] and m.count(7, 100, 2000) == (a[100:2000] == 7).sum()
     assert [m.select(7, j) for j in range(len(where))] == where.tolist() and m.select(7, len(where)) == -1
+    assert m.places(7).tolist() == where.tolist() and m.places(299 + 300).tolist() == []
     assert wavelet.read_digest(wavelet.write_shards(docs.limit(0), BYTE)).count() == 0
 
 
+def test_wavelet_lookups_across_chunks_and_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", 256)
+    monkeypatch.setattr(wavelet, "CHUNK_BYTES", 32)
+    a = np.random.default_rng(1).integers(0, 70, 5000).astype("<u2")
+    m, _, _ = wavelet.load(wavelet.dump(a, [1], np.array([5000])))
+    assert (m.all() == a).all() and all(m.access(i) == a[i] for i in range(0, 5000, 37))
+    assert all(m.count(t, 300, 4097) == (a[300:4097] == t).sum() for t in (0, 5, 69, 70, 1000))
+    for t in (0, 31, 69):
+        where = np.flatnonzero(a == t).tolist()
+        assert m.places(t).tolist() == where == [m.select(t, j) for j in range(len(where))]
+    monkeypatch.undo()
+    tok, shards = bpe.tokenizer(BYTE), wavelet.write_shards(docs, BYTE, shard_tokens=50)
+    order = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    each = [(d, [*tok.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in order]
+    flat = [t for _, ids in each for t in ids]
+    common = max(set(flat), key=flat.count)
+    assert {r.token: r.n for r in wavelet.count_tokens(shards, [common, 2, 50000]).collect()} == {t: flat.count(t) for t in (common, 2, 50000)}
+    got = sorted((r.token, r.doc_id or -1, r.at) for r in wavelet.occurrences(shards, [common, 2]).collect())
+    assert got == sorted((t, d or -1, i) for d, ids in each for i, t in enumerate(ids) if t in (common, 2))
+    wanted = spark.createDataFrame([(i,) for i in [0, 1, len(flat) - 1, len(flat), 17, -3]], "start long")
+    assert {r.start: r.token for r in wavelet.tokens_at(shards, wanted).collect()} == {i: flat[i] for i in (0, 1, 17, len(flat) - 1)}
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -230,6 +283,30 @@ def test_bpe(spark, docs):
     assert bpe.encode(df.limit(0), WORD).count() == 0
 
 
+def test_bpe_with_added_tokens_at_cuts(spark):
+    """Every offset of a cut within an added token, in runs and in spaced text, and several of them near one another."""
+    tok, texts = bpe.tokenizer(WORD), []
+    for mark in ("<|endoftext|>", "<|startoftext|>"):
+        for k in range(-2, len(mark) + 3):
+            texts += ["abcd" * 16 + "x" * (64 - k - 64 % 4) + mark + "wordsrun" * 8, ("abc " * 16)[: 64 - k] + mark + " wordsrun" * 8, "q" * (64 - k) + mark * 3 + "é" * 40]
+    rnd = random.Random(3)
+    texts += ["".join(rnd.choice(["<|endoftext|>", "<|endof", "text|>", "<|startoftext|>", "ab", "1", "!", " ", "é"]) for _ in range(60)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wrong = [r.doc_id for r in bpe.encode(df, WORD, leaf=64).collect() if r.ids != tok.encode(texts[r.doc_id], add_special_tokens=False).ids]
+    assert not wrong
+    for cut in range(1, 14):
+        left, right = "ab" * 300 + "<|endoftext|>"[:cut], "<|endoftext|>"[cut:] + "cd" * 300
+        assert bpe.join(tok, bpe.encode_part(tok, left), bpe.encode_part(tok, right)).ids == tok.encode(left + right, add_special_tokens=False).ids
+
+
+def test_bpe_carries_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", 2, "k"), (1, "a b", 3, None), (None, None, None, "k")], "doc_id long, text string, at int, key string")
+    got = bpe.encode(df, WORD, carry=("text", "key", "at", "doc_id"))
+    assert got.columns == ["text", "key", "at", "doc_id", "ids"] and got.count() == 3
+    with pytest.raises(ValueError):
+        bpe.encode(df.withColumn("ids", F.lit(1)), WORD, carry=("ids",))
+
+
 def test_toxicity(spark, docs):
     a = toxicity.Automaton(["idiot", "lowei*", "scum"])
     assert [a.match(w) for w in ("idiot", "idi0t", "idot", "idiiot", "idio", "xdiot", "scum", "scam", "loweischaft", "lowwei")] == [(0, 0), (1, 0), (1, 0), (1, 0), (1, 0), (2, -1), (0, 2), (2, -1), (0, 1), (1, 1)]
