@@ -225,6 +225,52 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert neardup.drop_near_duplicates(docs).where("doc_id is null").count() == 1
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark, monkeypatch):
+    rnd = random.Random(13)
+    word = lambda: str(rnd.randint(0, 10**6))
+
+    def chain():  # b is near a and c, which are too far apart from each other
+        a = [word() for _ in range(200)]
+        b = a[:192] + [word() for _ in range(8)]
+        return [" ".join(x) for x in (a, b, b[8:] + [word() for _ in range(8)])]
+
+    rows = []
+    for k in range(30):  # each id stands on a row of a near pair and on one of another text
+        base = [word() for _ in range(100)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base[:-1] + [word()])), (10 * k, " ".join(word() for _ in range(50))), (10 * k + 1, " ".join(word() for _ in range(50)))]
+    a, b, c = chain()
+    rows += [(1000, a), (None, b), (1001, c), (None, b), (None, None), (1002, ""), (1002, "")]
+    sets = {i: shingles(t) for i, (_, t) in enumerate(rows)}
+    low = plain_components(sets)
+    groups: dict = {}
+    for i in sets:
+        groups.setdefault(low[i], []).append(i)
+    want = []
+    for members in groups.values():
+        ids = [rows[i][0] for i in members if rows[i][0] is not None]
+        want += [(rows[i][0], len(sets[i]), min(ids) if ids else None) for i in members]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, body int, place int, node int")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()]
+    key = lambda t: tuple((x is None, x or 0) for x in t)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    left = sorted((r.doc_id, r.text) for r in neardup.drop_near_duplicates(df).where("doc_id is not null").collect())
+    first = [min((rows[i] for i in m if rows[i][0] is not None), default=None) for m in groups.values() if sets[m[0]]]
+    assert left == sorted([x for x in first if x] + [(1002, ""), (1002, "")])
+    assert neardup.drop_near_duplicates(df).where("doc_id is null").count() == 3
+
+
+def test_hot_postings_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "HOT_LISTS", 10**9)
+    monkeypatch.setattr(neardup, "SMALL_LIST", 5)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rnd = random.Random(2)
+    base = [str(rnd.randint(0, 10**6)) for _ in range(150)]
+    texts = {i: " ".join(w if rnd.random() > 0.01 * (i % 4) else str(rnd.randint(0, 10**6)) for w in base) for i in range(50)}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_components({i: shingles(t) for i, t in texts.items()})
+
+
 def vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(260, 12))
