@@ -296,6 +296,40 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_probing_finds_every_code_within_the_radius():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 1 << 16, (3000, 5)).astype(np.uint16)
+    index, near = ann.MultiIndex(codes), 2
+    flips = ann.masks(near)
+    for q in range(0, 3000, 300):
+        query = codes[q] ^ np.uint16(1 << q % 16)
+        apart = np.bitwise_count(codes ^ query)
+        assert set(index.probe(query, flips)) == set(np.flatnonzero((apart <= near).any(axis=1)))
+        assert set(np.flatnonzero(apart.sum(axis=1) <= 5 * near + 4)) <= set(index.probe(query, flips))
+
+
+def test_nearest_of_repeated_ids_and_mixed_lengths(spark, monkeypatch):
+    """Several blocks and groups; every row is a query or candidate of its own; each length is answered apart."""
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "GROUP", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in np.float32(rng.normal(size=6 if i % 3 else 9))]) for i in range(420)]
+    rows += [(0, rows[0][1]), (20, rows[40][1]), (21, rows[40][1])]
+    df = spark.createDataFrame([(i, v, 1, True) for i, v in rows], "vec_id long, embedding array<float>, row int, q boolean")
+    got: dict = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want: dict = {}
+    for n, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            best = sorted((-float(np.dot(v, w)), j) for m, (j, w) in enumerate(rows) if m != n and len(w) == len(v))[:20]
+            want.setdefault(i, []).append([(j, -s) for s, j in best])
+    assert set(got) == set(want) and len(got[0]) == len(got[20]) == 40
+    hits = sum(len({j for _, j, _ in got[i]} & {j for w in want[i] for j, _ in w}) for i in want)
+    assert hits >= 0.9 * sum(len({j for w in want[i] for j, _ in w}) for i in want)
+    assert all(sorted(r for r, _, _ in got[i]) == sorted([*range(1, 21)] * len(want[i])) for i in want)
+
+
 def test_embedding_dedup(spark):
     df, known = vectors(spark)
     got = {r.vec_id: r for r in embed_dedup.near_duplicates(df).collect()}
