@@ -3,14 +3,17 @@
 Within a label, two vectors with cosine of at least c are unit vectors at most sqrt(2 - 2c) apart. Unit vectors are laid
 on a grid of that width along DIMS leading principal directions of the data, and sorted by label and cell; the sorted
 sequence is cut into intervals of up to INTERVAL rows. Two intervals are compared if the ranges of their coordinates come
-within the width in every direction (found by an equi-join on the first coordinate's cell, then by the ranges). Inside a
+within the width in every direction (found by an equi-join on the cells of the first two coordinates, then by the ranges). Inside a
 task the join goes on recursively: sequences are halved, pairs of halves that are provably distant are skipped, and
 pieces of up to LEAF rows are compared by their full vectors in double precision.
 
-Tasks give back, for each vector, how many others it links with, and for components only as many links as join them, so
-a group of copies costs rows in proportion to its size. Rows with equal id or equal vector are rows like any other.
-Null labels, and null, zero or non-finite vectors link with nothing; so do vectors of different lengths. Vectors without
-an id count as links of others. An empty table gives an empty result; other columns are not read.
+Rows of equal label and vector are one class before anything is compared, and a class counts as its rows in the links of
+others; so a group of copies costs what one row costs. Tasks give back, for each class, how many rows it links with, and
+for components only as many links as join them.
+
+Rows with equal ids are rows of their own. Labels may be of any type that has a text. Null labels, and null, zero or
+non-finite vectors link with nothing; so do vectors of different lengths. Vectors without an id count as links of others,
+and never name a component. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -69,11 +72,11 @@ def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, cosine:
 
 def _compare(cosine: float, width: float):
     def go(table: pa.Table) -> pa.Table:
-        """Rows of two intervals (side 0 and 1; only side 0 if they are one) -> links per row, and joining links."""
-        side = table.column("side").to_numpy()
+        """Classes of two intervals (side 0 and 1; only side 0 if they are one) -> linked rows of each, and joining links."""
+        side, copies = table.column("side").to_numpy(), table.column("copies").to_numpy()
         row, x, p = table.column("row").to_numpy(), matrix(table.column("embedding")), matrix(table.column("p"))
         order = np.lexsort([row, *p.T[::-1]])
-        side, row, x, p = side[order], row[order], x[order], p[order]
+        side, row, x, p, copies = side[order], row[order], x[order], p[order], copies[order]
         norm = np.sqrt((x * x).sum(axis=1))
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
@@ -108,10 +111,10 @@ def _compare(cosine: float, width: float):
             ok = close(x[a], x[b], norm[a], norm[b], cosine)
             if one:
                 np.fill_diagonal(ok, False)
-                links[a] += ok.sum(axis=1)
+                links[a] += ok @ copies[b]
             else:
-                links[a] += ok.sum(axis=1)
-                links[b] += ok.sum(axis=0)
+                links[a] += ok @ copies[b]
+                links[b] += copies[a] @ ok
             for i, j in np.argwhere(np.triu(ok) if one else ok):
                 s, t = find(int(a[i])), find(int(b[j]))
                 if s != t:
@@ -133,46 +136,62 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of the input."""
     width = float(np.sqrt(2 - 2 * cosine))
     ok = usable() & F.col("label").isNotNull()
-    unit = F.transform(F.col("embedding").cast("array<double>"), lambda x: x / F.sqrt(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, y: a + y * y)))
-    # the row's own number, so that repeated ids stay apart; kept in a table, hence the same for all that follows
-    all_ = keep(vectors.select("vec_id", "label", "embedding", F.monotonically_increasing_id().alias("row"), F.coalesce(ok, F.lit(False)).alias("ok")), "vectors")
-    good = all_.where("ok").select("row", "label", F.size("embedding").alias("d"), F.col("embedding").cast("array<double>").alias("embedding"), unit.alias("unit"))
+    # a class is named by one of its rows; the numbers are kept in a table, hence the same for all that follows
+    all_ = keep(vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding", F.monotonically_increasing_id().alias("row"), F.coalesce(ok, F.lit(False)).alias("ok")), "vectors")
+    key = F.when(F.col("ok"), F.xxhash64("label", "embedding")).otherwise(F.col("row"))
+    classes = all_.where("ok").groupBy("label", "embedding").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min(key).alias("key"))
+    good = keep(classes.select("row", "label", "copies", "key", F.size("embedding").alias("d"), F.col("embedding").cast("array<double>").alias("embedding")), "vector-classes")
     by_size = good.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not by_size:
         return all_.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     d, n = by_size[0]
-    sample = bounded_sample(good.where(F.col("d") == d), "row", SAMPLE, n).select("unit").limit(2 * SAMPLE).toPandas()
-    x = np.array(sample["unit"].tolist(), float).reshape(len(sample), -1) if len(sample) else np.eye(d)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y * y))
+    # the directions only steer which rows are compared, so that those of the commonest length serve the others as well
+    sample = bounded_sample(good.where(F.col("d") == d), "row", SAMPLE, n).orderBy(F.xxhash64("row"), "row").limit(2 * SAMPLE).select("embedding", norm.alias("norm")).toPandas()
+    x = np.array(sample["embedding"].tolist(), float).reshape(len(sample), -1) / sample["norm"].to_numpy()[:, None] if len(sample) else np.eye(d)
     axes = principal(x, min(DIMS, *x.shape)).T.tolist()
 
     def along(axis: list[float]):  # noqa: ANN202
         weights = F.array(*(F.lit(float(a)) for a in axis))
-        return F.aggregate(F.zip_with("unit", weights, lambda u, w: u * w), F.lit(0.0), lambda a, y: a + F.coalesce(y, F.lit(0.0)))
+        return F.aggregate(F.zip_with("embedding", weights, lambda u, w: u * w), F.lit(0.0), lambda a, y: a + F.coalesce(y, F.lit(0.0))) / F.col("norm")
 
-    placed = good.withColumn("p", F.array(*(along(a) for a in axes)))
-    cells = [F.floor(F.col("p")[i] / width).alias(f"c{i}") for i in range(len(axes))]
+    placed = good.withColumn("norm", norm).withColumn("p", F.array(*(along(a) for a in axes)))
+    names = [f"c{i}" for i in range(len(axes))]
+    cells = [F.floor(F.col("p")[i] / width).alias(c) for i, c in enumerate(names)]
     ranges = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["label", "d", *(f"c{i}" for i in range(len(axes))), "row"]
-    ordered = placed.select("row", "label", "d", "embedding", "p", *cells).repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop(*(f"c{i}" for i in range(len(axes))))
-    schema = "row long, label int, d int, embedding array<double>, p array<double>, interval long"
-    seq = keep(ordered.select("row", F.col("label").cast("int"), "d", "embedding", "p").mapInArrow(_intervals(INTERVAL), schema), "intervals")
+    order = ["label", "d", *names, "row"]
+    ordered = placed.select("row", "label", "d", "copies", "embedding", "p", *cells).repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop(*names)
+    schema = "row long, label string, d int, copies long, embedding array<double>, p array<double>, interval long"
+    seq = keep(ordered.mapInArrow(_intervals(INTERVAL), schema), "intervals")
 
     low, high = ([f(F.col("p")[i]).alias(f"{name}{i}") for i in range(len(axes))] for name, f in (("lo", F.min), ("hi", F.max)))
     boxes = seq.groupBy("interval").agg(F.first("label").alias("label"), F.first("d").alias("d"), *low, *high)
-    # an interval stands in all cells that its first coordinate covers; its partners are in those or the next ones
-    cover = F.sequence(F.floor((F.col("lo0") - SLACK) / width), F.floor((F.col("hi0") + SLACK) / width))
-    left = boxes.withColumn("cell", F.explode(cover))
-    right = boxes.toDF(*(f"{c}_" for c in boxes.columns)).withColumn("cell", F.explode(F.sequence(F.floor((F.col("lo0_") - SLACK) / width) - 1, F.floor((F.col("hi0_") + SLACK) / width) + 1)))
-    near = (left["label"] == right["label_"]) & (left["d"] == right["d_"]) & (left["cell"] == right["cell"]) & (left["interval"] <= right["interval_"])
+
+    # an interval stands in all cells that its first two coordinates cover; its partners are in those or the next ones
+    def cover(df: DataFrame, mark: str, more: int) -> DataFrame:
+        for i in range(min(2, len(axes))):
+            lo, hi = (F.floor((F.col(f"{end}{i}{mark}") + slack) / width) for end, slack in (("lo", -SLACK), ("hi", SLACK)))
+            df = df.withColumn(f"cell{i}", F.explode(F.sequence(lo - more, hi + more)))
+        return df
+
+    left, right = cover(boxes, "", 0), cover(boxes.toDF(*(f"{c}_" for c in boxes.columns)), "_", 1)
+    near = (left["label"] == right["label_"]) & (left["d"] == right["d_"]) & (left["interval"] <= right["interval_"])
+    for i in range(min(2, len(axes))):
+        near = near & (left[f"cell{i}"] == right[f"cell{i}"])
     for i in range(len(axes)):
         near = near & (F.col(f"lo{i}") - F.col(f"hi{i}_") <= width + SLACK) & (F.col(f"lo{i}_") - F.col(f"hi{i}") <= width + SLACK)
     pairs = keep(left.join(right, near).select(F.col("interval").alias("i"), F.col("interval_").alias("j")).distinct(), "interval-pairs")
     sides = pairs.select("i", "j", F.col("i").alias("interval"), F.lit(0).alias("side")).union(pairs.where("i < j").select("i", "j", F.col("j"), F.lit(1)))
-    found = keep(sides.join(seq.select("interval", "row", "embedding", "p"), "interval").select("i", "j", "side", "row", "embedding", "p").groupBy("i", "j").applyInArrow(_compare(cosine, width), "a long, b long, n long"), "vector-links")
+    inputs = sides.join(seq.select("interval", "row", "copies", "embedding", "p"), "interval").select("i", "j", "side", "row", "copies", "embedding", "p")
+    found = keep(inputs.groupBy("i", "j").applyInArrow(_compare(cosine, width), "a long, b long, n long"), "vector-links")
 
-    counts = found.where("n > 0").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links"))
+    counts = found.where("n > 0").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("others"))
     labels = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "row").withColumnRenamed("label", "root")
-    rows = all_.select("row", "vec_id").join(counts, "row", "left").join(labels, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    names = rows.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    out = rows.join(names, "root").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
+    linked = good.select("row", "label", "copies", "key").join(counts, "row", "left").join(labels, "row", "left")
+    linked = linked.select("key", F.col("label").alias("of"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "row").alias("root"))
+    many = linked.where("n_links > 0")  # a class alone says nothing about its row
+    rows = all_.select("row", "vec_id", "label", key.alias("key"), "ok")
+    both = rows.join(many, (rows["key"] == many["key"]) & (rows["label"] == many["of"]) & rows["ok"], "left").select("vec_id", "row", "n_links", F.coalesce("root", "row").alias("root"))
+    component = both.where("n_links > 0").groupBy("root").agg(F.min("vec_id").alias("name"))
+    out = both.join(component, "root", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links") > 0, F.col("name")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
