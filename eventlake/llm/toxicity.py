@@ -9,10 +9,12 @@ caught words misspelled: every other text at their first character, the rest at
 quotation (quotation marks, words of reporting) from abuse (words of address). A logistic scorer over these counts turns
 them into a score from 0 to 1.
 
-Lexicon and scorer are fitted on at most SAMPLE labelled documents outside the held-out fold. Only texts enter a score.
-Null and empty texts have no words, and get the score of a document in which nothing is caught. Repeated rows are each
-scored; labels that repeat or contradict each other count each; null labels are left out. Without labels every score is
-that of a prior of PRIOR. An empty table gives an empty result.
+Lexicon and scorer are fitted on about SAMPLE labelled documents outside the held-out fold, twice as many at most; every
+term of theirs that tells toxic from clean well enough is an entry. A term counts once for toxic documents of one sketch,
+so that copies of a document don't make its chance words entries. Only texts enter a score. Null and empty texts have no
+words, and get the score of a document in which nothing is caught; texts of any length are read whole. Repeated rows are
+each scored; labels that repeat or contradict each other count each; null labels are left out. Without labels every score
+is that of a prior of PRIOR. An empty table gives an empty result; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,17 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.llm import shingles as S
+from eventlake.llm.tokens import slices
 from eventlake.plans.stage import keep
 
-#: Labelled documents at most that lexicon and scorer are fitted on.
+#: Labelled documents that lexicon and scorer are fitted on: a bound on the fit, not on what is scored.
 SAMPLE = 20_000
-#: Entries at most.
-ENTRIES = 64
+#: An entry stands in so many different toxic documents at least, in so many times the share of clean ones, with such a z.
+SEEN, TIMES, Z = 5, 6.0, 5.0
 FUZZY_FROM = 5
 WINDOW = 5
 PRIOR = 0.1
 REMEMBER = 300_000
-LONGEST = 24
 PREFIXES = range(4, 9)
 
 #: Words that report another's speech, and words that address a person, in the languages of the corpus.
@@ -145,59 +148,56 @@ def plain(token: str) -> str:
 def _terms(text: str) -> set[str]:
     out = set()
     for w in {plain(t) for t in text.lower().split()}:
-        if 3 <= len(w) <= LONGEST:
+        if len(w) >= 3:
             out.add(w)
             out.update(w[:k] + "*" for k in PREFIXES if len(w) >= k)
     return out
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, toxic -> how many toxic and clean documents of this task hold each term."""
-    tox: Counter = Counter()
-    clean: Counter = Counter()
+def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> its terms, each with the document's sketch: the least hash of its shingles, which near copies share."""
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            (tox if label else clean).update(_terms(text or ""))
-    terms = list(tox)  # a term that no toxic document holds can't enter the lexicon
-    for i in range(0, len(terms), 50_000):
-        part = terms[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([tox[t] for t in part], pa.int64())], ["term", "toxic"])
+        for text in batch.column(0).to_pylist():
+            if terms := sorted(_terms(text or "")):
+                sketch = int(S.shingle_set(text)[:1].view(np.int64)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([sketch] * len(terms), pa.int64())], ["term", "sketch"])
 
 
-def _count_clean(candidates: frozenset[str]):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                clean.update(_terms(text or "") & candidates)
-        yield pa.RecordBatch.from_arrays([pa.array(list(clean), pa.string()), pa.array(list(clean.values()), pa.int64())], ["term", "clean"])
+def _clean_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> how many documents of this task hold each term."""
+    for batch in batches:
+        held: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            held.update(_terms(text or ""))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
 
-    return go
 
+def telling(train: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, int, float]]:
+    """(term, toxic documents, z) of the terms that tell toxic documents from clean ones. Bounded by the sample's words."""
+    toxic = train.where("toxic = 1").select("text").mapInArrow(_toxic_terms, "term string, sketch long").distinct().groupBy("term").agg(F.count("*").alias("x")).where(F.col("x") >= SEEN)
+    clean = train.where("toxic = 0").select("text").mapInArrow(_clean_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("y"))
+    x, y = F.col("x"), F.coalesce("y", F.lit(0))
+    a, b = (x + 0.5) / (n_toxic + 1), (y + 0.5) / (n_clean + 1)
+    z = (a - b) / F.sqrt((x + y + 1) / (n_toxic + n_clean + 2) * (1 / (n_toxic + 1) + 1 / (n_clean + 1)))
+    rows = toxic.join(clean, "term", "left").select("term", "x", z.alias("z")).where((a >= TIMES * b) & (F.col("z") > Z))
+    return [(r.term, r.x, r.z) for r in rows.collect()]
 
-def choose(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, entries: int = ENTRIES) -> list[str]:
+
+def choose(found: list[tuple[str, int, float]]) -> list[str]:
     """Terms by how much they tell, without those that say what a chosen one says already."""
-    scored = []
-    by = {t: x for t, x, _ in counts}
-    for term, x, y in counts:
-        a, b = (x + 0.5) / (n_toxic + 1), (y + 0.5) / (n_clean + 1)
-        z = (a - b) / np.sqrt((x + y + 1) / (n_toxic + n_clean + 2) * (1 / (n_toxic + 1) + 1 / (n_clean + 1)))
-        if x >= 5 and a >= 6 * b and z > 5:
-            scored.append((z, term, x))
-    scored.sort(key=lambda s: (-s[0], s[1]))
+    by = {t: x for t, x, _ in found}
     chosen: list[str] = []
-    for _, term, x in scored:
+    begins: set[str] = set()
+    for term, x, _ in sorted(found, key=lambda s: (-s[2], s[0])):
         stem = term.rstrip("*")
         # a longer beginning, or the whole word, that nearly as many documents hold says it more exactly
-        if term.endswith("*") and any(v >= 0.97 * x for t, v in by.items() if t != term and t.startswith(stem) and len(t.rstrip("*")) == len(stem) + 1 and t.endswith("*")):
-            continue
-        if term.endswith("*") and by.get(stem, 0) >= 0.97 * x:
+        if term.endswith("*") and (by.get(stem, 0) >= 0.97 * x or any(v >= 0.97 * x for t, v in by.items() if t.endswith("*") and len(t) == len(term) + 1 and t.startswith(stem))):
             continue
-        if any((c.endswith("*") and stem.startswith(c[:-1])) or c == term for c in chosen):
+        if any(stem[:k] in begins for k in range(1, len(stem) + 1)):
             continue
         chosen.append(term)
-        if len(chosen) == entries:
-            break
+        if term.endswith("*"):
+            begins.add(stem)
     return chosen
 
 
@@ -283,17 +283,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; caught words never speak for a clean document, quotation may."""
+def fit_scorer(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps. Each row of x with label y stands for n equal ones."""
     if not len(y) or y.min() == y.max():
-        p = PRIOR if not len(y) else float(np.clip(y.mean(), 0.01, 0.99))
+        p = PRIOR if not len(y) else float(np.clip(y[0], 0.01, 0.99))
         return np.zeros(x.shape[1] if x.ndim == 2 else 0), float(np.log(p / (1 - p)))
     a = np.hstack([x, np.ones((len(x), 1))])
-    w, pen = np.zeros(a.shape[1]), np.full(a.shape[1], ridge * len(y))
+    w, pen = np.zeros(a.shape[1]), np.full(a.shape[1], ridge * n.sum())
     pen[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(pen), a.T @ (p - y) + pen * w)
+        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + np.diag(pen), a.T @ (n * (p - y)) + pen * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -304,9 +304,10 @@ def _features(entries: list[str]):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Catcher(entries)
         for batch in batches:
-            texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [c.features(t) for t in texts] + [c.features(c.misspelled(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(toxic + toxic, batch.schema.field(1).type)], ["x", "toxic"])
+            for part in slices(batch, 0):
+                texts, toxic = part.column(0).to_pylist(), part.column(1).to_pylist()
+                rows = [c.features(t) for t in texts] + [c.features(c.misspelled(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(toxic + toxic, part.schema.field(1).type)], ["x", "toxic"])
 
     return go
 
@@ -316,29 +317,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int"))
     total = usable.count()
     share = int(min(1.0, sample / max(1, total)) * 1_000_000)
-    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).limit(2 * sample)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    some = usable.where(place < share).orderBy(place, "doc_id", "toxic").limit(2 * sample)
     # the sample's size is bounded by the parameter, so this side of the join is small whatever the tables are
     train = keep(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxic-sample")
     n = dict(train.groupBy("toxic").count().collect())
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    toxic = train.mapInArrow(_count_terms, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic"))
-    least = max(5, n_toxic // 100)
-    top = [(r.term, r.toxic) for r in toxic.where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "term").limit(20_000).collect()]
-    clean = train.where("toxic = 0").select("text").mapInArrow(_count_clean(frozenset(t for t, _ in top)), "term string, clean long").groupBy("term").agg(F.sum("clean").alias("clean"))
-    counts = {r.term: r.clean for r in clean.limit(20_000).collect()}
-    entries = choose([(t, x, counts.get(t, 0)) for t, x in top], n_toxic, n_clean)
-    rows = train.mapInArrow(_features(entries), "x array<double>, toxic int").toPandas()
+    entries = choose(telling(train, n.get(1, 0), n.get(0, 0)))
+    # most clean documents have no feature at all: equal rows are one row with a count
+    rows = train.mapInArrow(_features(entries), "x array<double>, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n")).toPandas().sort_values("toxic", kind="stable")
     x = np.array(rows["x"].tolist()).reshape(len(rows), 2 * len(entries) + len(EXTRA))
-    return Model(entries, *fit_scorer(x, rows["toxic"].to_numpy().astype(float)))
+    return Model(entries, *fit_scorer(x, rows["toxic"].to_numpy().astype(float), rows["n"].to_numpy().astype(float)))
 
 
 def _scorer(model: Model):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Catcher(model.entries)
         for batch in batches:
-            x = [c.features(t) for t in batch.column(1).to_pylist()]
-            scores = model.score(np.array(x).reshape(len(x), -1)) if len(model.weights) else np.full(len(x), 1 / (1 + np.exp(-model.bias)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            for part in slices(batch, 1):
+                x = [c.features(t) for t in part.column(1).to_pylist()]
+                scores = model.score(np.array(x).reshape(len(x), -1)) if len(model.weights) else np.full(len(x), 1 / (1 + np.exp(-model.bias)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return go
 
