@@ -3,11 +3,12 @@
 Ten heuristics vote good (1), bad (0) or nothing on each document. How often each pattern of votes occurs is counted over
 all documents (at most 3^10 patterns); on these counts expectation-maximisation estimates the share of good documents and
 each labeller's accuracy. The posterior of each pattern is the soft label of its documents. A logistic scorer over hashed
-shapes of words (letters, digits and punctuation, with runs shortened) is trained with these labels on a sample of at
-most SAMPLE documents, and scores every document from 0 to 1; one below the threshold is rejected.
+shapes of words (letters, digits and punctuation, with runs shortened) is trained with these labels on a sample of about
+SAMPLE documents, twice as many at most, and scores every document from 0 to 1; one below the threshold is rejected.
 
-Null and empty texts have no words: one labeller calls them bad, all others are silent. Repeated rows are each scored.
-An empty table gives an empty result, and its model scores everything 0.5. No label, lang, source or id is read.
+Null and empty texts have no words: one labeller calls them bad, all others are silent. Texts of any length are read
+whole. Repeated rows are each scored, and equal texts alike. An empty table gives an empty result, and its model scores
+everything 0.5. No label, lang, source or id enters a score; columns of any name pass through `keep_good`.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
+from eventlake.llm.tokens import slices
 from eventlake.plans.stage import keep
 
-#: Documents at most that the linear scorer is fitted on; the vote counts cover all documents.
+#: Documents that the linear scorer is fitted on: a bound on the fit. The vote counts cover all documents.
 SAMPLE = 20_000
 BUCKETS = 1 << 12
 LABELLERS = ("shouting", "symbols", "odd_ends", "repetition", "stutter", "lines", "table", "word_length", "empty", "prose")
@@ -121,7 +124,7 @@ def hashed(shapes: Counter) -> tuple[np.ndarray, np.ndarray]:
     total = max(1, max(shapes.values(), default=1))
     at: Counter = Counter()
     for s, c in shapes.items():
-        at[1 + xxhash.xxh3_64_intdigest(s[:16]) % (BUCKETS - 1)] += c
+        at[1 + xxhash.xxh3_64_intdigest(s) % (BUCKETS - 1)] += c
     keys = np.fromiter(at.keys(), np.int32, len(at))
     vals = np.sqrt(np.fromiter(at.values(), np.float32, len(at)) / total)
     return np.concatenate([[0], keys]).astype(np.int32), np.concatenate([[1.0], vals]).astype(np.float32)
@@ -188,19 +191,24 @@ def fit_scorer(keys: list, vals: list, labels: np.ndarray, rounds: int = 300, ra
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """carried column, text -> carried column, votes, keys and values of the features."""
     for batch in batches:
-        votes, keys, vals = [], [], []
-        for t in batch.column(1):
-            v, s = votes_and_shapes(t.as_py())
-            k, x = hashed(s)
-            votes.append("".join("1" if i == 1 else "0" if i == 0 else "-" for i in v.tolist()))
-            keys.append(k)
-            vals.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string()), pa.array(keys, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))], ["doc_id", "votes", "keys", "vals"])
+        for part in slices(batch, 1):
+            votes, keys, vals = [], [], []
+            for t in part.column(1):
+                v, s = votes_and_shapes(t.as_py())
+                k, x = hashed(s)
+                votes.append("".join("1" if i == 1 else "0" if i == 0 else "-" for i in v.tolist()))
+                keys.append(k)
+                vals.append(x)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(votes, pa.string()), pa.array(keys, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))], ["carry", "votes", "keys", "vals"])
 
 
-def features(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_features, "doc_id long, votes string, keys array<int>, vals array<float>")
+def features(docs: DataFrame, *carry: str) -> DataFrame:
+    """The carried columns as one, votes, keys, vals."""
+    rows = docs.select(F.struct(*carry).alias("carry"), "text")
+    made = [StructField("votes", StringType()), StructField("keys", ArrayType(IntegerType())), StructField("vals", ArrayType(FloatType()))]
+    return rows.mapInArrow(_features, StructType([rows.schema["carry"], *made]))
 
 
 def fit(feats: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer, DataFrame]:
@@ -211,8 +219,8 @@ def fit(feats: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer, Dat
     total = sum(r.n for r in counted)
     # the sample is a threshold on a hash, so that a document is in it whatever the partitions are
     share = min(1.0, sample / max(1, total))
-    pick = F.pmod(F.xxhash64("doc_id", "votes"), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = feats.where(pick).select("votes", "keys", "vals", F.xxhash64("doc_id").alias("h")).limit(2 * sample).toPandas().sort_values(["h", "votes"], kind="stable")
+    place = F.xxhash64("votes", "keys", "vals")
+    rows = feats.select("votes", "keys", "vals", place.alias("h")).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("h", "votes").limit(2 * sample).toPandas()
     labels = np.array([model.posterior[v] for v in rows["votes"]])
     scorer = fit_scorer(rows["keys"].tolist(), rows["vals"].tolist(), labels)
     table = spark.createDataFrame([(p, float(x)) for p, x in model.posterior.items()], "votes string, posterior double")
@@ -222,35 +230,28 @@ def fit(feats: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer, Dat
 def _scorer(model: Scorer):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = []
-            for k, x in zip(batch.column(2), batch.column(3), strict=True):
-                flat.append(model.score(k.values.to_numpy(), x.values.to_numpy()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.float64())], ["doc_id", "votes", "score"])
+            flat = [model.score(k.values.to_numpy(), x.values.to_numpy()) for k, x in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flat, pa.float64())], ["carry", "votes", "score"])
 
     return go
 
 
+def _scored(feats: DataFrame, scorer: Scorer) -> DataFrame:
+    made = [StructField("votes", StringType()), StructField("score", DoubleType())]
+    return feats.mapInArrow(_scorer(scorer), StructType([feats.schema["carry"], *made]))
+
+
 def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, votes, posterior, score, keep for every document."""
-    feats = keep(features(docs), "quality-features")
+    feats = keep(features(docs, "doc_id"), "quality-features")
     _, scorer, table = fit(feats)
-    scored = feats.mapInArrow(_scorer(scorer), "doc_id long, votes string, score double")
     # at most 3^10 patterns of votes exist, so this side is small whatever the input
-    return scored.join(F.broadcast(table), "votes").select("doc_id", "votes", "posterior", "score", (F.col("score") >= threshold).alias("keep"))
+    return _scored(feats, scorer).join(F.broadcast(table), "votes").select("carry.doc_id", "votes", "posterior", "score", (F.col("score") >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of the documents whose score reaches the threshold. The texts are read a second time, not shuffled."""
-    _, scorer, _ = fit(keep(features(docs), "quality-features"))
-
-    @F.pandas_udf("double")
-    def score(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        out = []
-        for t in texts:
-            v, s = votes_and_shapes(t)
-            out.append(scorer.score(*hashed(s)))
-        return pd.Series(out, dtype=float)
-
-    return docs.where(score("text") >= threshold)
+    """All columns of the documents whose score reaches the threshold. Texts are written beside their features, so that
+    these are worked out once."""
+    feats = keep(features(docs, *docs.columns), "quality-features")
+    _, scorer, _ = fit(feats)
+    return _scored(feats, scorer).where(F.col("score") >= threshold).select("carry.*")
