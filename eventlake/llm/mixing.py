@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from eventlake.llm.names import fresh
 from eventlake.plans.stage import keep
 
 #: No document is taken more often, and no source's target is larger than so many times its size.
@@ -129,10 +130,11 @@ def mix(docs: DataFrame, adjust: int = ADJUST) -> DataFrame:
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """docs with each document repeated as the mix takes it, and left out where it takes none.
+    """docs with each document repeated as the mix takes it, and left out where it takes none; all columns stay.
 
     Rows without a doc_id are taken once. Rows that share a doc_id are taken as often as the first of them.
     """
-    copies = mix(docs.where("doc_id is not null")).where("copies > 0").groupBy("doc_id").agg(F.min("copies").alias("mix_copies"))
-    taken = docs.join(copies, "doc_id").withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    n = fresh(docs, "mix_copies")
+    copies = mix(docs.where("doc_id is not null")).where("copies > 0").groupBy("doc_id").agg(F.min("copies").cast("int").alias(n))
+    taken = docs.join(copies, "doc_id").withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
     return taken.union(docs.where("doc_id is null"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from eventlake.llm.names import fresh
 from eventlake.plans.stage import keep
 
 #: Code points between two parts that still count as one scope.
@@ -135,15 +136,17 @@ MASK = "[secret]"
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of every row, with each reported span of the text replaced by MASK; overlapping spans become one.
 
-    Null texts stay null. Rows without a hit are passed on as they are; only rows with one are joined to their spans.
+    Null texts stay null, columns of any other name stay as they are. Rows without a hit are passed on as they are; only
+    rows with one are joined to their spans.
     """
-    scanned = keep(scan(docs.where(_hit(F.col(text))), text, ()), "secret-scan")
+    scanned = keep(scan(docs.where(_hit(F.col(text))).select(F.col(text).alias("text")), "text", ()), "secret-scan")
     order = W.partitionBy("secret_key").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     merged = spans(scanned).withColumn("past", F.coalesce(F.max("end").over(order), F.lit(0))).where(F.col("end") > F.col("past"))
-    each = merged.groupBy("secret_key").agg(F.sort_array(F.collect_list(F.struct(F.greatest("start", "past").alias("start"), "end"))).alias("secret_spans"))
+    key, found = fresh(docs, "secret_key"), fresh(docs, "secret_spans")
+    each = merged.groupBy(F.col("secret_key").alias(key)).agg(F.sort_array(F.collect_list(F.struct(F.greatest("start", "past").alias("start"), "end"))).alias(found))
     hit = F.coalesce(_hit(F.col(text)), F.lit(False))
-    dirty = docs.where(hit).withColumn("secret_key", F.md5(text)).join(each, "secret_key", "left")
-    at, body = F.col("secret_spans"), F.col(text)
+    dirty = docs.where(hit).withColumn(key, F.md5(text)).join(each, key, "left")
+    at, body = F.col(found), F.col(text)
     # what stands before each span, each followed by the mask, then the rest
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(at, lambda x: x["end"]))
     before = F.zip_with(at, F.slice(ends, 1, F.size(at)), lambda x, e: F.concat(F.substring(body, (e + 1).cast("int"), (x["start"] - e).cast("int")), F.lit(MASK)))
