@@ -6,16 +6,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HALF_LIFE_H = 48.0
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "dd MMM yyyy")
+#: After zone names became offsets and fractions of seconds were cut off.
+FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ssXXX", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+#: Zone names of mail dates, in hours from UTC.
+ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 
 
 def parse_date_multi(c: Column) -> Column:
     """The first format that reads the text; without a zone it is UTC; else null."""
     # the day of the week says nothing that the date doesn't
-    bare = F.regexp_replace(F.trim(c), "^[A-Za-z]{3}, *", "")
+    bare = F.regexp_replace(F.trim(c), "^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +", "")
+    bare = F.regexp_replace(bare, r"(:\d{2})[.,]\d+", "$1")
+    for name, hours in ZONES.items():
+        bare = F.regexp_replace(bare, rf"(?i)(?<=\d) +{name}$", f" {'-' if hours < 0 else '+'}{abs(hours):02d}00")
+    # an ISO time's offset may stand without a colon
+    bare = F.regexp_replace(bare, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}) ?([+-]\d{2})(\d{2})$", "$1$2:$3")
     return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS))
 
 
+#: Where pages say when they were published, in order of trust.
+META_DATES = (
+    r'property="article:published_time" content="([^"]+)',
+    r'"datePublished"\s*:\s*"([^"]+)',
+    r'name="date" content="([^"]+)',
+    r'itemprop="datePublished"[^>]*content="([^"]+)',
+    r'<time[^>]*datetime="([^"]+)"',
+)
+
+
+def meta_date(html: Column) -> Column:
+    """The first of the page's dates that reads as one between 2005 and 2100, else null."""
+    found = [parse_date_multi(F.left(F.regexp_extract(html, p, 1), F.lit(30))) for p in META_DATES]
+    return F.coalesce(*(F.when(F.year(d).between(2005, 2100), d) for d in found))
+
+
+def backfill_date(published: Column, page: Column, now: Column) -> Column:
+    """A missing date from the page, unless that lies more than a day ahead."""
+    return F.coalesce(published, F.when(page <= now + F.expr("INTERVAL 1 DAY"), page))
+
+
 def clamp_future(ts: Column, now: Column, hours: int = 2) -> Column:
     return F.when(ts > now + F.expr(f"INTERVAL {hours} HOURS"), now).otherwise(ts)
 
@@ -41,6 +70,21 @@ def age_bucket(ts: Column, now: Column) -> Column:
     return F.when(h < 1, "hour").when(h < 24, "day").when(h < 168, "week").otherwise("older")
 
 
+def completed_week(now: Column, shift_hours: int = 8) -> Column:
+    """Monday of the last full week, in local days."""
+    monday = F.date_trunc("week", now + F.expr(f"INTERVAL {shift_hours} HOURS")).cast("date")
+    return F.date_sub(monday, 7)
+
+
+def is_classic(ts: Column, evergreen: Column, now: Column, days: int = 30) -> Column:
+    return F.coalesce(evergreen & (hours_between(now, ts) > 24 * days), F.lit(False))
+
+
+def entry_updated(published: Column, first_seen: Column, items: Column) -> Column:
+    """The latest of an event's own dates and its items'."""
+    return F.greatest(published, first_seen, F.array_max(items))
+
+
 def week_id(ts: Column, shift_hours: int = 8) -> Column:
     """ISO week of the local day."""
     local = ts + F.expr(f"INTERVAL {shift_hours} HOURS")
@@ -62,18 +106,30 @@ def heat(importance: Column, ts: Column, signal: Column, extra_sources: Column,
     return F.least(F.lit(100.0), F.bround(F.round(raw, 6)))
 
 
-def personal_score(importance: Column, heat_: Column, age_days: Column, sources: Column, matches: Column, favourite: Column) -> Column:
-    return 100 + 18 * F.greatest(matches - 1, F.lit(0)) + 0.35 * importance + 0.2 * heat_ + F.greatest(F.lit(0.0), 18 - 1.7 * age_days) + F.least(F.lit(12), 4 * (sources - 1)) + F.when(favourite, 10).otherwise(0)
+def personal_score(matches: Column, importance: Column, heat_: Column, age_days: Column, sources: Column, favourite: Column) -> Column:
+    """100 for a match and 18 for each further one; importance, heat and freshness; a few points for sources, 10 for a favourite."""
+    base = F.when(matches > 0, 100 + 18 * (matches - 1)).otherwise(0)
+    extra = F.least(F.lit(12), 4 * F.greatest(sources - 1, F.lit(0)))
+    return base + 0.35 * importance + 0.2 * heat_ + F.greatest(F.lit(0.0), 18 - 1.7 * age_days) + extra + F.when(favourite, 10).otherwise(0)
 
 
 #: Score of a source's tier.
-TIERS = {"AUTOMOBILE": 100, "BUILDING": 80, "FURNITURE": 45, "HOUSEHOLD": 40, "MACHINERY": 25}
+TIERS = {"structured_high": 100, "official_high": 80, "community_targeted": 45, "media_targeted": 40, "low_precision": 25, "media_low": 20}
 
 
 def tier_score(tier: Column, tiers: dict[str, int] = TIERS, default: int = 30) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in tiers.items() for x in kv))[tier], F.lit(default))
 
 
+def primary_source_score(tier: Column, weight: Column, vendor_default: Column, signal: Column, summary_chars: Column, tiers: dict[str, int] = TIERS) -> Column:
+    """The tier, 5 for each weight, 15 for a vendor's own source, up to 20 for signal and up to 10 for the summary's length."""
+    zero = F.lit(0)
+    return (
+        tier_score(tier, tiers) + 5 * F.coalesce(weight, zero) + F.when(vendor_default, 15).otherwise(0)
+        + F.least(F.lit(20), F.floor(F.coalesce(signal, zero) / 10)) + F.least(F.lit(10), F.floor(F.coalesce(summary_chars, zero) / 100))
+    )
+
+
 def safe_ratio(n: Column, d: Column) -> Column:
     return F.coalesce(F.bround(n / F.nullif(d, F.lit(0)), 4), F.lit(0.0))
 

@@ -14,17 +14,36 @@ def clean_text(c: Column, n: int | None = None) -> Column:
     return out if n is None else F.left(out, F.lit(n))
 
 
+#: Named entities and their characters; the ampersand comes last, so that nothing is decoded twice.
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "mdash": "—", "ndash": "–", "hellip": "…", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "middot": "·", "copy": "©", "reg": "®", "trade": "™", "amp": "&"}
+
+
+def unescape(c: Column) -> Column:
+    """Numeric entities below 65,536, then the named ones, become characters."""
+    out = c
+    for pattern, base in ((r"&#(\d{1,5});", 10), (r"&#[xX]([0-9A-Fa-f]{1,4});", 16)):
+        pieces, codes = F.split(out, pattern, -1), F.regexp_extract_all(out, F.lit(pattern), F.lit(1))
+        # the code point's two bytes, read as UTF-16
+        chars = F.transform(codes, lambda x: F.decode(F.unhex(F.lpad(F.conv(x, base, 16), 4, "0")), "UTF-16BE"))
+        mixed = F.zip_with(pieces, chars, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        out = F.when(c.contains("&#"), F.array_join(mixed, "")).otherwise(out)
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return out
+
+
 def strip_html(c: Column) -> Column:
-    """Tags become spaces, the common named entities characters."""
-    out = F.regexp_replace(c, r"(?s)<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return clean_text(out)
+    """Tags become spaces, entities characters."""
+    return clean_text(unescape(F.regexp_replace(c, r"(?s)<[^>]*>", " ")))
 
 
 def repair_markup(c: Column) -> Column:
-    """Bare ampersands escaped, so that the text parses as XML."""
-    return F.regexp_replace(c, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
+    """Entities that XML doesn't declare become characters, bare ampersands are escaped, so that the text parses as XML."""
+    out = c
+    for name, char in ENTITIES.items():
+        if name not in ("lt", "gt", "quot", "apos", "amp"):
+            out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.regexp_replace(out, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
 
 
 def url_host(c: Column) -> Column:
@@ -50,7 +69,7 @@ def norm_url(c: Column) -> Column:
 
 
 #: Parameters that only track.
-TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref", "spm")
+TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "ref", "source")
 
 
 def norm_url_strict(c: Column) -> Column:

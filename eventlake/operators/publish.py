@@ -6,16 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-
-def personal_score(matches: Column, importance: Column, age_days: Column) -> Column:
-    """100 for a match, 18 for each further one, then importance and freshness."""
-    return F.lit(100.0) + 18 * (matches - 1) + 0.35 * importance + F.greatest(F.lit(0.0), 18.0 - 1.7 * age_days)
-
-
-def personal_rank(follows: DataFrame, events: DataFrame, now: Column, k: int) -> DataFrame:
-    """The k best events of each user among those with a followed key. follows: user_id, key; events: key, event_id, importance, published."""
-    hits = follows.select("user_id", "key").distinct().join(events, "key").groupBy("user_id", "event_id").agg(F.count("*").alias("matches"), F.max("importance").alias("importance"), F.max("published").alias("published"))
-    scored = hits.withColumn("score", personal_score(F.col("matches"), F.col("importance"), F.datediff(now, "published")))
+from eventlake.functions.scores import personal_score
+
+
+def personal_rank(follows: DataFrame, events: DataFrame, now: Column, k: int, dismissed: DataFrame | None = None, favourites: DataFrame | None = None) -> DataFrame:
+    """The k best events of each user among those with a followed key, without dismissed ones.
+
+    follows: user_id, key; events: key, event_id, importance, heat, sources, published, source; dismissed: user_id,
+    event_id; favourites: user_id, source. Users meet events by an equi-join on the key, never all with all.
+    """
+    pick = [F.max(c).alias(c) for c in ("importance", "heat", "sources", "published", "source")]
+    hits = follows.select("user_id", "key").distinct().join(events, "key").groupBy("user_id", "event_id").agg(F.count_distinct("key").alias("matches"), *pick)
+    if dismissed is not None:
+        hits = hits.join(dismissed.select("user_id", "event_id"), ["user_id", "event_id"], "left_anti")
+    liked = F.lit(False)
+    if favourites is not None:
+        hits = hits.join(favourites.select("user_id", "source").distinct().withColumn("liked", F.lit(True)), ["user_id", "source"], "left")
+        liked = F.coalesce("liked", F.lit(False))
+    score = personal_score(F.col("matches"), F.col("importance"), F.col("heat"), F.datediff(now, "published"), F.col("sources"), liked)
+    scored = hits.withColumn("score", score)
     place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), F.desc("published"), F.asc("event_id")))
     return scored.withColumn("place", place).where(F.col("place") <= k).select("user_id", "place", "event_id", F.round("score", 6).alias("score"))
 

@@ -2,30 +2,69 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.functions.text import jaccard
 from eventlake.operators.graph import connected_components
+from eventlake.plans.stage import keep
+
+
+def set_classes(sets: DataFrame, key: str = "id", grams: str = "grams", group: str | None = None) -> DataFrame:
+    """(id, rep, part, g): each set with the smallest id of its group and equal content. Empty sets and null groups are left out."""
+    part = F.col(group) if group else F.lit(0)
+    base = sets.select(F.col(key).alias("id"), F.sort_array(F.array_distinct(grams)).alias("g"), part.alias("part")).where((F.size("g") > 0) & F.col("part").isNotNull())
+    reps = base.groupBy("part", "g").agg(F.min("id").alias("rep"))
+    return base.join(reps, ["part", "g"]).select("id", "rep", "part", "g")
+
+
+def class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b: pairs of representatives of one group with a Jaccard above the threshold.
+
+    Each set is looked up by its rarest grams only: two sets above the threshold must share one of these. It posts them
+    under the band of its size; the smaller set of a pair finds the larger one in its own band or the next. What grams are
+    left behind the shared one bounds how much two sets can share, so most pairs end inside the join.
+    """
+    reps = keep(classes.where("id = rep").select("rep", "part", "g"), "set-classes")
+    each = reps.select("rep", "part", F.explode("g").alias("gram")).select("rep", "part", F.xxhash64("gram").alias("token"))
+    count = each.groupBy("token").agg(F.count("*").alias("df"))
+    tokens = F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
+    ranked = keep(each.join(count, "token").groupBy("rep", "part").agg(tokens.alias("tokens")).withColumn("n", F.size("tokens")), "ranked-sets")
+    band = F.floor(F.log(F.col("n")) / -math.log(threshold) + 1e-9).cast("int")
+    keep_n = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
+    prefix = ranked.select("rep", "part", "n", band.alias("band"), F.posexplode(F.slice("tokens", F.lit(1), keep_n)).alias("i", "token"))
+    small = prefix.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    large = prefix.select(F.col("rep").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), "part", "band", "token")
+    first = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("rep") < F.col("other")))
+    most = F.least("i", "j") + 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
+    enough = most > threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
+    near = small.join(large, ["part", "band", "token"]).where(first & (F.col("n") >= F.col("m") * threshold) & enough).select("rep", "other").distinct()
+    both = near.join(ranked.select("rep", F.col("tokens").alias("x")), "rep").join(ranked.select(F.col("rep").alias("other"), F.col("tokens").alias("y")), "other")
+    shared = F.size(F.array_intersect("x", "y"))
+    similarity = shared / (F.size("x") + F.size("y") - shared)
+    return both.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"), similarity.alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def similar_pairs(sets: DataFrame, threshold: float, key: str = "id", grams: str = "grams", group: str | None = None) -> DataFrame:
-    """(a, b, similarity) with a < b and Jaccard above the threshold.
+    """(a, b, similarity) with Jaccard above the threshold, between the smallest ids of sets of equal content, and each
+    other member of such a set with the smallest, at 1. So a group of n copies costs n - 1 rows.
 
-    Each set is looked up by its rarest grams only: two sets above the threshold must share one of them. Sets of equal
-    content are compared once, so a group of copies costs one row each. With a group, only sets of an equal one are
-    compared; a null group equals none.
+    With a group, only sets of an equal one are compared; a null group equals none.
     """
-    part = F.col(group) if group else F.lit(0)
-    base = sets.select(F.col(key).alias("id"), F.sort_array(F.array_distinct(grams)).alias("g"), part.alias("part")).where((F.size("g") > 0) & F.col("part").isNotNull())
-    count = base.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = base.select("id", "part", F.size("g").alias("n"), F.explode("g").alias("gram")).join(count, "gram").groupBy("id", "part", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("by"))
-    prefix = ranked.select("id", "part", "n", F.explode(F.slice("by", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("x")).select("id", "part", "n", F.col("x.gram").alias("gram"))
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "part", "gram")
-    near = prefix.join(other, ["part", "gram"]).where((F.col("id") < F.col("b")) & (F.col("m") >= F.col("n") * threshold) & (F.col("n") >= F.col("m") * threshold)).select(F.col("id").alias("a"), "b").distinct()
-    base = base.select("id", "g")
-    both = near.join(base.toDF("a", "ga"), "a").join(base.toDF("b", "gb"), "b")
-    return both.withColumn("similarity", jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") > threshold).select("a", "b", "similarity")
+    classes = keep(set_classes(sets, key, grams, group), "set-members")
+    copies = classes.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return class_pairs(classes, threshold).union(copies)
+
+
+def all_pairs(sets: DataFrame, threshold: float, key: str = "id", grams: str = "grams", group: str | None = None) -> DataFrame:
+    """(a, b, similarity), a < b: every pair of ids, copies expanded. For results that must name them all."""
+    classes = keep(set_classes(sets, key, grams, group), "set-members")
+    members = classes.select("rep", "id", "part")
+    equal = members.toDF("rep", "a", "part").join(members.toDF("rep", "b", "part"), ["rep", "part"]).where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    near = class_pairs(classes, threshold)
+    wide = near.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
+    return equal.union(wide.select(F.least("x", "y"), F.greatest("x", "y"), "similarity"))
 
 
 def resolve(ids: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
