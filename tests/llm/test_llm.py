@@ -61,6 +61,9 @@ def test_token_sections_match_plain_attribution(spark):
     tok = bpe.tokenizer(BYTE)
     assert got == {i: plain_sections(tok, t) for i, t in enumerate(texts)}
     assert sum(x[3] for v in got.values() for x in v) > 0
+    for path in (BYTE, WORD):
+        for t, (starts, ends) in zip(texts, token_counts.token_spans(path, texts), strict=True):
+            assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == bpe.tokenizer(path).encode(t, add_special_tokens=False).offsets
 
 
 def plain_spans(text):
