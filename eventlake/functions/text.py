@@ -138,13 +138,21 @@ def clean_page_title(c: Column) -> Column:
 
 
 def source_family(c: Column) -> Column:
-    """Names of one publisher's outlets fold to one key."""
-    out = F.regexp_replace(F.lower(c), r"[(（\[][^)）\]]*[)）\]]", "")
-    return F.regexp_replace(F.regexp_replace(out, r"\b(official|engineering|blog|news|medium|rss|feed)\b", ""), r"[^a-z0-9㐀-鿿]", "")
+    """Names of one publisher's outlets fold to one key: without brackets, words of outlets and their endings."""
+    out = F.regexp_replace(F.lower(c), r"[(（][^)）]*[)）]", " ")
+    out = F.regexp_replace(out, r"\b(?:official|engineering|blog|blogs|news|medium|rss)\b", " ")
+    out = F.regexp_replace(out, "(?:官方网站|官方博客|官网|官方|博客|动态|中文|英文)$", "")
+    return F.regexp_replace(out, r"[^0-9a-z\u4e00-\u9fff]+", "")
+
+
+#: Words in a source's name that tell what it is.
+VENDOR_WORDS = ("官方", "博客", "动态", "engineering", "blog")
+MEDIA_WORDS = ("techcrunch", "infoq", "极客公园", "产品经理")
 
 
 def source_type(c: Column) -> Column:
-    return F.when(F.lower(c).rlike("official|vendor|release"), "vendor_claim").when(F.lower(c).rlike("media|news|press"), "media_report").otherwise("other")
+    vendor, media = (F.lower(c).rlike("|".join(words)) for words in (VENDOR_WORDS, MEDIA_WORDS))
+    return F.when(vendor, "vendor_claim").when(media, "media_report").otherwise("other")
 
 
 def clip_sentence(c: Column, n: int) -> Column:
@@ -170,3 +178,40 @@ def query_bucket(length: Column) -> Column:
 
 def viewport_bucket(width: Column) -> Column:
     return F.when(width < 640, "s").when(width < 1024, "m").otherwise("l")
+
+
+def page_from_path(path: Column, pages: dict[str, str], default: str = "other") -> Column:
+    """The page whose pattern the path matches first."""
+    out = F.lit(default)
+    for name, pattern in reversed(pages.items()):
+        out = F.when(path.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def referrer_bucket(host: Column, own: Column, classes: dict[str, str]) -> Column:
+    """direct without a host, internal from the own site, else the class whose pattern the host matches, else other."""
+    out = F.lit("other")
+    for name, pattern in reversed(classes.items()):
+        out = F.when(F.lower(host).rlike(pattern), name).otherwise(out)
+    return F.when(F.coalesce(host, F.lit("")) == "", "direct").when(F.lower(host) == F.lower(own), "internal").otherwise(out)
+
+
+def clean_reason(c: Column, labels: tuple[str, ...]) -> Column:
+    """Without its own label, however often that stands before it."""
+    return F.regexp_replace(clean_text(c), f"^(?:(?:{'|'.join(labels)}) *[:：] *)+", "")
+
+
+def doc_fingerprint(*columns: str) -> Column:
+    """sha256 of the columns as JSON, by name; nulls and missing ones are alike."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def group_fingerprint(key: str, value: Column) -> Column:
+    """Aggregate: sha256 of the rows' values in order of their key."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))), lambda x: x["v"])
+    return F.sha2(F.array_join(rows, "\n"), 256)
+
+
+def body_hash(order: str, text: Column) -> Column:
+    """Aggregate: the first 24 digits of the sha256 of a body's blocks in order."""
+    return F.left(group_fingerprint(order, text), F.lit(24))

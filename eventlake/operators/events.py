@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -52,52 +51,6 @@ def hot_top(events: DataFrame, limit: int, cap: int = 2, source: str = "source")
     return cap_per_key(events, source, order, cap).orderBy(*order).limit(limit)
 
 
-def merge_items(items: DataFrame, event: str = "event_id") -> DataFrame:
-    """Items into their event: dates take the earliest, signal and importance the largest, the longest summary wins."""
-    seq = F.struct(F.length("summary"), -F.col("seq"))
-    names = F.transform(F.sort_array(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"])
-    return items.groupBy(event).agg(F.min("published").alias("published"), F.max("signal").alias("signal"), F.max("importance").alias("importance"), F.max_by("summary", seq).alias("summary"), F.slice(F.array_distinct(names), 1, 5).alias("sources"))
-
-
-def diverse_page(pdf: pd.DataFrame, size: int = 20, vendor_cap: int = 4, source_cap: int = 2, soft: int = 12) -> pd.DataFrame:
-    """Ordered rows of one day -> pages: hard vendor and source caps, no neighbours of one source, a soft category cap
-    that rows of quality may pass, then without category and adjacency rules; what is left follows in order."""
-    rows, page, out = list(pdf.itertuples(index=False)), 0, []
-    while rows:
-        chosen, v, s, c = [], {}, {}, {}
-
-        def fits(r, level: int) -> bool:  # noqa: ANN001
-            if v.get(r.vendor, 0) >= vendor_cap or s.get(r.source, 0) >= source_cap:
-                return False
-            if level < 2 and chosen and chosen[-1].source == r.source:
-                return False
-            return level == 2 or c.get(r.category, 0) < soft or (level == 1 and r.quality)
-
-        for level in range(3):
-            for r in rows:
-                if len(chosen) == size:
-                    break
-                if r not in chosen and fits(r, level):
-                    chosen.append(r)
-                    for counts, k in ((v, r.vendor), (s, r.source), (c, r.category)):
-                        counts[k] = counts.get(k, 0) + 1
-        chosen = chosen or rows[:size]
-        taken = {r.event_id for r in chosen}
-        rows = [r for r in rows if r.event_id not in taken]
-        out += [(r.event_id, r.day, page, i) for i, r in enumerate(chosen)]
-        page += 1
-    return pd.DataFrame(out, columns=["event_id", "day", "page", "place"])
-
-
-def diverse_timeline(events: DataFrame) -> DataFrame:
-    """Pages of each day, days in parallel. Expects event_id, day, source, vendor, category, quality, heat.
-
-    A day's keys are one task's work; the texts stay out of it.
-    """
-    keys = events.select("event_id", "day", "source", "vendor", "category", "quality", "heat")
-    return keys.groupBy("day").applyInPandas(lambda p: diverse_page(p.sort_values(["heat", "event_id"], ascending=[False, True])), "event_id long, day date, page int, place int")
-
-
 def streaks(runs: DataFrame, key: str, order: str, zero: Column, neutral: Column) -> DataFrame:
     """Length of the last run of zeros per key; neutral rows neither count nor reset."""
     real = runs.where(~neutral).withColumn("_z", zero)
@@ -113,19 +66,6 @@ def admit_prefix(queue: DataFrame, order: list[Column], cost: str, budget: int,
     return queue.withColumn("spent", spent).withColumn("admitted", F.col("spent") <= budget)
 
 
-def admit_skipping(queue: DataFrame, cost: str, budget: int, key: str, schema: str) -> DataFrame:
-    """Rows in order of `at`; one that would pass the budget is refused and takes nothing. One queue is one task's work."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, used, ok = pdf.sort_values("at"), 0, []
-        for c in pdf[cost]:
-            ok.append(used + c <= budget)
-            used += c if ok[-1] else 0
-        return pdf.assign(admitted=ok)
-
-    return queue.groupBy(key).applyInPandas(fold, schema)
-
-
 def upsert(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Rows of updates replace those of target with the same key."""
     return target.join(updates.select(key).distinct(), key, "left_anti").unionByName(updates)
@@ -145,19 +85,6 @@ def catalog_diff(base: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
     return b.join(c, key, "full_outer").select(key, F.when(F.col("_c").isNull(), "lost").when(F.col("_b").isNull(), "new").otherwise("kept").alias("change"))
 
 
-def click_dedup(clicks: DataFrame, gap_ms: int, schema: str) -> DataFrame:
-    """Per key, an event within gap_ms of the last kept one is dropped. Expects key, at_ms and an id as tie-break."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, ok = pdf.sort_values(["at_ms", "id"]), None, []
-        for t in pdf["at_ms"]:
-            ok.append(last is None or t - last >= gap_ms)
-            last = t if ok[-1] else last
-        return pdf[ok]
-
-    return clicks.groupBy("key").applyInPandas(fold, schema)
-
-
 def primary_item(items: DataFrame, event: str = "event_id") -> DataFrame:
     """The item of each event with the largest (score, published, item id)."""
     return items.groupBy(event).agg(F.max_by("item", F.struct("score", "published", "item")).alias("primary_item"), F.max("score").alias("score"))

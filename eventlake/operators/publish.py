@@ -23,10 +23,11 @@ def personal_rank(follows: DataFrame, events: DataFrame, now: Column, k: int, di
     if favourites is not None:
         hits = hits.join(favourites.select("user_id", "source").distinct().withColumn("liked", F.lit(True)), ["user_id", "source"], "left")
         liked = F.coalesce("liked", F.lit(False))
-    score = personal_score(F.col("matches"), F.col("importance"), F.col("heat"), F.datediff(now, "published"), F.col("sources"), liked)
+    # rounded before it is ordered by: sums that differ in their last bit are equal
+    score = F.round(personal_score(F.col("matches"), F.col("importance"), F.col("heat"), F.datediff(now, "published"), F.col("sources"), liked), 6)
     scored = hits.withColumn("score", score)
     place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), F.desc("published"), F.asc("event_id")))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select("user_id", "place", "event_id", F.round("score", 6).alias("score"))
+    return scored.withColumn("place", place).where(F.col("place") <= k).select("user_id", "place", "event_id", "score")
 
 
 def block_ids(blocks: DataFrame, doc: str, order: str) -> DataFrame:

@@ -6,42 +6,26 @@ the events table holds clicks, documents hold titles and texts, pages hold raw H
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from eventlake.functions import scores, text
-from eventlake.operators import behavior, events, extract, publish, similar
+from eventlake.operators import behavior, events, extract, folds, publish, similar
 from eventlake.plans.stage import keep
 from eventlake.sources import scans
+from eventlake.query_sets.registry import QUERIES, SQL, query
+from eventlake.query_sets.registry import table as _t
 from eventlake.streaming import jobs
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):  # noqa: ANN001, ANN202
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return dict(SQL)
 
 
 # --- events of the model ---------------------------------------------------------------------------------------------
@@ -96,14 +80,15 @@ def push_recommended(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select("event_id", events.push_reason(F.col("evergreen"), F.col("importance"), F.col("n_sources")).alias("reason"))
 
 
-@query(_EVENTS + "SELECT event_id FROM hot WHERE evergreen OR importance >= 70 OR heat >= 65 OR items >= 6")
+@query(_EVENTS + "SELECT event_id FROM hot WHERE evergreen OR importance >= 70 OR heat >= 65 OR n_sources >= 2")
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).where(F.col("evergreen") | (F.col("importance") >= 70) | (F.col("heat") >= 65) | (F.col("items") >= 6)).select("event_id")
+    """Two sources in place of two items, of which most orders have more."""
+    return _events(spark, d).where(events.quality_gate(F.col("evergreen"), F.col("importance"), F.col("heat"), F.col("n_sources"))).select("event_id")
 
 
 @query(_EVENTS + "SELECT event_id FROM hot WHERE evergreen OR importance >= 70 OR heat >= 65 OR items >= 2")
 def event_quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    """The rule of the reference, with two items; quality_gate asks for six."""
+    """With two items."""
     return _events(spark, d).where(events.quality_gate(F.col("evergreen"), F.col("importance"), F.col("heat"), F.col("items"))).select("event_id")
 
 
@@ -133,13 +118,17 @@ def merge_event_items(spark: SparkSession, d: str) -> DataFrame:
     return it.groupBy(F.col("l_orderkey").alias("event_id")).agg(F.min("l_shipdate").alias("published"), F.max("q").alias("signal"), F.sum("q").alias("stacked"), F.max_by("l_linenumber", F.struct("l_extendedprice", -F.col("l_linenumber"))).alias("longest"), F.array_join(F.slice(F.array_distinct(names), 1, 5), ",").alias("sources"))
 
 
+#: Market segments stand in for the tiers of sources.
+SEGMENT_TIERS = dict(zip(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), (100, 80, 45, 40, 25), strict=True))
+
+
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_shipdate, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 100 WHEN 'BUILDING' THEN 80 WHEN 'FURNITURE' THEN 45 WHEN 'HOUSEHOLD' THEN 40 WHEN 'MACHINERY' THEN 25 ELSE 30 END + least(20, CAST(l_quantity AS BIGINT) // 10) AS score
  FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN customer ON c_custkey = l_suppkey)
 SELECT l_orderkey AS event_id, max_by(l_linenumber, (score, l_shipdate, l_linenumber)) AS primary_item, max(score)::BIGINT AS score FROM s GROUP BY l_orderkey""")
 def primary_source(spark: SparkSession, d: str) -> DataFrame:
     li, c = _t(spark, d, "lineitem"), _t(spark, d, "customer")
     s = li.join(_t(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("c_custkey") == F.col("l_suppkey"), "left")
-    scored = s.select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("item"), F.col("l_shipdate").alias("published"), (scores.tier_score(F.col("c_mktsegment")) + F.least(F.lit(20), F.floor(F.col("l_quantity").cast("long") / 10))).cast("long").alias("score"))
+    scored = s.select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("item"), F.col("l_shipdate").alias("published"), scores.primary_source_score(F.col("c_mktsegment"), F.lit(0), F.lit(False), F.col("l_quantity").cast("long"), F.lit(0), SEGMENT_TIERS).cast("long").alias("score"))
     return events.primary_item(scored)
 
 
@@ -210,10 +199,13 @@ def budget_admit(spark: SparkSession, d: str) -> DataFrame:
     return events.admit_prefix(q, [F.col("ts"), F.col("event_id")], "n", 2000, "user_id").select("event_id", "user_id", "spent", "admitted")
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT user_id, event_id, epoch_us(ts) AS "at", CAST(floor(value) AS BIGINT) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, "at", cost, n, cost <= 2000 AS admitted, CASE WHEN cost <= 2000 THEN cost ELSE 0 END AS used FROM q WHERE n = 1
+ UNION ALL SELECT q.user_id, q.event_id, q."at", q.cost, q.n, used + q.cost <= 2000, CASE WHEN used + q.cost <= 2000 THEN used + q.cost ELSE used END FROM r JOIN q ON q.user_id = r.user_id AND q.n = r.n + 1)
+SELECT user_id, event_id, "at", cost, admitted FROM r""")
 def budget_skip(spark: SparkSession, d: str) -> DataFrame:
     q = _t(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.floor("value").alias("cost"))
-    return events.admit_skipping(q, "cost", 2000, "user_id", "user_id long, event_id long, at long, cost long, admitted boolean")
+    return folds.admit_skipping(q, "cost", 2000, "user_id")
 
 
 @query("SELECT event_id FROM (SELECT event_id, dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS r FROM events) WHERE r <= 5")
@@ -251,19 +243,36 @@ def claim_validation(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("error", events.first_reason(("single_family", F.col("families") < 2), ("few_rows", F.col("evidence") < 3)))
 
 
+def _feed(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    gate = events.quality_gate(F.col("evergreen"), F.col("importance"), F.col("heat"), F.lit(1))
+    return e.select("event_id", F.to_date("published").alias("day"), "published", "heat", "importance", F.col("source").cast("string").alias("source"), (F.col("source") % 7).alias("vendor"), "category", gate.alias("quality"))
+
+
 @query()
 def diverse_timeline(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
-    return events.diverse_timeline(e.select("event_id", F.to_date("published").alias("day"), "source", (F.col("source") % 7).alias("vendor"), "category", (F.col("importance") >= 70).alias("quality"), "heat"))
+    return folds.diverse_timeline(_feed(spark, d))
 
 
-@query("""SELECT user_id, place, event_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, day DESC, event_id) AS place FROM (
-SELECT n_nationkey AS user_id, o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS day, 100e0 + 0.35e0 * (CAST(floor(o_totalprice) AS BIGINT) % 101) + greatest(0e0, 18e0 - 1.7e0 * date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-31')) AS score
-FROM nation JOIN orders ON substr(o_orderpriority, 1, 1) = CAST(n_nationkey % 5 + 1 AS VARCHAR))) WHERE place <= 10""")
+@query()
+def diverse_page(spark: SparkSession, d: str) -> DataFrame:
+    return folds.diverse_page(_feed(spark, d), source_caps={"7": 2})
+
+
+@query(_EVENTS + """, f AS (SELECT n_nationkey AS user_id, n_nationkey % 5 + 1 AS k FROM nation UNION SELECT n_nationkey, n_nationkey % 7 FROM nation),
+k AS (SELECT event_id, CAST(substr(category, 1, 1) AS INT) AS k FROM ev UNION SELECT event_id, source % 7 FROM ev),
+m AS (SELECT user_id, event_id, count(DISTINCT k) AS matches FROM f JOIN k USING (k) WHERE event_id % 11 <> user_id % 11 GROUP BY ALL),
+s AS (SELECT user_id, event_id, CAST(published AS DATE) AS day, 100 + 18e0 * (matches - 1) + 0.35e0 * importance + 0.2e0 * heat + greatest(0e0, 18e0 - 1.7e0 * date_diff('day', CAST(published AS DATE), CAST(now AS DATE))) + least(12, 4 * (n_sources - 1)) + CASE WHEN source % 25 = user_id THEN 10 ELSE 0 END AS score FROM m JOIN hot USING (event_id))
+SELECT user_id, place, event_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, day DESC, event_id) AS place FROM s) WHERE place <= 10""")
 def personal_rank(spark: SparkSession, d: str) -> DataFrame:
-    follows = _t(spark, d, "nation").select(F.col("n_nationkey").alias("user_id"), (F.col("n_nationkey") % 5 + 1).cast("string").alias("key"))
-    e = _t(spark, d, "orders").select(F.substring("o_orderpriority", 1, 1).alias("key"), F.col("o_orderkey").alias("event_id"), (F.floor("o_totalprice") % 101).alias("importance"), F.to_date("o_orderdate").alias("published"))
-    return publish.personal_rank(follows, e, F.lit("1998-12-31").cast("date"), 10)
+    users = _t(spark, d, "nation").select(F.col("n_nationkey").alias("user_id"))
+    follows = users.select("user_id", (F.col("user_id") % 5 + 1).cast("long").alias("key")).union(users.select("user_id", (F.col("user_id") % 7).cast("long")))
+    e = _events(spark, d).withColumn("published", F.to_date("published"))
+    keys = e.withColumn("key", F.explode(F.array(F.substring("category", 1, 1).cast("long"), F.col("source") % 7)))
+    gone = users.join(e.select("event_id"), F.col("event_id") % 11 == F.col("user_id") % 11)  # an equi-join
+    liked = users.join(e.select("source").distinct(), F.col("source") % 25 == F.col("user_id"))
+    day = e.agg(F.max(F.to_date("now"))).first()[0]
+    return publish.personal_rank(follows, keys.withColumnRenamed("n_sources", "sources"), F.lit(day), 10, gone, liked)
 
 
 @query("""SELECT * FROM (SELECT 'topic' AS kind, o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 2 ORDER BY n DESC, name LIMIT 8) UNION ALL
@@ -381,12 +390,15 @@ def content_hash_groups(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").groupBy(F.sha2(text.clean_text(F.col("text")), 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-_GRAMS = r"""WITH t AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 80)), '[^\p{L}\p{N}_]+', '', 'g') AS t FROM documents),
+#: A page's title is its whole title element. Two report the same if their bigrams have a Jaccard above this.
+SAME_EVENT = 0.3
+_GRAMS = r"""WITH t AS (SELECT page_id AS doc_id, regexp_replace(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '[^\p{L}\p{N}_]+', '', 'g') AS t FROM pages),
 g AS (SELECT DISTINCT doc_id, substr(t, i, 2) AS gram FROM (SELECT doc_id, t, unnest(generate_series(1, greatest(1, length(t) - 1))) AS i FROM t WHERE t <> ''))"""
 
 
-def _titles(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), text.title_bigrams(F.left("text", F.lit(80))).alias("grams"))
+def _titles(spark: SparkSession, d: str, *carry: str) -> DataFrame:
+    title = F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)
+    return _t(spark, d, "pages").select(F.col("page_id").alias("id"), text.title_bigrams(title).alias("grams"), *carry)
 
 
 @query(_GRAMS + "SELECT gram, count(*) AS df FROM g GROUP BY gram")
@@ -394,33 +406,36 @@ def title_bigram_df(spark: SparkSession, d: str) -> DataFrame:
     return _titles(spark, d).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
 
-_PAIRS = _GRAMS + ", n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / (min(u.n) + min(v.n) - count(*)) AS similarity FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id JOIN n u ON u.doc_id = x.doc_id JOIN n v ON v.doc_id = y.doc_id GROUP BY 1, 2 HAVING count(*) / (min(u.n) + min(v.n) - count(*)) > 0.6)"
+_PAIRS = _GRAMS + ", n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) / (min(u.n) + min(v.n) - count(*)) AS similarity FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id JOIN n u ON u.doc_id = x.doc_id JOIN n v ON v.doc_id = y.doc_id GROUP BY 1, 2 HAVING count(*) / (min(u.n) + min(v.n) - count(*)) > 0.3)"
+#: Pairs of representatives (the smallest id of each set of grams), and each other member with its own.
+_REPS = _PAIRS + ", c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM (SELECT doc_id, string_agg(gram, ' ' ORDER BY gram) AS s FROM g GROUP BY doc_id)), r AS (SELECT a, b, similarity FROM p WHERE a IN (SELECT rep FROM c) AND b IN (SELECT rep FROM c) UNION ALL SELECT rep, doc_id, 1.0 FROM c WHERE rep <> doc_id)"
 
 
-@query(_PAIRS + "SELECT a, b, round(similarity, 6) AS similarity FROM p")
+@query(_REPS + " SELECT a, b, round(similarity, 6) AS similarity FROM r")
 def similar_title_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similar.similar_pairs(_titles(spark, d), 0.6).withColumn("similarity", F.round("similarity", 6))
+    return similar.similar_pairs(_titles(spark, d), SAME_EVENT).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(_PAIRS.replace("WITH t", "WITH RECURSIVE t") + ", e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT doc_id AS id, least(doc_id, coalesce(m, doc_id)) AS group_id FROM documents LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = doc_id")
+@query(_PAIRS.replace("WITH t", "WITH RECURSIVE t") + ", e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT page_id AS id, least(page_id, coalesce(m, page_id)) AS group_id FROM pages LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) ON a = page_id")
 def same_event_components(spark: SparkSession, d: str) -> DataFrame:
     titles = keep(_titles(spark, d), "titles")
-    return similar.resolve(titles, similar.similar_pairs(titles, 0.6))
+    return similar.resolve(titles, similar.similar_pairs(titles, SAME_EVENT))
+
 
+_SITE = "array_to_string(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '.')[-2:], '.')"
 
-@query(_PAIRS + "SELECT id, other, place FROM (SELECT s.a AS id, s.b AS other, row_number() OVER (PARTITION BY s.a ORDER BY similarity DESC, s.b) AS place FROM (SELECT a, b, similarity FROM p UNION ALL SELECT b, a, similarity FROM p) s JOIN documents x ON x.doc_id = s.a JOIN documents y ON y.doc_id = s.b WHERE x.lang = y.lang) WHERE place <= 3")
+
+@query(_PAIRS + f"SELECT id, other, place FROM (SELECT s.a AS id, s.b AS other, row_number() OVER (PARTITION BY s.a ORDER BY similarity DESC, s.b) AS place FROM (SELECT a, b, similarity FROM p UNION ALL SELECT b, a, similarity FROM p) s JOIN (SELECT page_id, {_SITE} AS site FROM pages) x ON x.page_id = s.a JOIN (SELECT page_id, {_SITE} AS site FROM pages) y ON y.page_id = s.b WHERE x.site = y.site) WHERE place <= 3")
 def related_top3(spark: SparkSession, d: str) -> DataFrame:
-    p = similar.similar_pairs(_titles(spark, d), 0.6)
+    titles = _titles(spark, d, text.site_key(text.url_host(F.col("url"))).alias("site"))
+    p = similar.all_pairs(titles, SAME_EVENT, group="site")
     both = p.union(p.select("b", "a", "similarity")).toDF("id", "other", "similarity")
-    lang = _t(spark, d, "documents").select("doc_id", "lang")
-    near = both.join(lang.toDF("id", "x"), "id").join(lang.toDF("other", "y"), "other").where("x = y")
-    return near.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where("place <= 3").select("id", "other", "place")
+    return both.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where("place <= 3").select("id", "other", "place")
 
 
-#: The reference's rule of one event: bigrams of titles with a Jaccard above 0.3. A title is a text's whole first line with a letter or digit.
-SAME_EVENT = 0.3
-_LINE_GRAMS = _GRAMS.replace("substr(text, 1, 80)", r"regexp_extract(text, '[\p{L}\p{N}_][^\n]*')")
-_SAME = _PAIRS.replace(_GRAMS, _LINE_GRAMS).replace("> 0.6", "> 0.3")
+# first lines of documents as titles: longer ones, of which many pairs are similar
+_LINE_GRAMS = _GRAMS.replace("page_id AS doc_id", "doc_id").replace("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)", r"regexp_extract(text, '[\p{L}\p{N}_][^\n]*')").replace("FROM pages", "FROM documents")
+_SAME = _PAIRS.replace(_GRAMS, _LINE_GRAMS)
 
 
 def _title_lines(spark: SparkSession, d: str, *carry: str) -> DataFrame:
@@ -435,7 +450,7 @@ def title_line_bigram_df(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SAME + "SELECT a, b, round(similarity, 6) AS similarity FROM p")
 def same_event_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similar.similar_pairs(_title_lines(spark, d), SAME_EVENT).withColumn("similarity", F.round("similarity", 6))
+    return similar.all_pairs(_title_lines(spark, d), SAME_EVENT).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
@@ -446,7 +461,7 @@ def same_event_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SAME + "SELECT id, other, place FROM (SELECT s.a AS id, s.b AS other, row_number() OVER (PARTITION BY s.a ORDER BY similarity DESC, s.b) AS place FROM (SELECT a, b, similarity FROM p UNION ALL SELECT b, a, similarity FROM p) s JOIN documents x ON x.doc_id = s.a JOIN documents y ON y.doc_id = s.b WHERE x.lang = y.lang) WHERE place <= 3")
 def same_event_related3(spark: SparkSession, d: str) -> DataFrame:
-    p = similar.similar_pairs(_title_lines(spark, d, "lang"), SAME_EVENT, group="lang")
+    p = similar.all_pairs(_title_lines(spark, d, "lang"), SAME_EVENT, group="lang")
     both = p.union(p.select("b", "a", "similarity")).toDF("id", "other", "similarity")
     return both.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where("place <= 3").select("id", "other", "place")
 
@@ -469,10 +484,11 @@ def prefilter_stats(spark: SparkSession, d: str) -> DataFrame:
     return _dropped(_t(spark, d, "documents")).groupBy("source").agg(F.count("*").alias("fetched"), F.count_if(r.isNull()).alias("eligible"), F.count_if(r == "short").alias("short"), F.count_if(r == "keyword").alias("keyword"))
 
 
-@query("SELECT doc_id FROM documents WHERE md5(substr(text, 1, 100)) NOT IN (SELECT md5(substr(text, 1, 100)) FROM benchmark)")
+@query("SELECT doc_id FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)")
 def drop_seen(spark: SparkSession, d: str) -> DataFrame:
-    seen = _t(spark, d, "benchmark").select(F.md5(F.left("text", F.lit(100))).alias("h"))
-    return _t(spark, d, "documents").withColumn("h", F.md5(F.left("text", F.lit(100)))).join(seen, "h", "left_anti").select("doc_id")
+    """Texts that are no benchmark item, as they stand."""
+    h = F.sha2("text", 256).alias("h")
+    return _t(spark, d, "documents").select("doc_id", h).join(_t(spark, d, "benchmark").select(h), "h", "left_anti").select("doc_id")
 
 
 _WHOLE = r"sha256(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')))"
@@ -480,7 +496,7 @@ _WHOLE = r"sha256(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')))"
 
 @query(f"SELECT doc_id FROM documents WHERE text IS NULL OR {_WHOLE} NOT IN (SELECT {_WHOLE} FROM benchmark WHERE text IS NOT NULL)")
 def drop_seen_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Compares whole texts; drop_seen compares their first 100 characters."""
+    """As drop_seen, but white space doesn't count."""
     h = F.when(F.col("text").isNotNull(), F.sha2(text.clean_text(F.col("text")), 256)).alias("h")
     seen = _t(spark, d, "benchmark").select(h)
     return _t(spark, d, "documents").select("doc_id", h).join(seen, "h", "left_anti").select("doc_id")
@@ -553,10 +569,13 @@ def return_7d(spark: SparkSession, d: str) -> DataFrame:
     return behavior.return_rate(_b(spark, d))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id || ':' || event_type AS key, event_id AS id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+r AS (SELECT key, id, at_ms, n, true AS kept, at_ms AS last FROM c WHERE n = 1
+ UNION ALL SELECT c.key, c.id, c.at_ms, c.n, c.at_ms - last >= 10800000, CASE WHEN c.at_ms - last >= 10800000 THEN c.at_ms ELSE last END FROM r JOIN c ON c.key = r.key AND c.n = r.n + 1)
+SELECT key, id, at_ms FROM r WHERE kept""")
 def click_dedup(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
-    return events.click_dedup(c, 3 * 3600 * 1000, "key string, id long, at_ms long")
+    return folds.click_dedup(c, 3 * 3600 * 1000)
 
 
 # --- streams ---------------------------------------------------------------------------------------------------------
@@ -580,3 +599,7 @@ def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return jobs.drain(jobs.sessions(jobs.read_events(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# the other subjects register themselves
+from eventlake.query_sets import decisions, publishing, resolution, sources, weekly  # noqa: E402, F401

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.plans.stage import shared_dir
@@ -54,3 +54,57 @@ def sliding_counts(events: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+def click_dedup(events: DataFrame, gap_ms: int, ttl: str = "1 day") -> DataFrame:
+    """Per key (user and kind), an event within gap_ms of the last kept one is dropped; the last kept time is the state.
+
+    A key's state is forgotten when the watermark has passed it by the time to live. A batch's rows of one key are ordered
+    in its task; how many there can be is set by how much a batch reads.
+    """
+    millis = int(ttl.split()[0]) * 86_400_000
+
+    def step(key, frames, state):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["at_ms", "event_id"])
+        last, kept = state.get[0] if state.exists else None, []
+        for t in rows["at_ms"]:
+            kept.append(last is None or t - last >= gap_ms)
+            last = t if kept[-1] else last
+        state.update((int(last),))
+        state.setTimeoutTimestamp(max(int(last), state.getCurrentWatermarkMs()) + millis)
+        yield rows[kept][["key", "event_id", "at_ms"]]
+
+    keyed = events.select(F.concat_ws(":", "user_id", "event_type").alias("key"), "event_id", F.unix_millis("ts").alias("at_ms"), "ts")
+    return keyed.groupBy("key").applyInPandasWithState(step, "key string, event_id long, at_ms long", "last long", "append", "EventTimeTimeout")
+
+
+def ingest(stream: DataFrame, key: str, target: str) -> None:
+    """Landed rows into a table of distinct keys, a batch at a time: rows whose key is there already are dropped, and of a
+    batch's rows of one key the first by all columns stays. Each batch writes its own partition anew, so that a batch that
+    is run again changes nothing.
+    """
+
+    def one(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        new = df.groupBy(key).agg(F.min(F.struct(*(c for c in df.columns if c != key))).alias("_row")).select(key, "_row.*").select(*df.columns)
+        if batch:
+            try:
+                known = spark.read.parquet(target).where(F.col("_batch") < batch).select(key)
+                new = new.join(known, key, "left_anti")
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                    raise
+        new.withColumn("_batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(target)
+
+    stream.writeStream.option("checkpointLocation", f"{target}-state").trigger(availableNow=True).foreachBatch(one).start().awaitTermination()
+
+
+def split_late(batch: DataFrame, watermark: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows in time, and rows that came after the watermark had passed them, for the next batch job to merge."""
+    late = F.coalesce(F.col("ts") < watermark, F.lit(False))
+    return batch.where(~late), batch.where(late)

@@ -1,13 +1,18 @@
+import os
 import random
+from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventlake import queries as core
 from eventlake.functions import scores, text
-from eventlake.operators import events, extract, similar
+from eventlake.operators import events, extract, folds, similar
 from eventlake.operators.graph import connected_components
 from eventlake.sources import scans, sinks
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x")).alias("y")).first().y
@@ -52,7 +57,7 @@ def test_components_match_union_find(spark):
 def test_similar_pairs_match_all_pairs(spark):
     rnd = random.Random(2)
     rows = [(i, sorted({rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 6))})) for i in range(60)]
-    got = {(r.a, r.b) for r in similar.similar_pairs(spark.createDataFrame(rows, "id long, grams array<string>"), 0.3).collect()}
+    got = {(r.a, r.b) for r in similar.all_pairs(spark.createDataFrame(rows, "id long, grams array<string>"), 0.3).collect()}
     want = {(i, j) for i, x in rows for j, y in rows if i < j and x and y and len({*x} & {*y}) / len({*x} | {*y}) > 0.3}
     assert got == want
 
@@ -60,11 +65,17 @@ def test_similar_pairs_match_all_pairs(spark):
 def test_similar_pairs_of_a_group(spark):
     rnd = random.Random(5)
     rows = [(i, sorted({rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 6))}), rnd.choice(["x", "y", None])) for i in range(60)]
-    got = {(r.a, r.b) for r in similar.similar_pairs(spark.createDataFrame(rows, "id long, grams array<string>, lang string"), 0.3, group="lang").collect()}
+    got = {(r.a, r.b) for r in similar.all_pairs(spark.createDataFrame(rows, "id long, grams array<string>, lang string"), 0.3, group="lang").collect()}
     want = {(i, j) for i, x, k in rows for j, y, m in rows if i < j and k and k == m and x and y and len({*x} & {*y}) / len({*x} | {*y}) > 0.3}
     assert got == want
 
 
+def test_copies_cost_a_row_each(spark):
+    rows = [(i, ["ab", "cd", "ef"]) for i in range(300)] + [(300, ["ab", "cd", "xy"]), (301, None), (302, [])]
+    got = {(r.a, r.b) for r in similar.similar_pairs(spark.createDataFrame(rows, "id long, grams array<string>"), 0.3).collect()}
+    assert got == {(0, i) for i in range(1, 301)}
+
+
 def test_same_event_rules(spark, tmp_path):
     """Pairs between 0.3 and 0.6 count; nothing behind a first line's 80th character is cut; two items pass the gate."""
     same, other = "word " * 20, " ending alpha beta gamma delta epsilon zeta eta theta iota kappa"
@@ -102,10 +113,79 @@ def test_caps_match_greedy(spark):
 
 def test_admission_and_click_gaps(spark):
     q = spark.createDataFrame([("k", i, c) for i, c in enumerate([5, 7, 3, 1])], "key string, at long, cost long")
-    rows = events.admit_skipping(q, "cost", 10, "key", "key string, at long, cost long, admitted boolean").orderBy("at").collect()
+    rows = folds.admit_skipping(q, "cost", 10, "key").orderBy("at").collect()
     assert [r.admitted for r in rows] == [True, False, True, True]
+    both = folds.admit_budgets(q, "cost", {"run": 100, "day": 50}, {"day": 41}).orderBy("at").collect()
+    assert [r.admitted for r in both] == [True, False, True, True]
     c = spark.createDataFrame([("k", i, t) for i, t in enumerate([0, 500, 800, 1400, 1600])], "key string, id long, at_ms long")
-    assert [r.id for r in events.click_dedup(c, 750, "key string, id long, at_ms long").orderBy("id").collect()] == [0, 2, 4]
+    assert [r.id for r in folds.click_dedup(c, 750).orderBy("id").collect()] == [0, 2, 4]
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), i, rnd.randint(0, 40_000)) for i in range(400)]
+    want, last = set(), {}
+    for k, i, t in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if k not in last or t - last[k] >= 90:
+            want.add(i)
+            last[k] = t
+    assert {r.id for r in folds.click_dedup(spark.createDataFrame(rows, "key string, id long, at_ms long"), 90).collect()} == want
+
+
+def plain_page(rows, size, adjacent, caps, fill):
+    """Three passes over rows in order; each takes what its rules admit."""
+    chosen = []
+
+    def fits(r, level):
+        if r["vendor"] is not None and sum(c["vendor"] == r["vendor"] for c in chosen) >= 4:
+            return False
+        if r["source"] in caps and sum(c["source"] == r["source"] for c in chosen) >= caps[r["source"]]:
+            return False
+        if level < 2 and not adjacent and chosen and r["source"] is not None and chosen[-1]["source"] == r["source"]:
+            return False
+        return level == 2 or sum(c["category"] == r["category"] for c in chosen) < 12 or (level == 1 and r["quality"])
+
+    for level in range(3):
+        for r in rows:
+            if len(chosen) < size and r not in chosen and fits(r, level):
+                chosen.append(r)
+    for r in rows if fill else ():
+        if len(chosen) < size and r not in chosen:
+            chosen.append(r)
+    return chosen
+
+
+def test_diverse_pages_match_plain_passes(spark):
+    rnd = random.Random(23)
+    rows = [(i, date(2024, 1, 1 + i % 3), rnd.randint(0, 60), rnd.randint(0, 3), 50, rnd.choice(["s1", "s2", "s3", "s4", "s5", None]), rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice("xxxy"), rnd.random() < 0.3) for i in range(240)]
+    schema = "event_id long, day date, published int, heat int, importance int, source string, vendor int, category string, quality boolean"
+    df = spark.createDataFrame(rows, schema)
+    names = ("event_id", "day", "published", "heat", "importance", "source", "vendor", "category", "quality")
+    ordered = sorted((dict(zip(names, r, strict=True)) for r in rows), key=lambda r: (r["published"], r["heat"], r["importance"], r["event_id"]), reverse=True)
+    want = {}
+    for day in {r["day"] for r in ordered}:
+        left, page = [r for r in ordered if r["day"] == day], 0
+        while left:
+            chosen = plain_page(left, min(20, len(left)), False, {"s1": 2}, True)
+            want |= {r["event_id"]: (day, page, place) for place, r in enumerate(chosen)}
+            left, page = [r for r in left if r not in chosen], page + 1
+    assert {r.event_id: (r.day, r.page, r.place) for r in folds.diverse_timeline(df, source_caps={"s1": 2}).collect()} == want
+    first = plain_page(ordered, 20, True, {"s1": 2}, False)
+    assert [r.event_id for r in folds.diverse_page(df, source_caps={"s1": 2}).orderBy("place").collect()] == [r["event_id"] for r in first]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_diverse_queries_on_a_whole_table(spark):
+    rows = [r.asDict() for r in core._feed(spark, SF).collect()]
+    ordered = sorted(rows, key=lambda r: (r["published"], r["heat"], r["importance"], r["event_id"]), reverse=True)
+    want, days = {}, {}
+    for r in ordered:
+        days.setdefault(r["day"], []).append(r)
+    for day, left in days.items():
+        page = 0
+        while left:
+            chosen = plain_page(left, min(20, len(left)), False, {}, True)
+            want |= {r["event_id"]: (day, page, place) for place, r in enumerate(chosen)}
+            left, page = [r for r in left if r not in chosen], page + 1
+    assert {r.event_id: (r.day, r.page, r.place) for r in core.diverse_timeline(spark, SF).collect()} == want
+    assert [r.event_id for r in core.diverse_page(spark, SF).orderBy("place").collect()] == [r["event_id"] for r in plain_page(ordered, 20, True, {"7": 2}, False)]
 
 
 def test_blocks(spark):
