@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,25 +13,50 @@ from pyspark.sql.window import Window as W
 BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "p": "paragraph", "li": "list", "blockquote": "blockquote", "pre": "code", "td": "table", "th": "table", "figcaption": "figure"}
 SKIP = {"script", "style", "nav", "footer", "aside", "form", "noscript", "template", "header"}
 REGIONS = {"article": 2, "main": 1}
-SCHEMA = "page_id long, ord int, type string, level int, region int, text string, link_chars int"
+CONTAINERS = {"article", "main", "div", "section"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+SCHEMA = "page_id long, ord int, type string, level int, region int, text string, link_chars int, links array<string>, src string, alt string, width int, height int"
+REGION_SCHEMA = "page_id long, region int, tag string, attrs string, depth int, chars int"
 MARKERS = r"(?i)^(related|read more|more from|subscribe|share this|advertisement|recommended|comments)\b"
+#: Pages whose rows a task holds at a time.
+PAGES = 64
+
+
+def _number(value: str | None) -> int:
+    digits = (value or "").strip().removesuffix("px")
+    return int(digits) if digits.isdigit() else 0
+
+
+def best_source(attrs: dict) -> str:
+    """The widest candidate of an image's srcset, else its src."""
+    best, width = attrs.get("src") or attrs.get("data-src") or "", 0
+    for part in (attrs.get("srcset") or "").split(","):
+        url, _, size = part.strip().partition(" ")
+        n = int(size[:-1]) if size[:-1].isdigit() else 0
+        if url and n > width:
+            best, width = url, n
+    return best
 
 
 class _Blocks(HTMLParser):
-    """Rows (type, level, region, text, link characters) in document order; unclosed tags end at the next block."""
+    """Rows (type, level, region, text, link characters, links, image) in document order; unclosed tags end at the next block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple] = []
-        self.skip = self.links = self.link_chars = 0
+        self.skip = self.link_chars = 0
+        self.anchors: list[str] = []
         self.region: list[str] = []
-        self.kind, self.level, self.text = "", 0, []
+        self.kind, self.level, self.text, self.links = "", 0, [], []
+
+    def _region(self) -> int:
+        return max((REGIONS[r] for r in self.region), default=0)
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text and self.kind:
-            self.rows.append((self.kind, self.level, max((REGIONS[r] for r in self.region), default=0), text, self.link_chars))
-        self.kind, self.text, self.link_chars = "", [], 0
+            self.rows.append((self.kind, self.level, self._region(), text, self.link_chars, self.links, None, None, None, None))
+        self.kind, self.text, self.link_chars, self.links = "", [], 0, []
 
     def handle_starttag(self, tag, attrs):  # noqa: ANN001, ANN201
         if tag in SKIP:
@@ -43,7 +68,11 @@ class _Blocks(HTMLParser):
             self.flush()
             self.kind, self.level = BLOCKS[tag], int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else 0
         elif tag == "a":
-            self.links += 1
+            self.anchors.append(dict(attrs).get("href") or "")
+        elif tag == "img" and not self.skip:
+            a = dict(attrs)
+            if src := best_source(a):
+                self.rows.append(("figure", 0, self._region(), "", 0, [], src, a.get("alt") or "", _number(a.get("width")), _number(a.get("height"))))
 
     def handle_endtag(self, tag):  # noqa: ANN001, ANN201
         if tag in SKIP:
@@ -53,29 +82,82 @@ class _Blocks(HTMLParser):
             self.region.remove(tag)
         elif tag in BLOCKS:
             self.flush()
-        elif tag == "a":
-            self.links = max(0, self.links - 1)
+        elif tag == "a" and self.anchors:
+            self.anchors.pop()
 
     def handle_data(self, data):  # noqa: ANN001, ANN201
         if not self.skip and self.kind:
             self.text.append(data)
-            if self.links:
+            if self.anchors and data.strip():
                 self.link_chars += len(data.strip())
+                if self.anchors[-1] and self.anchors[-1] not in self.links:
+                    self.links.append(self.anchors[-1])
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
-            p = _Blocks()
-            p.feed(html or "")
-            p.flush()
-            out += [(page, i, *r) for i, r in enumerate(p.rows)]
-        yield pd.DataFrame(out, columns=["page_id", "ord", "type", "level", "region", "text", "link_chars"])
+class _Regions(HTMLParser):
+    """Rows (region, tag, attributes, depth, characters of text) of the containers, in order of their ends."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.rows: list[tuple] = []
+        self.open: list[list] = []
+        self.count = 0
+
+    def handle_starttag(self, tag, attrs):  # noqa: ANN001, ANN201
+        if tag not in VOID:
+            self.open.append([tag, " ".join(f'{k}="{v or ""}"' for k, v in attrs), self.count, 0])
+            self.count += 1
+
+    def handle_startendtag(self, tag, attrs):  # noqa: ANN001, ANN201
+        pass
+
+    def handle_endtag(self, tag):  # noqa: ANN001, ANN201
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is None:
+            return
+        name, attrs, number, chars = self.open[at]
+        if name in CONTAINERS:
+            self.rows.append((number, name, attrs, at, chars))
+        del self.open[at:]
+
+    def handle_data(self, data):  # noqa: ANN001, ANN201
+        if any(t[0] in SKIP for t in self.open):
+            return
+        n = len(" ".join(data.split()))
+        for t in self.open:
+            t[3] += n
+
+
+def _rows(parser: type, schema: str, numbered: bool):
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    types = [kinds[f.strip().split(" ")[1]] for f in schema.split(",")]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                part, out = batch.slice(at, PAGES), []
+                for page, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    p = parser()
+                    p.feed(html or "")
+                    p.close()
+                    if hasattr(p, "flush"):
+                        p.flush()
+                    out += [(page, i, *r) if numbered else (page, *r) for i, r in enumerate(p.rows)]
+                columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return go
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", "html").mapInPandas(_parse, SCHEMA)
+    """Blocks of each page in document order, images among them. A row of a null page is none; a page without blocks gives none."""
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_rows(_Blocks, SCHEMA, True), SCHEMA)
+
+
+def page_regions(pages: DataFrame) -> DataFrame:
+    """Containers of each page: tag, attributes, depth and characters of text outside of navigation."""
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_rows(_Regions, REGION_SCHEMA, False), REGION_SCHEMA)
 
 
 def before_chars(text: str = "text", doc: str = "page_id", order: str = "ord") -> Column:

@@ -354,12 +354,12 @@ def link_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def page_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return extract.page_blocks(_t(spark, d, "pages"))
+    return extract.page_blocks(_t(spark, d, "pages")).withColumn("links", F.array_join("links", " "))
 
 
 @query()
 def page_body(spark: SparkSession, d: str) -> DataFrame:
-    return extract.body_blocks(extract.page_blocks(_t(spark, d, "pages")))
+    return extract.body_blocks(extract.page_blocks(_t(spark, d, "pages"))).withColumn("links", F.array_join("links", " "))
 
 
 @query()
@@ -602,4 +602,4 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the other subjects register themselves
-from eventlake.query_sets import decisions, publishing, resolution, sources, weekly  # noqa: E402, F401
+from eventlake.query_sets import articles, decisions, publishing, resolution, sources, weekly  # noqa: E402, F401
