@@ -63,3 +63,58 @@ def union_sources(*scans: DataFrame) -> DataFrame:
     for s in scans[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
     return out
+
+
+def scan_story_json(spark: SparkSession, path: str, least: int = 30) -> DataFrame:
+    """Hits of landed search answers with enough points: title, link (the item's page where it has none), published, signal;
+    the first by answer order for each link."""
+    schema = "hits array<struct<title:string,url:string,objectID:string,created_at_i:long,points:int,num_comments:int>>"
+    raw = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("hits").alias("at", "h"))
+    return stories(raw.select("at", "h.*"), least)
+
+
+def stories(hits: DataFrame, least: int = 30) -> DataFrame:
+    page = F.concat(F.lit("https://news.ycombinator.com/item?id="), "objectID")
+    kept = hits.where(F.coalesce("points", F.lit(0)) >= least).withColumn("link", F.coalesce(F.nullif("url", F.lit("")), page))
+    first = kept.groupBy("link").agg(F.min_by(F.struct("title", "created_at_i", "points", "num_comments"), F.struct("at", "objectID")).alias("h"))
+    return first.select(F.col("h.title").alias("title"), "link", F.timestamp_seconds("h.created_at_i").alias("published"), F.col("h.points").alias("signal"), F.coalesce("h.num_comments", F.lit(0)).alias("comments"))
+
+
+POST = "uri string, text string, created string, likes int, embed string, facets array<string>, permalink string"
+
+
+def scan_post_json(spark: SparkSession, path: str, least: int = 10) -> DataFrame:
+    """Landed posts, one a line, in the columns of POST."""
+    return posts(spark.read.schema(POST).json(path), least)
+
+
+def posts(rows: DataFrame, least: int = 10) -> DataFrame:
+    """Posts with enough likes and a text: the link of the embed, else the first of the text, else the post's own."""
+    link = F.coalesce(F.nullif("embed", F.lit("")), F.get(F.filter("facets", lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0)), F.col("permalink"))
+    kept = rows.where((F.coalesce("likes", F.lit(0)) >= least) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return kept.select("uri", F.trim("text").alias("text"), link.alias("link"), F.col("likes").alias("signal"), "created")
+
+
+BATCH = "schema_version int, batch_id string, ingested_at string, items array<struct<title:string,summary:string,reason:string,body:string,source_title:string,source_url:string,published:string,category:string,shelf:string,discovery_url:string,discovery_account:string>>"
+
+
+def scan_manual_batch(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a reviewed batch with its header, numbered in order."""
+    raw = spark.read.schema(BATCH).option("multiLine", True).json(path)
+    return raw.select("schema_version", "batch_id", "ingested_at", F.posexplode("items").alias("place", "item")).select("schema_version", "batch_id", "ingested_at", "place", "item.*")
+
+
+def scan_snapshots(spark: SparkSession, path: str, weeks: list[str]) -> DataFrame:
+    """Rows of the asked weeks of a table by week_id, of weeks whose ids are all well formed: only their folders are read."""
+    rows = spark.read.parquet(path).where(F.col("week_id").isin(*weeks))
+    good = rows.groupBy("week_id").agg(F.min(F.coalesce(F.col("event_id").rlike("^[0-9a-f]{12}$"), F.lit(False)).cast("int")).alias("_ok")).where("_ok = 1").select("week_id")
+    return rows.join(good, "week_id", "left_semi")
+
+
+def scan_path_ids(spark: SparkSession, path: str, pattern: str = r"([0-9a-f]{12})\.html$") -> DataFrame:
+    """Distinct ids in a listing of paths, one a line."""
+    return path_ids(spark.read.text(path), pattern)
+
+
+def path_ids(lines: DataFrame, pattern: str = r"([0-9a-f]{12})\.html$") -> DataFrame:
+    return lines.select(F.regexp_extract("value", pattern, 1).alias("id")).where("id <> ''").distinct()
