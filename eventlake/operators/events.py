@@ -85,6 +85,63 @@ def catalog_diff(base: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
     return b.join(c, key, "full_outer").select(key, F.when(F.col("_c").isNull(), "lost").when(F.col("_b").isNull(), "new").otherwise("kept").alias("change"))
 
 
+def release_guard(base: DataFrame, candidate: DataFrame, base_details: DataFrame, details: DataFrame, protected: DataFrame, now: Column, days: int = 8) -> DataFrame:
+    """One row: counts of a release against the one before it, and codes of what speaks against it.
+
+    base, candidate: event_id, time, evergreen, structured, renderable, suspect, chrome; the others: event_id. News older than
+    the days may go, unless it is protected; nothing else may.
+    """
+    flags = ("structured", "renderable", "suspect", "chrome")
+    b = base.select("event_id", F.lit(True).alias("b"), "time", "evergreen", *(F.col(f).alias(f"b_{f}") for f in flags))
+    k = candidate.select("event_id", F.lit(True).alias("k"), *(F.col(f).alias(f"k_{f}") for f in flags))
+    j = b.join(k, "event_id", "full_outer")
+    for name, df in (("bd", base_details), ("kd", details), ("p", protected)):
+        j = j.join(df.select("event_id").distinct().withColumn(name, F.lit(True)), "event_id", "full_outer")
+
+    def on(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False))
+
+    recent = F.coalesce(F.col("time") >= now - F.expr(f"INTERVAL {days} DAYS"), F.lit(False))
+    expired = on("b") & ~recent & ~on("evergreen") & ~on("p")
+    row = j.agg(
+        F.count_if(on("b")).alias("base"), F.count_if(on("k")).alias("candidate"), F.count_if(expired & ~on("k")).alias("expired_gone"), F.count_if(on("b") & recent & ~on("k")).alias("recent_missing"),
+        (F.count_if(on("bd")) - F.count_if(expired & on("bd") & ~on("kd")) - F.count_if(on("kd"))).alias("details_short"), F.count_if(on("p") & ~on("k")).alias("protected_missing"),
+        F.count_if(on("b_structured") & on("k") & ~on("k_structured")).alias("structured_lost"), F.count_if(on("b_renderable") & on("k") & ~on("k_renderable")).alias("unrenderable"),
+        F.count_if(on("k_suspect") & ~on("b_suspect")).alias("new_suspect"), F.count_if(on("k_chrome")).alias("chrome"),
+    )
+    c = F.col
+    rules = (
+        ("event_count_decreased", c("candidate") < c("base") - c("expired_gone")), ("recent_events_missing", c("recent_missing") > 0), ("detail_count_decreased", c("details_short") > 0), ("protected_events_missing", c("protected_missing") > 0),
+        ("structured_content_lost", c("structured_lost") > 0), ("structured_content_unrenderable", c("unrenderable") > 0), ("structured_content_suspect", c("new_suspect") > 0), ("stored_article_chrome", c("chrome") > 0),
+    )
+    return row.withColumn("codes", F.array_compact(F.array(*(F.when(bad, code) for code, bad in rules))))
+
+
+def retain(time: Column, evergreen: Column, protected: Column, cutoff: Column) -> Column:
+    """Protected ids and evergreens stay, others while they are recent."""
+    return F.coalesce(protected, F.lit(False)) | F.coalesce(evergreen, F.lit(False)) | F.coalesce(time > cutoff, F.lit(False))
+
+
+def search_filter(q: str, fields: list[Column], topic: str | None = None, topics: Column | None = None, category: str | None = None, of: Column | None = None) -> Column:
+    """Rows of a category and topic whose joined fields hold the folded query."""
+    out = F.contains(F.lower(F.concat_ws(" ", *fields)), F.lit(q.strip().lower()))
+    if topic is not None:
+        out = out & F.coalesce(F.array_contains(topics, topic), F.lit(False))
+    if category is not None:
+        out = out & F.coalesce(of == category, F.lit(False))
+    return out
+
+
+def group_supplements(items: DataFrame, visible: int = 3) -> DataFrame:
+    """(event_id, source, reports, place, shown): reports beside the primary one by source, the most first; the first few show.
+
+    items: event_id, source, is_primary.
+    """
+    g = items.where("not is_primary").groupBy("event_id", "source").agg(F.count("*").alias("reports"))
+    place = F.row_number().over(W.partitionBy("event_id").orderBy(F.desc("reports"), "source"))
+    return g.withColumn("place", place).withColumn("shown", F.col("place") <= visible)
+
+
 def primary_item(items: DataFrame, event: str = "event_id") -> DataFrame:
     """The item of each event with the largest (score, published, item id)."""
     return items.groupBy(event).agg(F.max_by("item", F.struct("score", "published", "item")).alias("primary_item"), F.max("score").alias("score"))

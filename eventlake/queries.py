@@ -6,6 +6,8 @@ the events table holds clicks, documents hold titles and texts, pages hold raw H
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -41,17 +43,26 @@ WITH ev AS (
 """
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    lines = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("items"), F.count_distinct("l_suppkey").alias("n_sources"), F.max(F.col("l_quantity").cast("long")).alias("signal"))
-    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("published"), (F.floor("o_totalprice") % 101).alias("importance"), F.col("o_orderpriority").alias("category"), F.col("o_custkey").alias("source"), (F.col("o_orderstatus") == "F").alias("evergreen"))
-    now = _t(spark, d, "orders").agg(F.max("o_orderdate").alias("now"))
-    both = o.join(lines, o["event_id"] == lines["l_orderkey"]).drop("l_orderkey").join(F.broadcast(now))  # one row
-    return events.with_heat(both, F.col("now"))
+def _events(spark: SparkSession, d: str, days: int | None = None) -> DataFrame:
+    """The events, or those of the last days: the newest date is looked up first, so that the scan filters by it and only
+    the lines of these orders are counted."""
+    orders = _t(spark, d, "orders")
+    now = orders.agg(F.max("o_orderdate")).first()[0]
+    if days is not None and now is not None:
+        orders = orders.where(F.col("o_orderdate") >= F.lit(now - timedelta(days=days)).cast("timestamp_ntz"))
+    o = orders.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("published"), (F.floor("o_totalprice") % 101).alias("importance"), F.col("o_orderpriority").alias("category"), F.col("o_custkey").alias("source"), (F.col("o_orderstatus") == "F").alias("evergreen"), F.lit(now).cast("timestamp_ntz").alias("now"))
+    lines = _t(spark, d, "lineitem")
+    if days is not None:
+        lines = lines.join(o.select("event_id"), lines["l_orderkey"] == F.col("event_id"), "left_semi")
+    # one row per order and supplier first, so that the distinct suppliers are counted without a second pass over all lines
+    by = lines.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"), F.max(F.col("l_quantity").cast("long")).alias("q"))
+    per = by.groupBy("l_orderkey").agg(F.sum("n").alias("items"), F.count("*").alias("n_sources"), F.max("q").alias("signal"))
+    return events.with_heat(o.join(per, o["event_id"] == per["l_orderkey"]).drop("l_orderkey"), F.col("now"))
 
 
 @query(_EVENTS + "SELECT event_id, heat, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY heat DESC, importance DESC, published DESC, event_id) AS r FROM hot WHERE published BETWEEN now - INTERVAL 7 DAY AND now) WHERE r <= 2 ORDER BY heat DESC, importance DESC, published DESC, event_id LIMIT 9")
 def hot_top9(spark: SparkSession, d: str) -> DataFrame:
-    recent = _events(spark, d).where(events.recent(F.col("published"), F.col("now"), 7))
+    recent = _events(spark, d, 7).where(events.recent(F.col("published"), F.col("now"), 7))
     return events.hot_top(recent, 9).select("event_id", "heat", "source")
 
 
@@ -542,9 +553,86 @@ def behavior_errors(spark: SparkSession, d: str) -> DataFrame:
     return _b(spark, d).select("event_id", F.array_join(behavior.errors(F.col("event_id"), F.col("name"), F.col("ts"), F.col("value"), known), ",").alias("errors"))
 
 
-@query(_B + "SELECT count(*) AS exposures, coalesce(round_even(sum(d) / count(*), 4), 0.0) AS ctr, coalesce(round_even(sum(o) / count(*), 4), 0.0) AS outbound_rate FROM (SELECT session, object, max((name = 'exposure')::INT) AS e, max((name = 'detail')::INT) AS d, max((name = 'outbound')::INT) AS o FROM b WHERE object IS NOT NULL GROUP BY ALL) WHERE e = 1")
+@query(_B + ", f AS (SELECT session, object, max((name = 'exposure')::INT) AS e, max((name = 'detail')::INT) AS d, max((name = 'outbound')::INT) AS o, max((name = 'search' AND event_id % 2 = 0)::INT) AS v FROM b WHERE object IS NOT NULL GROUP BY ALL) SELECT sum(e)::BIGINT AS exposures, coalesce(round_even(sum(e * d) / nullif(sum(e), 0), 4), 0.0) AS ctr, coalesce(round_even(sum(d * o) / nullif(sum(d), 0), 4), 0.0) AS outbound_rate, coalesce(round_even(sum(e * v) / nullif(sum(e), 0), 4), 0.0) AS favorite_rate FROM f")
 def funnel_rates(spark: SparkSession, d: str) -> DataFrame:
-    return behavior.funnel(_b(spark, d))
+    b = _b(spark, d)
+    return behavior.funnel(b.withColumn("name", F.when((F.col("name") == "search") & (F.col("event_id") % 2 == 0), "favorite").otherwise(F.col("name"))))
+
+
+@query(_B + ", s AS (SELECT session, max((name = 'session_start')::INT) AS st, max((name = 'search')::INT) AS q, max((name IN ('detail', 'outbound'))::INT) AS f FROM b GROUP BY session) SELECT coalesce(round_even(sum(q) / nullif(count(*), 0), 4), 0.0) AS search_rate, coalesce(round_even(sum(f) / nullif(count(*), 0), 4), 0.0) AS read_rate FROM s WHERE st = 1")
+def session_usage(spark: SparkSession, d: str) -> DataFrame:
+    return behavior.usage(_b(spark, d), {"search": ["search"], "read": ["detail", "outbound"]})
+
+
+_CLICKS = """WITH c AS (SELECT event_id, '00000000-0000-4000-8000-' || lpad(CAST(event_id // 2 AS VARCHAR), 12, '0') AS uuid, CASE event_type WHEN 'view' THEN 'list_exposure' WHEN 'click' THEN 'detail_click' WHEN 'purchase' THEN 'favorite_toggle' WHEN 'signup' THEN 'session_start' ELSE 'search' END AS name FROM events),
+v AS (SELECT event_id, uuid, concat_ws(',', CASE WHEN event_id % 50 = 0 THEN 'unknown_fields' END, CASE WHEN event_id % 60 = 1 THEN 'missing_fields' END, CASE WHEN event_id % 7 = 0 THEN 'device_id' END, CASE WHEN event_id % 9 = 0 THEN 'timestamp' END, CASE WHEN event_id % 13 = 0 THEN 'page' END, CASE WHEN name IN ('list_exposure', 'detail_click', 'favorite_toggle') AND event_id % 3 = 0 THEN 'event_id_required' END, CASE WHEN NOT name IN ('list_exposure', 'detail_click', 'favorite_toggle') AND event_id % 3 = 0 THEN 'event_id' END, CASE WHEN event_id = 0 THEN 'sequence' END, CASE WHEN name = 'favorite_toggle' AND event_id % 4 = 0 THEN 'action_required' END, CASE WHEN name = 'search' AND event_id % 5 = 0 THEN 'query_bucket_required' END, CASE WHEN event_id % 11 = 0 THEN 'result_count' END) AS errors FROM c)
+"""
+
+
+def _click_rows(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    name = F.create_map(*(F.lit(x) for x in ("view", "list_exposure", "click", "detail_click", "purchase", "favorite_toggle", "signup", "session_start", "error", "search")))
+    uuid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.floor(i / 2).cast("string"), 12, "0"))
+    given = F.array(*(F.lit(x) for x in behavior.REQUIRED if x != "referrer"))
+    fields = F.concat(given, F.when(i % 60 == 1, F.array()).otherwise(F.array(F.lit("referrer"))).cast("array<string>"), F.when(i % 50 == 0, F.array(F.lit("extra"))).otherwise(F.array()).cast("array<string>"), F.when(i % 11 == 0, F.array(F.lit("result_count"))).otherwise(F.array()).cast("array<string>"))
+    return _t(spark, d, "events").select(
+        i.alias("id"), F.lit("1").alias("schema_version"), uuid.alias("event_uuid"), name[F.col("event_type")].alias("name"), F.when(i % 9 == 0, "2024-01-01T00:00:00").otherwise("2024-01-01T00:00:00+00:00").alias("ts"), F.lit("production").alias("environment"), F.lit("a-1").alias("site_id"),
+        F.when(i % 13 == 0, "nowhere").otherwise("home").alias("page"), F.when(i % 3 == 0, "short").otherwise("0123456789ab").alias("event_id"), F.lit("").alias("category"), F.lit("s").alias("source"), uuid.alias("session_id"), F.when(i % 7 == 0, "x").otherwise(uuid).alias("device_id"), i.alias("sequence"),
+        F.lit("small").alias("viewport"), F.lit("direct").alias("referrer"), F.when(i % 4 != 0, "add").otherwise("").alias("action"), F.lit(None).cast("string").alias("filter"), F.when(i % 5 != 0, "1-3").alias("query_bucket"), F.lit(-1).cast("long").alias("result_count"), fields.alias("fields"),
+    )
+
+
+@query(_CLICKS + "SELECT event_id AS id, errors FROM v")
+def click_row_errors(spark: SparkSession, d: str) -> DataFrame:
+    r = _click_rows(spark, d)
+    return r.select("id", F.array_join(behavior.validate(r), ",").alias("errors"))
+
+
+@query(_CLICKS + ", p AS (SELECT uuid, count(*) FILTER (WHERE errors <> '') AS bad, count(*) FILTER (WHERE errors = '') AS good FROM v GROUP BY uuid) SELECT (sum(bad + good) + 3)::BIGINT AS input_events, count(*) FILTER (WHERE good > 0) AS valid_events, sum(bad)::BIGINT AS invalid_events, sum(greatest(good - 1, 0))::BIGINT AS duplicate_events, 3 AS parse_errors, round_even(count(*) FILTER (WHERE good > 0) / (sum(bad + good) + 3), 4) AS valid_rate FROM p")
+def click_quality(spark: SparkSession, d: str) -> DataFrame:
+    r = _click_rows(spark, d)
+    return behavior.quality_report(r.select("event_uuid", behavior.validate(r).alias("errors")), 3)
+
+
+_GUARD = """WITH o AS (SELECT o_orderkey AS e, o_orderdate AS t, o_orderstatus = 'F' AS ever, (SELECT max(o_orderdate) FROM orders) - INTERVAL 400 DAY AS cut, o_orderkey % 10 <> 0 AS b, o_orderkey % 10 <> 1 AS k, o_orderkey % 4 <> 0 AS bd, o_orderkey % 4 <> 1 AS kd, o_orderkey % 333 = 0 AS p FROM orders)
+SELECT count(*) FILTER (WHERE b) AS base, count(*) FILTER (WHERE k) AS candidate, count(*) FILTER (WHERE b AND t < cut AND NOT ever AND NOT p AND NOT k) AS expired_gone, count(*) FILTER (WHERE b AND t >= cut AND NOT k) AS recent_missing, count(*) FILTER (WHERE bd) - count(*) FILTER (WHERE b AND t < cut AND NOT ever AND NOT p AND bd AND NOT kd) - count(*) FILTER (WHERE kd) AS details_short, count(*) FILTER (WHERE p AND NOT k) AS protected_missing,
+ count(*) FILTER (WHERE b AND k AND e % 6 <> 0 AND e % 7 = 0) AS structured_lost, count(*) FILTER (WHERE b AND k AND e % 5 = 0) AS unrenderable, count(*) FILTER (WHERE k AND e % 9 = 0 AND NOT (b AND e % 2 = 0)) AS new_suspect, 0 AS chrome FROM o
+"""
+
+
+@query("SELECT *, concat_ws(',', CASE WHEN candidate < base - expired_gone THEN 'event_count_decreased' END, CASE WHEN recent_missing > 0 THEN 'recent_events_missing' END, CASE WHEN details_short > 0 THEN 'detail_count_decreased' END, CASE WHEN protected_missing > 0 THEN 'protected_events_missing' END, CASE WHEN structured_lost > 0 THEN 'structured_content_lost' END, CASE WHEN unrenderable > 0 THEN 'structured_content_unrenderable' END, CASE WHEN new_suspect > 0 THEN 'structured_content_suspect' END) AS codes FROM (" + _GUARD + ")")
+def release_report(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    now = F.lit(o.agg(F.max("o_orderdate")).first()[0]).cast("timestamp_ntz")
+    e = F.col("event_id")
+    rows = o.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("time"), (F.col("o_orderstatus") == "F").alias("evergreen"))
+
+    def side(df: DataFrame, structured, renderable, suspect) -> DataFrame:  # noqa: ANN001
+        return df.withColumn("structured", structured).withColumn("renderable", renderable).withColumn("suspect", suspect).withColumn("chrome", F.lit(False))
+
+    base = side(rows.where(e % 10 != 0), e % 6 != 0, e % 5 == 0, e % 2 == 0)
+    candidate = side(rows.where(e % 10 != 1), e % 7 != 0, F.lit(False), e % 9 == 0)
+    out = events.release_guard(base, candidate, rows.where(e % 4 != 0), rows.where(e % 4 != 1), rows.where(e % 333 == 0), now, 400)
+    return out.withColumn("codes", F.array_join("codes", ","))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 333 = 0 OR o_orderstatus = 'F' OR o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 100 DAY")
+def retained(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    cutoff = F.lit(o.agg(F.max("o_orderdate")).first()[0]).cast("timestamp_ntz") - F.expr("INTERVAL 100 DAYS")
+    return o.where(events.retain(F.col("o_orderdate"), F.col("o_orderstatus") == "F", F.col("o_orderkey") % 333 == 0, cutoff)).select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type), 'ring') AND p_brand IN ('Brand#1', 'Brand#2') AND p_size = 5")
+def part_search(spark: SparkSession, d: str) -> DataFrame:
+    ok = events.search_filter(" RING ", [F.col("p_name"), F.col("p_type")], "x", F.when(F.col("p_brand").isin("Brand#1", "Brand#2"), F.array(F.lit("x"))), "5", F.col("p_size").cast("string"))
+    return _t(spark, d, "part").where(ok).select("p_partkey")
+
+
+@query("SELECT event_id, source, reports, place, place <= 3 AS shown FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY reports DESC, source) AS place FROM (SELECT l_orderkey AS event_id, l_suppkey AS source, count(*) AS reports FROM lineitem WHERE l_linenumber > 1 GROUP BY ALL))")
+def supplements_shown(spark: SparkSession, d: str) -> DataFrame:
+    items = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("source"), (F.col("l_linenumber") == 1).alias("is_primary"))
+    return events.group_supplements(items)
 
 
 @query(_B + "SELECT count(*) AS orphans FROM b WHERE session NOT IN (SELECT session FROM b WHERE name = 'session_start')")
