@@ -38,7 +38,7 @@ TURNS = 8
 SHARE = 0.95
 BLOCK = 32_768
 GROUP = 65_536
-#: Rows of a block if there are few: every core should have one.
+#: Rows of a block if there are few.
 LEAST_BLOCK = 4_096
 SCHEMA = "query_row long, query_id long, vec_id long, score double"
 
@@ -161,8 +161,9 @@ def _search(good: DataFrame, k: int, n: int, nq: int, longest: float) -> DataFra
     x = np.array(rows["embedding"].tolist(), float).reshape(len(rows), -1) if len(rows) else np.array([good.first()["embedding"]], float)
     coder = Coder(*fit_rotations(pad(x, longest)), longest)
     near = fit_near(coder, x, k)
-    cores = good.sparkSession.sparkContext.defaultParallelism
-    nb, ng = max(-(-n // BLOCK), min(cores, -(-n // LEAST_BLOCK))), -(-nq // GROUP)
+    # a few tasks for each core, as long as a block is worth its index
+    tasks = 4 * good.sparkSession.sparkContext.defaultParallelism
+    nb, ng = max(-(-n // BLOCK), min(tasks, -(-n // LEAST_BLOCK))), -(-nq // GROUP)
     # every group of queries meets every block: the query set is a given share of the rows, and goes against all of them
     block = F.pmod(F.xxhash64("row", F.lit("block")), F.lit(nb)).cast("int")
     group = F.pmod(F.xxhash64("row", F.lit("group")), F.lit(ng)).cast("int")
