@@ -141,7 +141,7 @@ def ordered_union(a: Column, b: Column, n: int) -> Column:
 
 def restrict(values: Column, vocabulary: Column, n: int) -> Column:
     """Trimmed, distinct values of a closed vocabulary, n at most."""
-    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: F.array_contains(vocabulary, x))), 1, n)
+    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: F.array_contains(vocabulary, x))), 1, n)
 
 
 def merge_tags(a: Column, b: Column, vocabulary: Column, n: int = 2) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from eventlake.functions.text import norm_url, slug_title, stable_id
+
 PER_SOURCE = 20
 
 
@@ -22,8 +24,9 @@ def scan_feed_items(spark: SparkSession, path: str, tag: str = "item") -> DataFr
 
 
 def scan_sitemap(spark: SparkSession, path: str, include: str = "") -> DataFrame:
+    """url, lastmod, title (from the last step of the path) of the entries whose address holds a text."""
     raw = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
-    return raw.where(F.col("loc").contains(include)).select(F.trim("loc").alias("url"), "lastmod")
+    return raw.where(F.col("loc").contains(include)).select(F.trim("loc").alias("url"), "lastmod").withColumn("title", slug_title(F.col("url")))
 
 
 def scan_link_list(pages: DataFrame, cap: int = PER_SOURCE) -> DataFrame:
@@ -54,6 +57,15 @@ def scan_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def scan_catalog_document(spark: SparkSession, path: str) -> DataFrame:
+    """Events of landed catalog documents: event_id, title, items. A document of the older layout holds only items, of which
+    each becomes an event of its own, named after its link."""
+    item = "struct<id:string,source:string,link:string,published:string,title:string>"
+    raw = spark.read.schema(f"events array<struct<event_id:string,title:string,items:array<{item}>>>, items array<{item}>").option("multiLine", True).json(path)
+    own = F.transform("items", lambda x: F.struct(stable_id(norm_url(x["link"])).alias("event_id"), x["title"].alias("title"), F.array(x).alias("items")))
+    return raw.select(F.inline(F.coalesce("events", own)))
+
+
 def scan_enabled_sources(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return scan_catalog(spark, path, schema).where("enabled")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,13 @@ def write_catalog(events: DataFrame, path: str, run: str) -> None:
     events.withColumn("run_ts", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_ts").parquet(path)
 
 
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The catalog of the last run: only its partition is read."""
+    runs = spark.read.parquet(path)
+    last = runs.select("run_ts").distinct().agg(F.max("run_ts")).first()[0]
+    return runs.where(F.col("run_ts") == last).drop("run_ts")
+
+
 def write_lite(events: DataFrame, columns: list[str], path: str) -> None:
     """The listed columns only; fails unless they are smaller than the whole."""
     size = [F.coalesce(F.sum(F.length(F.to_json(F.struct(*c)))), F.lit(0)) for c in (columns, events.columns)]
@@ -20,8 +27,10 @@ def write_lite(events: DataFrame, columns: list[str], path: str) -> None:
     events.select(*columns).write.mode("overwrite").parquet(path)
 
 
-def write_agent_feed(feed: DataFrame, path: str) -> None:
-    feed.select(F.to_json(F.struct(*feed.columns)).alias("value")).write.mode("overwrite").text(path)
+def write_agent_feed(feed: DataFrame, path: str, version: int = 1) -> None:
+    """One JSON object a line, each with the version of its layout, as lines may be read apart from each other."""
+    row = F.struct(F.lit(version).alias("schema_version"), *feed.columns)
+    feed.select(F.to_json(row).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_atom_rows(events: DataFrame, path: str, limit: int = 50) -> None:
