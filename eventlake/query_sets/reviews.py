@@ -28,13 +28,13 @@ def batch_errors(spark: SparkSession, d: str) -> DataFrame:
     return reviews.validate_batch(rows(spark, d), ["agent"]).select("place", F.array_join("errors", ",").alias("errors"))
 
 
-_MATCH = _ROWS + """, k AS (SELECT o_orderkey AS event, 'http://h/' || o_orderkey AS norm FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey < 30), h AS (SELECT o_orderkey AS event, 'http://d/' || o_orderkey AS disc FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey < 30),
+_MATCH = _ROWS + """, k AS (SELECT o_orderkey AS event, 'http://h/' || o_orderkey AS norm FROM orders WHERE o_orderkey % 2 = 0), h AS (SELECT o_orderkey AS event, 'http://d/' || o_orderkey AS disc FROM orders WHERE o_orderkey % 4 = 0),
  m AS (SELECT place, k.event, CASE WHEN k.event IS NULL THEN 'added' WHEN coalesce(r.disc, '') <> '' AND h.event IS NULL THEN 'enriched' ELSE 'unchanged' END AS outcome FROM r LEFT JOIN k USING (norm) LEFT JOIN h ON h.event = k.event AND h.disc = r.disc)
 """
 
 
 def _matched(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("event")).where("event < 30")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("event"))
     s = F.col("event").cast("string")
     links = o.where("event % 2 = 0").select("event", F.concat(F.lit("HTTP://H/"), s, F.lit("/")).alias("link")).union(o.where("event % 4 = 0").select("event", F.concat(F.lit("http://d/"), s).alias("link")))
     return reviews.match_batch(rows(spark, d), links)
