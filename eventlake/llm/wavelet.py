@@ -35,6 +35,8 @@ CHUNK_BYTES = CHUNK // 8
 END_ID = 2
 #: Bytes of pieces that a writing worker remembers: it runs alone in its executor's slot and has no other large state.
 REMEMBER = 192 << 20
+#: Characters that are encoded together: a distinct piece is looked up once for all of them.
+SLICE = 6_000_000
 
 
 class WaveletMatrix:
@@ -193,7 +195,7 @@ def _writer(path: str, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(lengths.sum())], pa.int64()), pa.array([file], pa.binary())], ["part", "seq", "n_tokens", "file"])
 
         for batch in batches:
-            for rows in slices(batch, 1, 2_000_000):
+            for rows in slices(batch, 1, SLICE):
                 for doc, r in zip(rows.column(0).to_pylist(), enc.batch(strings(rows.column(1))), strict=True):
                     docs.append(doc)
                     raw.append(r + end)
