@@ -35,7 +35,7 @@ from eventlake.plans.stage import keep
 #: Rows at most that rotations and probing distance are fitted on.
 SAMPLE = 8_000
 TURNS = 8
-SHARE = 0.95
+SHARE = 0.9
 BLOCK = 32_768
 GROUP = 65_536
 #: Rows of a block if there are few.
