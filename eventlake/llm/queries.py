@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import ann, bpe, embed_dedup, mixing, neardup, quality, secrets, token_counts, toxicity, wavelet
+from eventlake.llm import ann, bpe, embed_dedup, mixing, neardup, quality, resampling, secrets, token_counts, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least=20)
+
+
 def queries() -> dict:
-    found = (op1_token_counts, op2_secret_scans, op3_quality_classifier, op4_mixing, op5_wavelet_output, op6_minhash_dedup, op7_nearest_neighbours, op8_embedding_dedup, op9_bpe, op10_toxicity)
+    found = (op1_token_counts, op2_secret_scans, op3_quality_classifier, op4_mixing, op5_wavelet_output, op6_minhash_dedup, op7_nearest_neighbours, op8_embedding_dedup, op9_bpe, op10_toxicity, op13_importance_resampling)
     return {f.__name__: f for f in found}
 
 
@@ -100,5 +104,47 @@ FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN low ON low.a
 )
 
 
+#: The table of the 32-bit checksum, from its rule, and the bytes of a text as numbers.
+_CRC_TABLE = """
+crc_rows AS (
+  SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n)
+), crc_table AS (SELECT list(v ORDER BY n) AS t FROM crc_rows)
+"""
+
+
+def _crc(of: str) -> str:
+    byte = f"('0x' || substr(hex(encode({of})), 2 * i + 1, 2))::BIGINT"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(encode({of}))), lambda i: {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_OP13 = (
+    r"""
+WITH """
+    + _CRC_TABLE
+    + r""", doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), goal_words AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), doc_runs AS (SELECT doc_id, unnest(w) AS f FROM doc_words), goal_runs AS (SELECT unnest(w) AS f FROM goal_words)
+, known AS (SELECT DISTINCT f FROM (SELECT f FROM doc_runs UNION ALL SELECT f FROM goal_runs))
+, buckets AS (SELECT f, """
+    + _crc("f")
+    + """ % 10000 AS b FROM known, crc_table)
+, s_counts AS (SELECT b, count(*) AS s FROM doc_runs JOIN buckets USING (f) GROUP BY b), t_counts AS (SELECT b, count(*) AS t FROM goal_runs JOIN buckets USING (f) GROUP BY b)
+, sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s_counts)::DOUBLE AS big_s, (SELECT coalesce(sum(t), 0) FROM t_counts)::DOUBLE AS big_t)
+, gains AS (
+  SELECT n AS b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (big_s + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (big_t + 10000))))::BIGINT AS gain
+  FROM range(10000) r(n) CROSS JOIN sums LEFT JOIN s_counts ON s_counts.b = n LEFT JOIN t_counts ON t_counts.b = n
+), weights AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM doc_runs JOIN buckets USING (f) JOIN gains USING (b) GROUP BY doc_id)
+, scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM doc_words LEFT JOIN weights USING (doc_id)
+), placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_dedup": _OP6, "op8_embedding_dedup": _OP8}
+    return {"op6_minhash_dedup": _OP6, "op8_embedding_dedup": _OP8, "op13_importance_resampling": _OP13}
