@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import ann, bpe, embed_dedup, mixing, neardup, quality, resampling, secrets, token_counts, toxicity, wavelet
+from eventlake.llm import ann, bpe, embed_dedup, mixing, neardup, prefix_trie, quality, resampling, secrets, token_counts, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +54,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least=20)
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op2_secret_scans, op3_quality_classifier, op4_mixing, op5_wavelet_output, op6_minhash_dedup, op7_nearest_neighbours, op8_embedding_dedup, op9_bpe, op10_toxicity, op13_importance_resampling)
+    found = (op1_token_counts, op2_secret_scans, op3_quality_classifier, op4_mixing, op5_wavelet_output, op6_minhash_dedup, op7_nearest_neighbours, op8_embedding_dedup, op9_bpe, op10_toxicity, op11_prefix_trie, op13_importance_resampling)
     return {f.__name__: f for f in found}
 
 
@@ -117,6 +121,38 @@ def _crc(of: str) -> str:
     return f"xor(list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(encode({of}))), lambda i: {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+_OP11 = (
+    """
+WITH """
+    + _CRC_TABLE
+    + """, turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || ':' || coalesce(text, ''))) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (SELECT conv_id, conv_id - conv_id % 5 AS of, """
+    + _crc("conv_id::VARCHAR")
+    + """ % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc_table)
+, rebuilt AS (
+  SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY own, place) AS depth, role, text
+  FROM (SELECT c.conv_id, false AS own, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.of AND place <= h UNION ALL SELECT c.conv_id, true, place, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > h) c
+), path AS (
+  SELECT conv_id, depth, octet_length(encode(text)) AS bytes, md5(list(len(role) || ':' || role || text) OVER (PARTITION BY conv_id ORDER BY depth)::VARCHAR) AS key FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM convs
+), nodes AS (
+  SELECT key, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved FROM path GROUP BY key
+), family AS (
+  SELECT n.key, p.key AS parent FROM nodes n JOIN path p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+), kids AS (SELECT parent AS key, count(*) AS n FROM family GROUP BY parent)
+, totals AS (
+  SELECT p.key, sum(saved) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM nodes n LEFT JOIN kids ON kids.key = n.key JOIN path p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.key
+), ends AS (
+  SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (SELECT key, conv_id FROM path QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY key
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, leaves::BIGINT AS n_leaves, totals.saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM nodes n JOIN totals ON totals.key = n.key LEFT JOIN kids ON kids.key = n.key LEFT JOIN family f ON f.key = n.key LEFT JOIN nodes up ON up.key = f.parent LEFT JOIN ends ON ends.key = n.key
+"""
+)
+
 _OP13 = (
     r"""
 WITH """
@@ -147,4 +183,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_dedup": _OP6, "op8_embedding_dedup": _OP8, "op13_importance_resampling": _OP13}
+    return {"op6_minhash_dedup": _OP6, "op8_embedding_dedup": _OP8, "op11_prefix_trie": _OP11, "op13_importance_resampling": _OP13}
