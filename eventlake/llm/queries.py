@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import ann, bpe, embed_dedup, mixing, neardup, prefix_trie, quality, resampling, secrets, token_counts, toxicity, wavelet
+from eventlake.llm import ann, bpe, embed_dedup, lm, mixing, neardup, prefix_trie, quality, resampling, secrets, token_counts, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least=20)
 
 
 def queries() -> dict:
-    found = (op1_token_counts, op2_secret_scans, op3_quality_classifier, op4_mixing, op5_wavelet_output, op6_minhash_dedup, op7_nearest_neighbours, op8_embedding_dedup, op9_bpe, op10_toxicity, op11_prefix_trie, op13_importance_resampling)
+    found = (op1_token_counts, op2_secret_scans, op3_quality_classifier, op4_mixing, op5_wavelet_output, op6_minhash_dedup, op7_nearest_neighbours, op8_embedding_dedup, op9_bpe, op10_toxicity, op11_prefix_trie, op12_lm_scoring, op13_importance_resampling)
     return {f.__name__: f for f in found}
 
 
