@@ -101,10 +101,11 @@ def head_cut(blocks: DataFrame, labels: tuple[str, ...] = META_LABELS, ui: str =
 
     The longest of: a cluster of four labels among the first 24 blocks; the run of share controls that starts among the
     first 12; a breadcrumb that ends with the title among the first 7. Where none is found, a title before a byline. Then
-    an author's portrait before a byline, and bylines, go as well.
+    an author's portrait before a byline, and bylines, go as well. A portrait is a figure without words, nearly square and
+    of known size, 900 pixels at most; blocks without columns for size, or with none known, hold no portrait.
     """
     t, c = bare(F.col("text")), F.col
-    b = blocks.select(page, order, "type", t.alias("t"), F.coalesce("text", F.lit("")).alias("raw"), F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.coalesce("link_chars", F.lit(0)).alias("link_chars"), F.row_number().over(W.partitionBy(page).orderBy(order)).alias("i"))
+    b = blocks.select(page, order, "type", t.alias("t"), F.coalesce("text", F.lit("")).alias("raw"), F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.coalesce("link_chars", F.lit(0)).alias("link_chars"), F.row_number().over(W.partitionBy(page).orderBy(order)).alias("i"), *((c(x) if x in blocks.columns else F.lit(None).cast(t)).alias(f"_{x}") for x, t in (("width", "int"), ("height", "int"), ("alt", "string"), ("caption", "string"))))
     # no rule looks further than this, but a run of bylines may: it is followed on the whole page below
     b = b.withColumn("size", F.length("raw")).withColumn("before", _before(page, order, F.length("raw")))
     hits = F.lit(0)
@@ -119,8 +120,10 @@ def head_cut(blocks: DataFrame, labels: tuple[str, ...] = META_LABELS, ui: str =
     again = F.exists("keys", lambda k: k.endswith(c("key")))
     b = b.withColumn("title", (c("i") <= 7) & (c("i") > 1) & (c("type") == "heading") & (c("key") != "") & (F.coalesce(c("crumbs"), F.lit(0)) == 1) & again)
     b = b.withColumn("by", (F.length("t").between(1, 240)) & (has(c("t"), byline) | whole(c("t"), date)))
-    plain = F.coalesce(c("type") == "figure", F.lit(False))
-    b = b.withColumn("next_by", F.coalesce(F.lead("by").over(w), F.lit(False))).withColumn("portrait", plain & c("next_by") & (F.coalesce("t", F.lit("")) == ""))
+    shaped = (c("_width") > 0) & (c("_height") > 0) & (c("_width") / F.greatest(c("_height"), F.lit(1))).between(0.75, 1.33) & (F.greatest("_width", "_height") <= 900)
+    silent = F.concat_ws("", "_alt", "_caption", "t") == ""
+    named = F.coalesce(F.lead(has(c("t"), byline)).over(w), F.lit(False))
+    b = b.withColumn("portrait", F.coalesce((c("type") == "figure") & shaped & silent & named, F.lit(False)))
     first = b.groupBy(page).agg(
         F.coalesce(F.min(F.when(c("label"), c("i"))), F.lit(0)).alias("a"), F.min(F.when(c("share"), c("i"))).alias("s"), F.coalesce(F.min(F.when(c("title"), c("i"))), F.lit(0)).alias("d"),
         F.max(F.when((c("i") == 1) & (c("type") == "heading"), 1).otherwise(0)).alias("headed"), F.max(F.when(c("i") == 2, F.when(c("by"), 1).when(c("portrait"), 1))).alias("second"), F.count("*").alias("n"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.operators import extract, trim
+from eventlake.operators import bodies, extract, trim
+from eventlake.plans.stage import keep
 from eventlake.query_sets.registry import query, table
 
 _BARE = r"regexp_replace(coalesce(text, ''), '^[ \t\r\n:：]+|[ \t\r\n:：]+$', '', 'g')"
@@ -149,3 +150,15 @@ def page_figures(spark: SparkSession, d: str) -> DataFrame:
 def narration_scripts(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("event_id"), F.col("turn").alias("place"), F.col("text"))
     return trim.narration(c)
+
+
+@query()
+def candidate_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Each block in every container that may be its page's article."""
+    slices = keep(bodies.page_slices(table(spark, d, "pages")), "slices")
+    return bodies.candidate_blocks(bodies.candidate_regions(slices), slices).select("page_id", "candidate", "ord", "type", "text")
+
+
+@query()
+def page_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return bodies.page_bodies(table(spark, d, "pages"))[0]

@@ -46,7 +46,13 @@ def test_heads(spark):
         8: [para("By Jane Doe"), para("2024/5/6 | 3 min")],
     }
     got = {r.page_id: r.cut for r in trim.head_cut(blocks(spark, pages)).collect()}
-    assert got == {1: 1, 2: 3, 3: 3, 4: 3, 5: 0, 6: 0, 7: 3, 8: 2}
+    # an image of unknown size is no portrait: it stays
+    assert got == {1: 1, 2: 3, 3: 3, 4: 3, 5: 0, 6: 0, 7: 0, 8: 2}
+    sizes = {1: (300, 300, ""), 2: (300, 300, "a chart"), 3: (1200, 1200, ""), 4: (800, 300, ""), 5: (0, 0, "")}
+    rows = [(p, i, *b, *((w, h, a) if b[0] == "figure" else (None, None, None))) for p, (w, h, a) in sizes.items() for i, b in enumerate(pages[7])]
+    rows += [(6, 0, *para("The title", kind="heading"), None, None, None), (6, 1, *para("", kind="figure"), 300, 300, ""), (6, 2, *para("2024-01-02"), None, None, None), (6, 3, *body, None, None, None)]
+    sized = spark.createDataFrame(rows, BLOCKS + ", width int, height int, alt string")
+    assert {r.page_id: r.cut for r in trim.head_cut(sized).collect()} == {1: 3, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
 
 
 def plain_players(roles):
