@@ -258,18 +258,21 @@ def _summer(hot: np.ndarray, hot_counts: np.ndarray, total: float, n_trained: in
         value = np.where(np.isnan(value), np.log10(mu * p)[b.word], value)
         # each word is the context of the next one; the end of a text stands for its begin here
         context = np.where(b.words == np.uint64(end), np.log10(n_trained + mu), np.log10(b.word_seen + mu))
-        word = b.word[b.pair]
-        each = {"score": value[b.pair] - context[word], "base": np.log10(p)[word], "known": (b.word_seen > 0)[word], "tokens": np.ones(len(word))}
+        n_blocks = len(b.per_block)
+        place = np.repeat(np.arange(n_blocks, dtype=np.int64) * DOCS, b.per_block) + b.docs
+        # one column at a time, over places of all blocks: a value per pair, then per document that holds it
+        each = {"score": value - context[b.word], "base": np.log10(p)[b.word], "known": (b.word_seen > 0)[b.word], "tokens": np.ones(len(b.word), bool)}
+        sums = {}
+        for name in list(each):
+            weight = each.pop(name)[b.pair] * b.counts
+            sums[name] = np.bincount(place, weight, n_blocks * DOCS).reshape(n_blocks, DOCS)
         out = {name: [] for name in SUMS.replace(" long", "").replace(" binary", "").split(", ")}
-        stops = np.cumsum(b.per_block)
-        for i, (part, ids, trained, stop, n) in enumerate(zip(*(table.column(c).to_pylist() for c in ("part", "ids", "trained")), stops.tolist(), b.per_block.tolist(), strict=True)):
-            of = slice(stop - n, stop)
-            present, place = np.unique(b.docs[of], return_inverse=True)
+        for i, (part, ids, trained) in enumerate(zip(*(table.column(c).to_pylist() for c in ("part", "ids", "trained")), strict=True)):
+            present = np.flatnonzero(sums["tokens"][i])
             for name, x in (("part", part), ("ids", ids), ("trained", trained), ("docs", present.astype(np.uint16).tobytes())):
                 out[name].append(x)
-            for name, x in each.items():
-                sums = np.bincount(place, x[of] * b.counts[of], len(present))
-                out[name].append(sums.astype(np.float64 if name in ("score", "base") else np.uint32).tobytes())
+            for name, x in sums.items():
+                out[name].append(x[i][present].astype(np.float64 if name in ("score", "base") else np.uint32).tobytes())
         return pa.table({"part": pa.array(out.pop("part"), pa.int64()), **{name: pa.array(x, pa.binary()) for name, x in out.items()}})
 
     return go
