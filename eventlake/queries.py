@@ -439,14 +439,11 @@ _SITE = "array_to_string(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-
 @query(_PAIRS + f"SELECT id, other, place FROM (SELECT s.a AS id, s.b AS other, row_number() OVER (PARTITION BY s.a ORDER BY similarity DESC, s.b) AS place FROM (SELECT a, b, similarity FROM p UNION ALL SELECT b, a, similarity FROM p) s JOIN (SELECT page_id, {_SITE} AS site FROM pages) x ON x.page_id = s.a JOIN (SELECT page_id, {_SITE} AS site FROM pages) y ON y.page_id = s.b WHERE x.site = y.site) WHERE place <= 3")
 def related_top3(spark: SparkSession, d: str) -> DataFrame:
     titles = _titles(spark, d, text.site_key(text.url_host(F.col("url"))).alias("site"))
-    p = similar.all_pairs(titles, SAME_EVENT, group="site")
-    both = p.union(p.select("b", "a", "similarity")).toDF("id", "other", "similarity")
-    return both.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where("place <= 3").select("id", "other", "place")
+    return similar.nearest_sets(titles, 3, SAME_EVENT, group="site").select("id", "other", "place")
 
 
 # first lines of documents as titles: longer ones, of which many pairs are similar
 _LINE_GRAMS = _GRAMS.replace("page_id AS doc_id", "doc_id").replace("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)", r"regexp_extract(text, '[\p{L}\p{N}_][^\n]*')").replace("FROM pages", "FROM documents")
-_SAME = _PAIRS.replace(_GRAMS, _LINE_GRAMS)
 
 
 def _title_lines(spark: SparkSession, d: str, *carry: str) -> DataFrame:
@@ -459,24 +456,12 @@ def title_line_bigram_df(spark: SparkSession, d: str) -> DataFrame:
     return _title_lines(spark, d).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
 
 
-@query(_SAME + "SELECT a, b, round(similarity, 6) AS similarity FROM p")
-def same_event_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similar.all_pairs(_title_lines(spark, d), SAME_EVENT).withColumn("similarity", F.round("similarity", 6))
-
-
 @query()
 def same_event_groups(spark: SparkSession, d: str) -> DataFrame:
     titles = keep(_title_lines(spark, d), "title-lines")
     return similar.resolve(titles, similar.similar_pairs(titles, SAME_EVENT))
 
 
-@query(_SAME + "SELECT id, other, place FROM (SELECT s.a AS id, s.b AS other, row_number() OVER (PARTITION BY s.a ORDER BY similarity DESC, s.b) AS place FROM (SELECT a, b, similarity FROM p UNION ALL SELECT b, a, similarity FROM p) s JOIN documents x ON x.doc_id = s.a JOIN documents y ON y.doc_id = s.b WHERE x.lang = y.lang) WHERE place <= 3")
-def same_event_related3(spark: SparkSession, d: str) -> DataFrame:
-    p = similar.all_pairs(_title_lines(spark, d, "lang"), SAME_EVENT, group="lang")
-    both = p.union(p.select("b", "a", "similarity")).toDF("id", "other", "similarity")
-    return both.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).where("place <= 3").select("id", "other", "place")
-
-
 _DROP = "CASE WHEN length(text) < 200 THEN 'short' WHEN lang = 'es' THEN 'language' WHEN contains(lower(text), 'license') THEN 'keyword' END"
 
 

@@ -70,6 +70,20 @@ def comparable_reports(spark: SparkSession, d: str) -> DataFrame:
     return p.select("a", "b", resolve.comparable_new(c["va"], c["vb"], c["ta"], c["tb"]).alias("within_run"), resolve.comparable_event(c["ca"], c["cb"], c["va"], c["vb"], c["ta"], c["tb"]).alias("with_event"))
 
 
+@query(_REPORTS + "SELECT a, b, round(similarity, 6) AS similarity" + _SIDES + f" WHERE x.vendor = y.vendor OR coalesce({_HOURS}, true)")
+def comparable_new_pairs(spark: SparkSession, d: str) -> DataFrame:
+    r = reports(spark, d)
+    own = r.select("id", F.array("vendor").alias("vendors"), "category", F.col("published").alias("time"))
+    return resolve.comparable_pairs(own, variants(r), "new").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_REPORTS + "SELECT a, b, round(similarity, 6) AS similarity" + _SIDES + f" WHERE (x.category = y.category AND x.category <> '') OR x.vendor = y.vendor OR coalesce({_HOURS}, false)")
+def comparable_event_pairs(spark: SparkSession, d: str) -> DataFrame:
+    r = reports(spark, d)
+    own = r.select("id", F.array("vendor").alias("vendors"), "category", F.col("published").alias("time"))
+    return resolve.comparable_pairs(own, variants(r), "event").withColumn("similarity", F.round("similarity", 6))
+
+
 @query(_REPORTS + "SELECT a, b FROM ok")
 def accepted_pairs(spark: SparkSession, d: str) -> DataFrame:
     return accepted(spark, d).select("a", "b")
