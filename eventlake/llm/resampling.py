@@ -51,13 +51,14 @@ def features(found: Column, runs: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(runs)), of))
 
 
-def bucketed(text: Column, runs: int, size: int) -> Column:
-    return F.transform(features(words(text), runs), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"))
+def bucketed(found: Column, runs: int, size: int) -> Column:
+    """Buckets of a column of words: a column, so that they aren't split again for every run."""
+    return F.transform(features(found, runs), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"))
 
 
 def bucket_counts(texts: DataFrame, runs: int = 1, size: int = BUCKETS, text: str = "text") -> DataFrame:
     """bucket, n: at most `size` rows, added up within tasks first."""
-    return texts.select(F.explode(bucketed(F.col(text), runs, size)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    return texts.select(words(F.col(text)).alias("words")).select(F.explode(bucketed(F.col("words"), runs, size)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def gains(docs: DataFrame, target: DataFrame, runs: int = 1, size: int = BUCKETS) -> DataFrame:
@@ -86,8 +87,7 @@ def weigh(docs: DataFrame, target: DataFrame, runs: int = 1, size: int = BUCKETS
     table = F.split(F.lit(",".join(map(str, found))), ",").cast("array<bigint>")
     split = docs.select("doc_id", words(F.col("text")).alias("words"))
     n_words = F.size("words")
-    hashed = F.transform(features(F.col("words"), runs), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"))
-    weight = F.aggregate(hashed, F.lit(0).cast("long"), lambda total, b: total + F.get(table, b))
+    weight = F.aggregate(bucketed(F.col("words"), runs, size), F.lit(0).cast("long"), lambda total, b: total + F.get(table, b))
     n = sum((F.greatest(n_words - k, F.lit(0)) for k in range(runs)), F.lit(0)).cast("long")
     rows = split.select("doc_id", n_words.alias("n_words"), n.alias("n_features"), weight.alias("weight"))
     return rows.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
