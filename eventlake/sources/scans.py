@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from eventlake.functions.text import norm_url, slug_title, stable_id
+from eventlake.functions.text import norm_url, repair_markup, slug_title, stable_id, strip_html
 
 PER_SOURCE = 20
 
@@ -23,6 +23,47 @@ def scan_feed_items(spark: SparkSession, path: str, tag: str = "item") -> DataFr
     return rows.where("trim(title) <> '' and trim(link) <> ''")
 
 
+_ENTRY = "title:string, pubDate:string, published:string, updated:string, date:string, `dc:date`:string, description:string, summary:string, content:string, encoded:string, `content:encoded`:string"
+_ITEM = f"struct<link:array<string>, {_ENTRY}>"
+_ATOM = f"struct<link:array<struct<_href:string, _rel:string>>, {_ENTRY}>"
+FEED_SCHEMA = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ATOM}>, _bad string"
+
+
+def scan_feeds(spark: SparkSession, path: str, cap: int | None = PER_SOURCE) -> tuple[DataFrame, DataFrame]:
+    """(items, files) of whole feed documents, RSS or Atom, with their markup repaired before it is parsed.
+
+    items: file, at, title, link, published, summary (plain text), feed_content_html (the richest body: encoded, then
+    content, description, summary); rows without title or link are dropped, and of each file at most `cap` stay, in its
+    order. files: file, bad (what couldn't be parsed), items. A reader that splits files by tags would drop each item with
+    a bare ampersand, so that a document is one row here; each must fit in a task's memory.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^[^<]+", "").alias("value"))
+    parsed = raw.select("file", F.from_xml(repair_markup(F.col("value")), FEED_SCHEMA, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("doc"))
+    rows = [F.transform(F.coalesce(items, F.array().cast(f"array<{kind}>")), _entry(atom)) for items, kind, atom in ((F.col("doc.channel.item"), _ITEM, False), (F.col("doc.item"), _ITEM, False), (F.col("doc.entry"), _ATOM, True))]
+    found = parsed.select("file", F.col("doc._bad").isNotNull().alias("bad"), F.concat(*rows).alias("all"))
+    fit = F.filter("all", lambda x: (x["title"] != "") & (x["link"] != ""))
+    kept = found.select("file", "bad", (fit if cap is None else F.slice(fit, 1, cap)).alias("items"))
+    return kept.select("file", F.posexplode("items").alias("at", "x")).select("file", "at", "x.*"), kept.select("file", "bad", F.size("items").alias("items"))
+
+
+def _entry(atom: bool):
+    def go(x: Column) -> Column:
+        def first(*names: str) -> Column:
+            return F.coalesce(*(F.when(F.trim(x[n]) != "", F.trim(x[n])) for n in names), F.lit(""))
+
+        rich = first("encoded", "content:encoded", "content", "description", "summary") if not atom else first("content", "summary")
+        if atom:
+            link = F.get(F.filter(x["link"], lambda y: y["_href"].isNotNull() & (y["_rel"].isNull() | (y["_rel"] == "alternate"))), F.lit(0))["_href"]
+        else:
+            link = F.get(F.filter(x["link"], lambda y: F.trim(y) != ""), F.lit(0))
+        dates = ("published", "updated") if atom else ("pubDate", "published", "updated", "date", "dc:date")
+        return F.struct(
+            strip_html(first("title")).alias("title"), F.trim(F.coalesce(link, F.lit(""))).alias("link"), F.nullif(first(*dates), F.lit("")).alias("published"), strip_html(rich).alias("summary"), rich.alias("feed_content_html")
+        )
+
+    return go
+
+
 def scan_sitemap(spark: SparkSession, path: str, include: str = "") -> DataFrame:
     """url, lastmod, title (from the last step of the path) of the entries whose address holds a text."""
     raw = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)

@@ -75,3 +75,27 @@ def test_small_expressions(spark):
     ).first()
     assert r.a == t(2024, 1, 1) and r.b is None and r.c == t(2024, 1, 3) and r.d == "week" and r.e == ["a", "b", "c"] and r.g == ["a", "b"]
     assert r.h and r.i and r.j == "One two." and r.k == "a b d" and r.l == 1100 and r.m == "4-8" and r.n == "m" and r.o == "A title" and r.p
+
+
+RSS = """\ufeff<?xml version="1.0"?><rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>Site</title>
+<item><title>Fish & chips&nbsp;today</title><link>https://a.example/1?x=1&y=2</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><description>Short</description><content:encoded><![CDATA[<p>Long &amp; <b>rich</b></p>]]></content:encoded></item>
+<item><title>Only described</title><link> https://a.example/2 </link><description>R&D &mdash; more</description></item>
+<item><title></title><link>https://a.example/3</link></item><item><title>No link</title></item>
+</channel></rss>"""
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">One &amp; two</title><link rel="self" href="https://b.example/self"/><link rel="alternate" href="https://b.example/1"/><updated>2024-02-03T00:00:00Z</updated><summary>S</summary><content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>Body</p></div></content></entry>
+<entry><title>Plain</title><link href="https://b.example/2"/><published>2024-02-01T00:00:00Z</published><updated>2024-02-03T00:00:00Z</updated><summary>Only this</summary></entry></feed>"""
+
+
+def test_feeds_are_repaired(spark, tmp_path):
+    for name, text in {"a.xml": RSS, "b.xml": ATOM, "c.xml": "<rss><channel><item><title>broken</tit", "d.xml": "<rss><channel></channel></rss>"}.items():
+        (tmp_path / name).write_text(text)
+    items, files = scans.scan_feeds(spark, str(tmp_path))
+    got = {(r.file[-5:], r.at): r for r in items.collect()}
+    assert {k: (r.title, r.link, r.summary) for k, r in got.items()} == {
+        ("a.xml", 0): ("Fish & chips today", "https://a.example/1?x=1&y=2", "Long & rich"), ("a.xml", 1): ("Only described", "https://a.example/2", "R&D — more"),
+        ("b.xml", 0): ("One & two", "https://b.example/1", "Body"), ("b.xml", 1): ("Plain", "https://b.example/2", "Only this"),
+    }
+    assert got["a.xml", 0].feed_content_html == "<p>Long &amp; <b>rich</b></p>" and "<p>Body</p>" in got["b.xml", 0].feed_content_html
+    assert (got["a.xml", 0].published, got["a.xml", 1].published, got["b.xml", 1].published) == ("Mon, 01 Jan 2024 10:00:00 GMT", None, "2024-02-01T00:00:00Z")
+    assert {r.file[-5:]: (r.bad, r["items"]) for r in files.collect()} == {"a.xml": (False, 2), "b.xml": (False, 2), "c.xml": (True, 0), "d.xml": (False, 0)}
+    assert scans.scan_feeds(spark, str(tmp_path), 1)[0].count() == 2
