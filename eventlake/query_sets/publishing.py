@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.operators import feeds
 from eventlake.plans.stage import keep, shared_dir
+from eventlake.plans.versions import VersionedTable
 from eventlake.query_sets.registry import query, table
 from eventlake.streaming import jobs, push
 
@@ -182,14 +185,24 @@ r AS (SELECT key, event_id, at_ms, n, true AS kept, at_ms AS last FROM c WHERE n
  UNION ALL SELECT c.key, c.event_id, c.at_ms, c.n, c.at_ms - last >= 10800000, CASE WHEN c.at_ms - last >= 10800000 THEN c.at_ms ELSE last END FROM r JOIN c ON c.key = r.key AND c.n = r.n + 1)
 SELECT key, event_id, at_ms FROM r WHERE kept""")
 def stream_click_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.drain(jobs.click_dedup(jobs.read_events(spark, d), 3 * 3600 * 1000))
+    with jobs.rocks(spark):
+        return jobs.drain(jobs.click_dedup(jobs.read_events(spark, d), 3 * 3600 * 1000))
+
+
+@query("SELECT user_id || ':' || event_type AS event, min(ts) AS first_seen, max(ts) AS last_seen, max(event_id) AS importance, arg_min(props, (ts, props)) AS title FROM events WHERE event_type <> 'error' GROUP BY ALL")
+def stream_merged_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Events of users and kinds, merged with what is stored as their reports land."""
+    top = f"{shared_dir(spark).rstrip('/')}/eventlake/reports-{uuid.uuid4().hex}"
+    own = F.concat_ws(":", "user_id", "event_type")
+    rows = jobs.read_events(spark, d).select(own.alias("event"), "ts", F.col("event_id").alias("importance"), F.col("props").alias("title"), "event_type")
+    target = VersionedTable(spark, f"{top}/table", jobs.EVENT, "event")
+    jobs.ingest_reports(rows, target, F.col("event_type") != "error", f"{top}/state")
+    return target.read().withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz")).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The first event of each user and kind that lands."""
-    import uuid
-
     target = f"{shared_dir(spark).rstrip('/')}/eventlake/ingest-{uuid.uuid4().hex}"
     rows = jobs.read_events(spark, d).select(F.concat_ws(":", "user_id", "event_type").alias("key"), "event_id", "user_id", "event_type")
     jobs.ingest(rows, "key", target)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
 TERMINAL = ("sent", "attempted", "failed")
@@ -39,6 +40,75 @@ def advance(state: DataFrame, feed: DataFrame, now: Column, max_age_hours: int =
     )
 
 
+TRANSITIONS = "event_id string, at timestamp, status string, importance int, recommended boolean"
+
+
+class _PushMachine(StatefulProcessor):
+    """One event's state. Rows: polled, baseline, importance, recommended, discovered, and outcome (attempted, sent or failed)
+    for what became of a push. A timer turns pending into expired when the event is too old, without a poll."""
+
+    def __init__(self, max_age_ms: int):
+        self.max_age_ms = max_age_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", "status string, recommended boolean, importance int")
+
+    def _timer(self, at_ms: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if at_ms is not None:
+            self.handle.registerTimer(at_ms)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
+        import pandas as pd
+
+        status, was, importance = self.state.get() if self.state.exists() else ("seen", False, 0)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("polled", kind="stable").itertuples():
+            before = status if out or self.state.exists() else None
+            if isinstance(r.outcome, str):
+                if (r.outcome == "attempted" and status == "pending") or (r.outcome in ("sent", "failed") and status == "attempted"):
+                    status = r.outcome
+            else:
+                rec, importance = bool(r.recommended), int(r.importance or 0)
+                young = pd.notna(r.discovered) and 0 <= (r.polled - r.discovered) / pd.Timedelta(milliseconds=1) <= self.max_age_ms
+                if r.baseline:
+                    status = status if before else "seen"
+                elif status in TERMINAL or (rec and status == "pending"):
+                    pass
+                elif rec and not was:
+                    status = "pending" if young else "expired"
+                elif not rec and status == "pending":
+                    status = "seen"
+                if status == "pending" and young:
+                    self._timer(int(r.discovered.timestamp() * 1000) + self.max_age_ms + 1)
+                was = rec
+            if status != before:
+                out.append((key[0], r.polled, status, importance, was))
+        if status != "pending":
+            self._timer(None)
+        self.state.update((status, was, importance))
+        yield pd.DataFrame(out, columns=["event_id", "at", "status", "importance", "recommended"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
+        import pandas as pd
+
+        status, was, importance = self.state.get()
+        if status == "pending":
+            self.state.update(("expired", was, importance))
+            yield pd.DataFrame([(key[0], pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"), "expired", importance, was)], columns=["event_id", "at", "status", "importance", "recommended"])
+
+    def close(self) -> None:
+        pass
+
+
+def push_stream(rows: DataFrame, max_age_hours: int = 48) -> DataFrame:
+    """TRANSITIONS of a stream of polls and outcomes (see _PushMachine): a row for each new status of an event. The stream needs a
+    watermark on `polled` and RocksDB for its state (`jobs.rocks`). Times are taken as UTC."""
+    own = rows.select("event_id", "polled", "baseline", "importance", "recommended", "discovered", "outcome")
+    return own.groupBy("event_id").transformWithStateInPandas(_PushMachine(max_age_hours * 3_600_000), TRANSITIONS, "append", "eventTime")
+
+
 def select_pushes(state: DataFrame, feed: DataFrame, attempts: DataFrame, now: Column, per_run: int = 3, per_day: int = 5, max_age_hours: int = 48) -> DataFrame:
     """(event_id, place): the pending events to push now, by importance, discovery and id, within both caps.
 
