@@ -54,6 +54,40 @@ def url_path(c: Column) -> Column:
     return F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#;]*)", 1)
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, with `.` and `..` steps taken; none leads above the root."""
+    steps = F.split(path, "/")
+
+    def step(taken: Column, s: Column) -> Column:
+        return F.when(s == ".", taken).when(s == "..", F.slice(taken, F.lit(1), F.greatest(F.size(taken) - 1, F.lit(1)))).otherwise(F.array_append(taken, s))
+
+    taken = F.aggregate(steps, F.array().cast("array<string>"), step)
+    return F.array_join(F.when(F.element_at(steps, -1).isin(".", ".."), F.array_append(taken, F.lit(""))).otherwise(taken), "/")
+
+
+def resolve_reference(base: Column, ref: Column) -> Column:
+    """The address that a reference on a page means, without its fragment: absolute, //host, /path, relative, ?query, #fragment
+    or empty (the page itself). Null where the page's own address is null or has no host."""
+    r = F.regexp_replace(F.trim(F.coalesce(ref, F.lit(""))), r"(?s)#.*$", "")
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    path = F.when(path == "", "/").otherwise(path)
+    own_path, own_query = F.regexp_extract(r, r"^([^?]*)", 1), F.regexp_extract(r, r"(?s)(\?.*)$", 1)
+    meant = (
+        F.when(r == "", F.regexp_replace(base, r"(?s)#.*$", "")).when(r.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), r)
+        .when(r.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), r)).when(r.startswith("?"), F.concat(origin, path, r))
+        .when(r.startswith("/"), F.concat(origin, without_dots(own_path), own_query))
+        .otherwise(F.concat(origin, without_dots(F.concat(F.regexp_extract(path, r"^(.*/)", 1), own_path)), own_query))
+    )
+    return F.when(origin != "", meant)
+
+
+def page_key(url: Column) -> Column:
+    """Host and path of a page, whatever its scheme, query or fragment; an index page is its folder."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    return F.concat(url_host(url), F.regexp_replace(F.regexp_replace(path, r"/index\.html$", "/"), r"/+$", ""))
+
+
 def _query(c: Column) -> Column:
     return F.split(F.regexp_extract(c, r"^[^?#]*\?([^#]*)", 1), "&")
 

@@ -110,3 +110,16 @@ def return_rate(b: DataFrame, days: int = 7) -> DataFrame:
     cohort = first.join(F.broadcast(last), F.expr(f"first <= last - INTERVAL {days} DAYS"))  # one row
     again = cohort.join(active, "device").groupBy("device").agg(F.max((F.datediff("day", "first").between(1, days)).cast("int")).alias("back"))
     return again.agg(F.count("*").alias("cohort"), safe_ratio(F.sum("back"), F.count("*")).alias("rate"))
+
+
+def daily_sketches(events: DataFrame, device: str, ts: str, log_k: int = 14) -> DataFrame:
+    """day, sketch: a sketch of each day's distinct devices, from one pass over the events."""
+    return events.where(F.col(device).isNotNull() & F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(F.hll_sketch_agg(F.col(device), log_k).alias("sketch"))
+
+
+def sliding_devices(sketches: DataFrame, days: int = 7) -> DataFrame:
+    """day, devices: the estimated number of distinct devices in the `days` up to each day that has events, from the daily
+    sketches alone; its relative error is about 1 / sqrt(2 ** log_k)."""
+    shifted = sketches.select(F.explode(F.sequence(F.col("day"), F.date_add("day", days - 1))).alias("day"), "sketch")
+    merged = shifted.groupBy("day").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("devices"))
+    return merged.join(sketches.select("day"), "day", "left_semi")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -233,3 +233,54 @@ def page_bodies(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = scored.where("candidate = 0").join(pool.select("page_id").distinct(), "page_id", "left_anti")
     chosen = keep(best.select(*cols).unionByName(rest.select(*cols)).join(count, "page_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0))), "chosen-bodies")
     return chosen.drop("key"), body.join(chosen.select("key"), "key", "left_semi").drop("key")
+
+
+#: Passes over a stored catalog; each takes what the one before has laid bare.
+MOST_PASSES = 12
+
+
+def renormalize(events: DataFrame, key: str = "event_id", blocks: str = "blocks") -> DataFrame:
+    """events with their stored blocks trimmed by today's rules until no rule removes any, and `removed`, how many went.
+
+    blocks: array of structs with type, text, links and link_chars (and width, height, alt where known), in order. Only events
+    of which a pass took something are looked at again. Events without blocks stay as they are.
+    """
+    rows = events.select(key, F.posexplode(blocks).alias("ord", "block")).select(key, "ord", "block", "block.*")
+    open_ = keep(rows, "stored-blocks")
+    stored, done = open_, None
+    for _ in range(MOST_PASSES):
+        left = keep(trimmed(open_, key), "renormalized")
+        took = open_.groupBy(key).agg(F.count("*").alias("n")).join(left.groupBy(key).agg(F.count("*").alias("m")), key, "left").where(F.col("n") > F.coalesce("m", F.lit(0))).select(key)
+        took = keep(took, "took")
+        settled = left.join(took, key, "left_anti").select(key, "ord", "block")
+        done = settled if done is None else done.unionByName(settled)
+        open_ = left.join(took, key, "left_semi")
+        if took.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"blocks still go after {MOST_PASSES} passes")
+    built = done.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "block"))), lambda x: x["block"]).alias("_blocks"))
+    had = stored.groupBy(key).agg(F.count("*").alias("_had"))
+    j = events.join(had, key, "left").join(built, key, "left")
+    new = F.when(F.col("_had").isNull(), F.col(blocks)).otherwise(F.coalesce("_blocks", F.slice(F.col(blocks), 1, 0)))
+    return j.withColumn(blocks, new).withColumn("removed", F.coalesce(F.col("_had") - F.size(blocks), F.lit(0)).cast("long")).drop("_had", "_blocks")
+
+
+@F.udtf(returnType="ord int, type string, level int, text string, link_chars int, links array<string>, src string, alt string, width int, height int")
+class BlocksOf:
+    """Blocks of one page, for SQL: SELECT p.page_id, b.* FROM pages p, LATERAL blocks_of(p.html) b."""
+
+    def eval(self, html: str):  # noqa: ANN201
+        from eventlake.operators.extract import _Blocks
+
+        p = _Blocks()
+        p.feed(html or "")
+        p.close()
+        p.flush()
+        for i, (kind, level, _, text, link_chars, links, *image) in enumerate(p.rows):
+            yield i, kind, level, text, link_chars, links, *image
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """Makes `blocks_of(html)` known to SQL."""
+    spark.udtf.register("blocks_of", BlocksOf)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from eventlake.functions import text
 from eventlake.functions.scores import personal_score
 
 
@@ -59,3 +60,12 @@ def due_sources(attempts: DataFrame, source: str, time: str, hours: Column) -> D
     now = last.agg(F.max("last").alias("now"))  # one row
     left = hours * 60 - F.floor((F.unix_micros("now") - F.unix_micros("last")) / 60_000_000)
     return last.join(F.broadcast(now)).select(source, (left <= 0).alias("due"), F.greatest(left, F.lit(0)).cast("long").alias("minutes_left"))
+
+
+def broken_links(pages: DataFrame) -> DataFrame:
+    """(page_id, href, target): links within a page's own site that lead to none of the pages. Links to other hosts and of
+    other kinds (mail, scripts) are left alone."""
+    hrefs = F.explode(F.regexp_extract_all("html", F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1)))
+    refs = pages.select("page_id", "url", hrefs.alias("href")).distinct().withColumn("target", text.resolve_reference(F.col("url"), F.col("href")))
+    own = refs.where(F.col("target").rlike("^(?i)https?://") & (text.url_host(F.col("target")) == text.url_host(F.col("url")))).withColumn("key", text.page_key(F.col("target")))
+    return own.join(pages.select(text.page_key(F.col("url")).alias("key")), "key", "left_anti").select("page_id", "href", "target")

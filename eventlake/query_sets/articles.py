@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventlake.operators import bodies, extract, trim
 from eventlake.plans.stage import keep
 from eventlake.query_sets.registry import query, table
+from eventlake.sources import scans
 
 _BARE = r"regexp_replace(coalesce(text, ''), '^[ \t\r\n:：]+|[ \t\r\n:：]+$', '', 'g')"
 #: Lines of documents as blocks; the patterns of marks, promotions and headings are stand-ins for words of sites.
@@ -162,3 +163,30 @@ def candidate_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def page_bodies(spark: SparkSession, d: str) -> DataFrame:
     return bodies.page_bodies(table(spark, d, "pages"))[0]
+
+
+@query()
+def sql_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of pages by a table function, in SQL."""
+    bodies.register_table_functions(spark)
+    return spark.sql("SELECT p.page_id, b.ord, b.type, b.text, b.link_chars FROM {pages} p, LATERAL blocks_of(p.html) b", pages=table(spark, d, "pages"))
+
+
+@query()
+def renormalized_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as stored blocks, trimmed until nothing more goes."""
+    rows = F.sort_array(F.collect_list(F.struct("ord", F.struct("type", "text", "links", "link_chars").alias("b"))))
+    stored = lines(spark, d).groupBy(F.col("page_id").alias("event_id")).agg(F.transform(rows, lambda x: x["b"]).alias("blocks"))
+    return bodies.renormalize(stored).select("event_id", F.size("blocks").alias("blocks"), "removed")
+
+
+_FEED_TITLE = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query(rf"SELECT page_id, regexp_replace(trim({_FEED_TITLE}), '\s+', ' ', 'g') AS title, url || '&x=1' AS link, 'a' || page_id || ' & b' AS summary FROM pages WHERE trim({_FEED_TITLE}) <> '' AND NOT contains({_FEED_TITLE}, '&')")
+def feed_items(spark: SparkSession, d: str) -> DataFrame:
+    """A feed for each page, with the bare ampersands that feeds have."""
+    p = table(spark, d, "pages").withColumn("title", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).where("trim(title) <> '' and not contains(title, '&')")
+    doc = F.concat(F.lit("<rss><channel><item><title>"), "title", F.lit("</title><link>"), "url", F.lit("&x=1</link><description>a"), F.col("page_id").cast("string"), F.lit(" & b</description></item></channel></rss>"))
+    items, _ = scans.parse_feeds(p.select(F.col("page_id").alias("file"), doc.alias("value")))
+    return items.select(F.col("file").alias("page_id"), "title", "link", "summary")

@@ -37,8 +37,13 @@ def scan_feeds(spark: SparkSession, path: str, cap: int | None = PER_SOURCE) ->
     order. files: file, bad (what couldn't be parsed), items. A reader that splits files by tags would drop each item with
     a bare ampersand, so that a document is one row here; each must fit in a task's memory.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^[^<]+", "").alias("value"))
-    parsed = raw.select("file", F.from_xml(repair_markup(F.col("value")), FEED_SCHEMA, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("doc"))
+    return parse_feeds(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), cap)
+
+
+def parse_feeds(documents: DataFrame, cap: int | None = PER_SOURCE) -> tuple[DataFrame, DataFrame]:
+    """`scan_feeds` of documents that are there already: file (any key), value."""
+    text = repair_markup(F.regexp_replace("value", r"^[^<]+", ""))
+    parsed = documents.select("file", F.from_xml(text, FEED_SCHEMA, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("doc"))
     rows = [F.transform(F.coalesce(items, F.array().cast(f"array<{kind}>")), _entry(atom)) for items, kind, atom in ((F.col("doc.channel.item"), _ITEM, False), (F.col("doc.item"), _ITEM, False), (F.col("doc.entry"), _ATOM, True))]
     found = parsed.select("file", F.col("doc._bad").isNotNull().alias("bad"), F.concat(*rows).alias("all"))
     fit = F.filter("all", lambda x: (x["title"] != "") & (x["link"] != ""))

@@ -191,3 +191,39 @@ def test_choice(spark):
     assert texts["short"] == ["Too short.", "Loose"] and "none" not in rows
     assert "" in texts["lead"]  # the lead image
     assert rows["focused"].candidates >= 2 and rows["short"].candidates == 0
+
+
+def test_renormalising_ends_where_nothing_more_goes(spark):
+    r = random.Random(2)
+    kinds = ["p", "p", "Related articles", "By Jane Doe", "Share this article", "Reading list", "1:20", "Audio ready", "Listen to this article", "Download the guide now", "Try it today"]
+    events = []
+    for i in range(40):
+        blocks = []
+        for _ in range(r.randrange(0, 14)):
+            k = r.choice(kinds)
+            text = PROSE * 4 if k == "p" else k
+            blocks.append((r.choice(["heading", "paragraph"]), text, ["/x"] if k.startswith(("Try", "Down")) else [], len(text) if k.startswith(("Try", "Down")) else 0))
+        events.append((f"e{i}", blocks if r.random() < 0.95 else None))
+    df = spark.createDataFrame(events, "event_id string, blocks array<struct<type:string,text:string,links:array<string>,link_chars:int>>")
+    once = spark.createDataFrame(bodies.renormalize(df).collect(), bodies.renormalize(df).schema)
+    got, had = {x.event_id: x for x in once.collect()}, dict(events)
+    assert len(got) == 40 and sum(x.removed for x in got.values()) > 20
+    for e, x in got.items():
+        if not had[e]:
+            assert x.blocks == had[e] and x.removed == 0
+            continue
+        assert x.removed == len(had[e]) - len(x.blocks)
+        rest = iter(had[e])
+        assert all(any(tuple(b) == y for y in rest) for b in x.blocks)  # in order
+    assert sum(x.removed for x in bodies.renormalize(once.drop("removed")).collect()) == 0
+
+
+def test_blocks_by_sql(spark):
+    from eventlake.operators.extract import page_blocks
+
+    bodies.register_table_functions(spark)
+    pages = spark.createDataFrame([(1, "<article><p>One <a href='/x'>two</a><p>three</article>"), (2, None), (3, "<img src='i' width=3>")], "page_id long, html string")
+    pages.createOrReplaceTempView("pages_of_test")
+    got = spark.sql("SELECT p.page_id, b.* FROM pages_of_test p, LATERAL blocks_of(p.html) b").collect()
+    want = page_blocks(pages).drop("region").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 3
