@@ -12,8 +12,8 @@ classes that collides in at least m of the K is a candidate:
 * the collisions of each pair found are counted over all K posted coordinates; those with m or more are confirmed on the
   full shingle sets.
 
-What longer postings hold besides the pairs with their hub is compared in blocks of BLOCK classes for each hub, on the
-full sets, in tasks that give back only links that join two components. m is set so that a pair at the threshold fails
+What longer postings hold besides the pairs with their hub is compared in blocks of about BLOCK classes or BLOCK_SHINGLES
+shingles for each hub, on the full sets, in tasks that give back only links that join two components. m is set so that a pair at the threshold fails
 with a probability of MISS at most, one above it with less; nothing else is lost, no posting is cut short. Postings that
 very many classes share are salted before they are joined.
 
@@ -45,7 +45,8 @@ K = 48
 #: With at most this probability a pair at the threshold has fewer colliding coordinates than are asked for.
 MISS = 2e-8
 SMALL_LIST = 48
-BLOCK = 256
+#: Classes of a block, and shingles of all its texts together, about.
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 #: Postings with more classes than this, and at most HOT_LISTS of them, are spread over SALTS keys.
 HOT, HOT_LISTS, SALTS = 1_000, 100_000, 32
 
@@ -169,7 +170,10 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     match = needed(K, percent)
     signed = keep(sign(docs), "minhash")
     full = signed.where("n > 0")
-    reps = keep(full.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("body").alias("body"), F.first("sig").alias("sig")), "classes")
+    # the row that lends its text, one with a doc_id if there is any
+    lends = F.max(F.struct("doc_id", "body")).alias("lends")
+    reps = full.groupBy("node").agg(F.min("doc_id").alias("first_id"), lends, F.first("sig").alias("sig"), F.first("n").alias("n"))
+    reps = keep(reps.select("node", "first_id", F.col("lends.doc_id").alias("text_id"), F.col("lends.body").alias("body"), "sig", "n"), "classes")
 
     posts = reps.select("node", F.posexplode("sig").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("post"))
     met = _posting_counts(posts, reps.count()).groupBy("node").agg(F.count("*").alias("m"), F.sum("c").alias("weight"), F.sort_array(F.collect_list(F.struct("c", "post"))).alias("by")).where(F.col("m") >= match)
@@ -191,10 +195,12 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     links = keep(with_text.select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long"), "links")
     labels = connected_components(links)
 
-    star = stars.join(labels, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label"))
-    open_ = keep(star.join(star.groupBy("hub").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("hub", "m"), "hub"), "open-stars")
+    star = stars.join(labels, "node", "left").join(reps.select("node", "n"), "node").select("hub", "node", F.coalesce("label", "node").alias("label"), "n")
+    sums = star.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("held"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("hub", "m", "held")
+    open_ = keep(star.drop("n").join(sums, "hub"), "open-stars")
     if not open_.isEmpty():
-        nb = F.ceil(F.col("m") / BLOCK).cast("int")
+        # a block is bounded by what its texts hold as well as by their number
+        nb = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
         placed = open_.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("node"), "nb").cast("int"))
         cells = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("hub", "node", "label", "block", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"))
         # a pair of blocks under one label has nothing left to join
@@ -218,8 +224,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def _texts(docs: DataFrame, nodes: DataFrame, reps: DataFrame) -> DataFrame:
     """node, text of the classes that need a look at their full set."""
-    wanted = reps.select("node", "body").join(nodes.toDF("node"), "node", "left_semi")
-    text = docs.select(_body().alias("body"), "text").join(wanted, "body").select("node", "text")
+    wanted = reps.select("node", F.struct("text_id").alias("id"), "body").join(nodes.toDF("node"), "node", "left_semi")
+    # by body and doc_id, so that copies of a text don't all come
+    text = docs.select(_body().alias("body"), F.struct(F.col("doc_id").cast("long").alias("text_id")).alias("id"), "text").join(wanted, ["body", "id"]).select("node", "text")
     return keep(text.dropDuplicates(["node"]), "texts")
 
 

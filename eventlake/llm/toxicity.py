@@ -5,9 +5,10 @@ is a trie; the automaton for up to one edit runs over trie and word at the same
 one look-up per character and most die after two or three. Only entries of FUZZY_FROM characters or more allow an
 edit. Edited matches have a weight for each entry, and those of the first character one more, since chance neighbours are
 among them. So that edits have a weight where no labelled text is misspelled, each text is also learned from with its
-caught words misspelled: every other text at their first character, the rest at the other places in turn. Each caught word is weighed by its context: WINDOW words on either side tell
-quotation (quotation marks, words of reporting) from abuse (words of address). A logistic scorer over these counts turns
-them into a score from 0 to 1.
+caught words misspelled, at a place that a hash of the text picks: half of the texts at the first character. Each caught
+word is weighed by its context: WINDOW words on either side tell quotation (quotation marks, words of reporting) from abuse
+(words of address). A logistic scorer over these counts turns them into a score from 0 to 1; its Newton steps add up
+gradient and curvature in tasks, and the fit depends on the labelled texts alone, however they are dealt.
 
 Lexicon and scorer are fitted on about SAMPLE labelled documents outside the held-out fold, twice as many at most; every
 term of theirs that tells toxic from clean well enough is an entry. A term counts once for toxic documents of one sketch,
@@ -19,6 +20,7 @@ is that of a prior of PRIOR. An empty table gives an empty result; columns but d
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from eventlake.llm import shingles as S
 from eventlake.llm.tokens import slices
+from eventlake.llm.vectors import matrix
 from eventlake.plans.stage import keep
 
 #: Labelled documents that lexicon and scorer are fitted on: a bound on the fit, not on what is scored.
@@ -40,6 +43,8 @@ FUZZY_FROM = 5
 WINDOW = 5
 PRIOR = 0.1
 REMEMBER = 300_000
+#: The fit's rows are at most twice as many as feature rows of the sample; so many tasks share them, and take so many at a time.
+TASKS, ROWS = 16, 1024
 PREFIXES = range(4, 9)
 
 #: Words that report another's speech, and words that address a person, in the languages of the corpus.
@@ -215,7 +220,7 @@ class Catcher:
     """Features of a text. Each task builds its own from the entries."""
 
     def __init__(self, entries: list[str]):
-        self.automaton, self.wide, self.seen, self.turn = Automaton(entries), Automaton(entries, first=True), {}, 0
+        self.automaton, self.wide, self.seen = Automaton(entries), Automaton(entries, first=True), {}
 
     def caught(self, word: str) -> tuple[int, int]:
         """(0, entry) exact, (1, entry) with an edit behind the first character, (2, entry) with one of the first, or (2, -1)."""
@@ -227,13 +232,13 @@ class Catcher:
     def misspelled(self, text: str | None) -> str:
         """The text with each exact match of an entry that allows edits misspelled, at the first character or one behind it."""
         out = []
-        self.turn += 1
+        pick = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
         for w in (text or "").lower().split():
             edits, entry = self.automaton.match(plain(w))
             if entry >= 0 and edits == 0 and self.automaton.fuzzy[entry]:
                 stem = self.automaton.entries[entry].rstrip("*")
-                at, turn = w.index(stem), self.turn // 2
-                place = 0 if self.turn % 2 else 1 + turn % (len(stem) - 1)
+                at, turn = w.index(stem), pick // 2
+                place = 0 if pick % 2 else 1 + turn % (len(stem) - 1)
                 w = w[:at] + misspell(stem, place + turn % 3 * len(stem)) + w[at + len(stem) :]
             out.append(w)
         return " ".join(out)
@@ -283,17 +288,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps. Each row of x with label y stands for n equal ones."""
-    if not len(y) or y.min() == y.max():
-        p = PRIOR if not len(y) else float(np.clip(y[0], 0.01, 0.99))
-        return np.zeros(x.shape[1] if x.ndim == 2 else 0), float(np.log(p / (1 - p)))
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w, pen = np.zeros(a.shape[1]), np.full(a.shape[1], ridge * n.sum())
+def _sums(w: np.ndarray):
+    """x, toxic, n -> one row per task: gradient and curvature of the log loss at w, summed over the rows."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, h = np.zeros(len(w)), np.zeros((len(w), len(w)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                a = np.hstack([matrix(part.column(0)), np.ones((part.num_rows, 1))])
+                y, n = (part.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
+                p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+                g += a.T @ (n * (p - y))
+                h += (a * (n * p * (1 - p))[:, None]).T @ a
+        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()]), pa.array([h.tobytes()])], ["g", "h"])
+
+    return go
+
+
+def fit_scorer(rows: DataFrame, size: int, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps over rows x (so many numbers), toxic, n; a row stands for n equal ones."""
+    n, low, high = rows.agg(F.sum("n"), F.min("toxic"), F.max("toxic")).collect()[0]
+    if not n or low == high:
+        p = PRIOR if not n else float(np.clip(low, 0.01, 0.99))
+        return np.zeros(size), float(np.log(p / (1 - p)))
+    few = rows.select("x", F.col("toxic").cast("double"), F.col("n").cast("double")).coalesce(TASKS)
+    w, pen = np.zeros(size + 1), np.full(size + 1, ridge * n)
     pen[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + np.diag(pen), a.T @ (n * (p - y)) + pen * w)
+        sums = few.mapInArrow(_sums(w), "g binary, h binary").collect()
+        g = sum(np.frombuffer(r["g"]) for r in sums) + pen * w
+        h = sum(np.frombuffer(r["h"]).reshape(len(w), -1) for r in sums) + np.diag(pen)
+        step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -320,13 +346,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     some = usable.where(place < share).orderBy(place, "doc_id", "toxic").limit(2 * sample)
     # the sample's size is bounded by the parameter, so this side of the join is small whatever the tables are
-    train = keep(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxic-sample")
+    # of texts that share a doc_id the smallest stands for all, so that the sample stays as large as its labels are
+    own = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    train = keep(own.join(F.broadcast(some), "doc_id").select("text", "toxic"), "toxic-sample")
     n = dict(train.groupBy("toxic").count().collect())
     entries = choose(telling(train, n.get(1, 0), n.get(0, 0)))
     # most clean documents have no feature at all: equal rows are one row with a count
-    rows = train.mapInArrow(_features(entries), "x array<double>, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n")).toPandas().sort_values("toxic", kind="stable")
-    x = np.array(rows["x"].tolist()).reshape(len(rows), 2 * len(entries) + len(EXTRA))
-    return Model(entries, *fit_scorer(x, rows["toxic"].to_numpy().astype(float), rows["n"].to_numpy().astype(float)))
+    rows = keep(train.mapInArrow(_features(entries), "x array<double>, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n")), "toxic-features")
+    return Model(entries, *fit_scorer(rows, 2 * len(entries) + len(EXTRA)))
 
 
 def _scorer(model: Model):

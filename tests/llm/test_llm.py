@@ -216,6 +216,7 @@ def plain_components(sets, percent=85):
 def test_near_duplicates(spark, docs, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_LIST", 4)
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
     rnd = random.Random(11)
     base = [str(rnd.randint(0, 10**6)) for _ in range(120)]
     texts = {100 + i: " ".join(w if rnd.random() > 0.02 * (i % 3) else str(rnd.randint(0, 10**6)) for w in base) for i in range(60)}
@@ -418,3 +419,27 @@ def test_toxicity_of_misspelled_terms(spark):
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     planted = [(p * 2 + k, " ".join([*rnd.choices(words, k=30), toxicity.misspell(w, p), toxicity.misspell(w, p)])) for p in range(15) for k, w in enumerate(("idiot", "moron"))]
     assert all(r.predicted for r in toxicity.score(spark.createDataFrame(planted, "doc_id long, text string"), model).collect())
+
+
+def test_toxicity_fit_is_the_same_however_rows_are_dealt(spark):
+    rnd = random.Random(4)
+    words = "the of stone river light walks green houses under near".split()
+    rows = [(i, " ".join([*rnd.choices(words, k=20), *(rnd.choices(["idiot", "moron", "scumbag"], k=2) if i % 4 == 0 or i % 31 == 0 else [])])) for i in range(500)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows] + [(7, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    # of rows that share a doc_id, one text is learned from
+    df = spark.createDataFrame([*rows, *[(8, "the last of all")] * 30, (None, "idiot")], "doc_id long, text string")
+    models = [toxicity.fit(df.repartition(n), labels.repartition(n)) for n in (1, 5, 50)]
+    assert models[0].entries and all(m.entries == models[0].entries for m in models)
+    for m in models[1:]:
+        np.testing.assert_allclose(m.weights, models[0].weights, rtol=0, atol=1e-9)
+        assert abs(m.bias - models[0].bias) < 1e-9
+
+
+def test_toxicity_scorer_as_plain_newton(spark):
+    rnd = np.random.default_rng(3)
+    x, y = rnd.random((60, 3)).round(1), rnd.integers(0, 2, 60)
+    w, b = toxicity.fit_scorer(spark.createDataFrame([(r.tolist(), int(t), 1 + i % 3) for i, (r, t) in enumerate(zip(x, y, strict=True))], "x array<double>, toxic int, n long").repartition(7), 3)
+    n = np.array([1 + i % 3 for i in range(60)])
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    np.testing.assert_allclose(x.T @ (n * (p - y)) + 1e-3 * n.sum() * w, 0, atol=1e-6)
+    assert abs((n * (p - y)).sum()) < 1e-4
