@@ -159,3 +159,37 @@ def pack_chunks(parts: Column, n: int) -> Column:
         return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"), F.when(fits, joined).otherwise(p).alias("open"))
 
     return F.aggregate(parts, start, add, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
+def paragraph_chunks(text: Column, n: int) -> Column:
+    """Paragraphs between blank lines, cut into pieces of n characters where they are longer, and packed in order."""
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n[ \t\n\f\r]*\n"), lambda p: F.regexp_replace(p, r"^[ \t\n\f\r]+|[ \t\n\f\r]+$", "")), lambda p: p != "")
+    pieces = F.transform(paragraphs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / n).cast("int")), lambda i: F.substring(p, i * n + 1, F.lit(n))))
+    return pack_chunks(F.flatten(pieces), n)
+
+
+def sentence_chunks(text: Column, n: int, most: int | None = None) -> Column:
+    """Sentences packed in order, with a space between, into chunks whose sentences hold n characters with what came before;
+    a longer one stands alone; `most` chunks at most, the rest is left out."""
+    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[。！？.!?])[ \t\n\f\r]+"), lambda s: s != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(acc: Column, s: Column) -> Column:
+        full = (acc["open"] != "") & (F.length(acc["open"]) + F.length(s) > n)
+        joined = F.when(acc["open"] == "", s).otherwise(F.concat_ws(" ", acc["open"], s))
+        return F.struct(F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"), F.when(full, s).otherwise(joined).alias("open"))
+
+    out = F.aggregate(sentences, start, add, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    return out if most is None else F.slice(out, 1, most)
+
+
+def batch_numbers(sizes: Column, n: int) -> Column:
+    """For sizes in order, the number of the batch that each falls in: a batch ends before what would take it beyond n."""
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"))
+
+    def add(acc: Column, size: Column) -> Column:
+        new = (F.size(acc["out"]) > 0) & (acc["used"] + size > n) & (acc["used"] > 0)
+        batch = F.when(new, acc["batch"] + 1).otherwise(acc["batch"])
+        return F.struct(F.array_append(acc["out"], batch).alias("out"), F.when(new, size).otherwise(acc["used"] + size).cast("long").alias("used"), batch.alias("batch"))
+
+    return F.aggregate(F.transform(sizes, lambda s: s.cast("long")), start, add, lambda acc: acc["out"])

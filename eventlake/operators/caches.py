@@ -81,6 +81,25 @@ def keep_weeks(weeks: DataFrame, n: int = 26) -> DataFrame:
     return weeks.join(weeks.select("week_id").distinct().orderBy(F.desc("week_id")).limit(n), "week_id", "left_semi")
 
 
+#: What a week's text depends on: another value of any of them is another text.
+WEEKLY_KEY = ("week_id", "input_hash", "baseline_hash", "prompt_version", "schema_version", "model")
+
+
+def weekly_key(model_default: str = "unconfigured") -> Column:
+    """The name of a stored week: a hash of all that it depends on. Nulls count as empty, without a model as the default."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in WEEKLY_KEY[:-1]]
+    return F.sha2(F.to_json(F.array(*parts, F.coalesce(F.nullif(F.col("model"), F.lit("")), F.lit(model_default)))), 256)
+
+
+def weekly_lookup(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """asked (the columns of WEEKLY_KEY) with `entry` where it is stored under the same key, and a reason: hit, changed (the
+    week is there, made from something else) or absent. stored: key, week_id, entry; one row a key."""
+    j = asked.withColumn("key", weekly_key()).join(stored.select("key", "entry", F.lit(True).alias("_hit")), "key", "left")
+    weeks = stored.select("week_id").distinct().withColumn("_week", F.lit(True))
+    reason = F.when(F.col("_hit"), "hit").when(F.col("_week"), "changed").otherwise("absent")
+    return j.join(weeks, "week_id", "left").withColumn("reason", reason).drop("_hit", "_week")
+
+
 # --- ledgers ---------------------------------------------------------------------------------------------------------
 
 
@@ -89,6 +108,14 @@ def append_runs(ledger: DataFrame, run: DataFrame) -> DataFrame:
     return ledger.join(run.select("run_id").distinct(), "run_id", "left_anti").unionByName(run)
 
 
+def usage_accounts(calls: DataFrame, by: tuple[str, ...] = ("run_id", "purpose", "source", "day")) -> DataFrame:
+    """Calls, failures, reported and accounted tokens by each of the columns alone and in all, from one pass. A call that
+    reported nothing, a failed one as well, is accounted with what was reserved for it."""
+    sums = [F.count("*").alias("calls"), F.count_if(~F.coalesce("success", F.lit(False))).alias("failures"), F.sum(F.coalesce("total_tokens", F.lit(0))).alias("total_tokens"), F.sum(F.when(F.coalesce("usage_reported", F.lit(False)), F.coalesce("total_tokens", F.lit(0))).otherwise(F.coalesce("reserved", F.lit(0)))).alias("accounted_tokens")]
+    sets = [[F.col(c)] for c in by] + [[]]
+    return calls.groupingSets(sets, *(F.col(c) for c in by)).agg(*sums)
+
+
 def daily_totals(ledger: DataFrame) -> DataFrame:
     """Calls, failures and tokens by day and by day and purpose, worked out anew from the facts.
 

@@ -100,32 +100,36 @@ class _Regions(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[tuple] = []
-        self.open: list[list] = []
-        self.count = 0
+        self.open: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+        self.count = self.seen = self.skips = 0
 
     def handle_starttag(self, tag, attrs):  # noqa: ANN001, ANN201
         if tag not in VOID:
-            self.open.append([tag, " ".join(f'{k}="{v or ""}"' for k, v in attrs), self.count, 0])
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append((tag, attrs, self.count, self.seen))
+            self.skips += tag in SKIP
             self.count += 1
 
     def handle_startendtag(self, tag, attrs):  # noqa: ANN001, ANN201
         pass
 
     def handle_endtag(self, tag):  # noqa: ANN001, ANN201
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is None:
+        if not self.places.get(tag):
             return
-        name, attrs, number, chars = self.open[at]
+        at = self.places[tag][-1]
+        name, attrs, number, seen = self.open[at]
         if name in CONTAINERS:
-            self.rows.append((number, name, attrs, at, chars))
-        del self.open[at:]
+            self.rows.append((number, name, " ".join(f'{k}="{v or ""}"' for k, v in attrs), at, self.seen - seen))
+        while len(self.open) > at:
+            gone = self.open.pop()[0]
+            self.places[gone].pop()
+            self.skips -= gone in SKIP
 
     def handle_data(self, data):  # noqa: ANN001, ANN201
-        if any(t[0] in SKIP for t in self.open):
-            return
-        n = len(" ".join(data.split()))
-        for t in self.open:
-            t[3] += n
+        # a container's text is what has been seen between its begin and its end
+        if not self.skips:
+            self.seen += len(" ".join(data.split()))
 
 
 def _rows(parser: type, schema: str, numbered: bool):
@@ -186,3 +190,12 @@ def limit_chars(blocks: DataFrame, n: int, doc: str, order: str) -> DataFrame:
     """Blocks until n characters are reached; the one that crosses is cut."""
     seen = blocks.withColumn("before", before_chars("text", doc, order)).where(F.col("before") < n)
     return seen.withColumn("text", F.left("text", n - F.col("before"))).drop("before")
+
+
+def limit_blocks(blocks: DataFrame, n: int, preserve: tuple[str, ...], doc: str = "page_id", order: str = "ord", kind: str = "type") -> DataFrame:
+    """`limit_chars` with kinds of blocks that always stay and don't count."""
+    kept = F.col(kind).isin(*preserve)
+    size = F.when(kept, 0).otherwise(F.length(F.coalesce("text", F.lit(""))))
+    before = F.coalesce(F.sum(size).over(W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    seen = blocks.withColumn("_before", before).where(kept | (F.col("_before") < n) | ((F.col("_before") == n) & (size == 0)))
+    return seen.withColumn("text", F.when(kept, F.col("text")).otherwise(F.left("text", (n - F.col("_before")).cast("int")))).drop("_before")

@@ -37,6 +37,24 @@ def merge_items(items: DataFrame, event: str = "event_id", order: str = "seq") -
     )
 
 
+#: Ways in which a body was got that come before all others.
+BODY_MODES = ("original", "translated")
+
+
+def choose_merged_body(items: DataFrame, event: str = "event_id", order: str = "seq", item: str = "item", mode: str = "mode", body: str = "body", modes: tuple[str, ...] = BODY_MODES) -> DataFrame:
+    """(event, item): whose body an event keeps as its reports come in, in order. A report's body takes the place of the one
+    kept if it is longer, or if it was got in one of the modes and the kept one wasn't. Each report may undo the last, so
+    that an event's reports are folded one by one: by their lengths and modes alone, the texts stay where they are."""
+    row = F.struct(F.col(order).alias("o"), F.col(item).alias("i"), F.coalesce(F.col(mode).isin(*modes), F.lit(False)).alias("good"), F.length(F.coalesce(F.col(body), F.lit(""))).alias("n"))
+    rows = F.sort_array(F.collect_list(row))
+
+    def keep(held: Column, new: Column) -> Column:
+        return F.when(held.isNull() | (new["good"] & ~held["good"]) | (new["n"] > held["n"]), new).otherwise(held)
+
+    kept = F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.get("rows", F.lit(0)), keep)
+    return items.groupBy(event).agg(rows.alias("rows")).select(event, kept["i"].alias(item))
+
+
 def merge_events(events: DataFrame, into: str = "into", key: str = "event_id") -> DataFrame:
     """Events into the one that they merge into: the latest publication, the largest signal and importance, vendors in
     order; first sight and text stay the leader's, and items add up."""

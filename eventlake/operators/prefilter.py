@@ -160,3 +160,10 @@ def category_label(key: Column, old: Column, labels: dict[str, str]) -> Column:
     """The label of a category; one that isn't known keeps the label that it has, else its own name."""
     known = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))
     return F.coalesce(known[key], F.nullif(old, F.lit("")), key)
+
+
+def relabel(records: DataFrame, labels: dict[str, str], key: str = "category", label: str = "category_label") -> DataFrame:
+    """records with today's labels, and `relabelled`, whether the stored one was another; unknown categories keep theirs."""
+    known = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))[F.col(key)]
+    changed = known.isNotNull() & ~F.col(label).eqNullSafe(known)
+    return records.withColumn("relabelled", changed).withColumn(label, F.coalesce(known, F.col(label)))

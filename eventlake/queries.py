@@ -691,4 +691,4 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the other subjects register themselves
-from eventlake.query_sets import articles, decisions, publishing, resolution, reviews, sources, weekly  # noqa: E402, F401
+from eventlake.query_sets import articles, decisions, details, publishing, resolution, reviews, sources, weekly  # noqa: E402, F401

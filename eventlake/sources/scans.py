@@ -83,6 +83,20 @@ def scan_link_list(pages: DataFrame, cap: int = PER_SOURCE) -> DataFrame:
     return first.withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy("at"))).where(F.col("n") <= cap)
 
 
+def scan_listing(pages: DataFrame, link: str = r"(/[a-z0-9_/-]+\d{3,})", title: str = r"<strong[^>]*>(.*?)</strong>", base: str = "", cap: int = PER_SOURCE) -> DataFrame:
+    """page_id, place, title, link of the articles that listing pages name: anchors whose address matches `link` (a pattern with
+    one group) with the title that `title` finds within them, else their own text. Of each address the first anchor with a
+    title counts; at most `cap` per page, in page order."""
+    anchor = rf'(?is)<a\b[^>]*\bhref="{link}"[^>]*>(.*?)</a>'
+    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("path"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("inner"))
+    rows = pages.select("page_id", F.posexplode(both).alias("at", "a")).select("page_id", "at", F.col("a.path").alias("path"), F.col("a.inner").alias("inner"))
+    found = F.regexp_extract("inner", f"(?s){title}", 1)
+    named = rows.withColumn("title", strip_html(F.when(F.col("inner").rlike(f"(?s){title}"), found).otherwise(F.col("inner")))).where("title <> ''")
+    first = named.groupBy("page_id", "path").agg(F.min_by("title", "at").alias("title"), F.min("at").alias("at"))
+    ranked = first.withColumn("place", F.row_number().over(W.partitionBy("page_id").orderBy("at"))).where(F.col("place") <= cap)
+    return ranked.select("page_id", "place", "title", F.concat(F.lit(base), F.col("path")).alias("link"))
+
+
 def scan_versioned_index(pages: DataFrame, column: str, newest: int = 6) -> DataFrame:
     """Newest version paths YYYY/M_N by year and numbers."""
     v = F.explode(F.regexp_extract_all(column, F.lit(r"(\d{4}/\d+_\d+)"), F.lit(1)))
