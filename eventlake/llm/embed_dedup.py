@@ -1,11 +1,12 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
 Within a label, two vectors with cosine of at least c are unit vectors at most sqrt(2 - 2c) apart. Unit vectors are laid
-on a grid of that width along DIMS leading principal directions of the data, and sorted by label and cell; the sorted
-sequence is cut into intervals of up to INTERVAL rows. Two intervals are compared if the ranges of their coordinates come
-within the width in every direction (found by an equi-join on the cells of the first two coordinates, then by the ranges). Inside a
-task the join goes on recursively: sequences are halved, pairs of halves that are provably distant are skipped, and
-pieces of up to LEAF rows are compared by their full vectors in double precision.
+on a grid of that width along the leading principal directions of the data, and sorted by label and the cells of the first
+GRID of them; the sorted sequence is cut into intervals of up to INTERVAL rows. Two intervals are compared if their boxes, along
+DIMS directions, come within the width (found by an equi-join on the cells of the first two coordinates, then by the distance
+of the boxes). Only then vectors move: TILE neighbouring intervals go together to meet TILE others, so that an interval is
+sent once for up to TILE partners. Inside a task the join goes on recursively: sequences are halved, pairs of halves whose
+boxes are provably distant are skipped, and pieces of up to LEAF rows are compared by their full vectors in double precision.
 
 Rows of equal label and vector are one class before anything is compared, and a class counts as its rows in the links of
 others; so a group of copies costs what one row costs. Tasks give back, for each class, how many rows it links with, and
@@ -13,7 +14,8 @@ for components only as many links as join them.
 
 Rows with equal ids are rows of their own. Labels may be of any type that has a text. Null labels, and null, zero or
 non-finite vectors link with nothing; so do vectors of different lengths. Vectors without an id count as links of others,
-and never name a component. An empty table gives an empty result; other columns are not read.
+and never name a component. The rows of a class are found again by a 64-bit hash of label and vector: of n classes two meet
+with probability n^2 / 2^65. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from eventlake.plans.stage import keep
 
 #: Rows at most that the principal directions are fitted on.
 SAMPLE = 8_000
-DIMS = 4
-INTERVAL = 512
+GRID, DIMS = 4, 16
+INTERVAL, TILE = 512, 8
 LEAF = 64
 #: What rounding may add to a distance; pairs this near to a bound are compared in full.
 SLACK = 1e-9
@@ -72,10 +74,11 @@ def close(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, cosine:
 
 def _compare(cosine: float, width: float):
     def go(table: pa.Table) -> pa.Table:
-        """Classes of two intervals (side 0 and 1; only side 0 if they are one) -> linked rows of each, and joining links."""
+        """Classes of two tiles (side 0 and 1; only side 0 if they are one) -> linked rows of each, and joining links."""
         side, copies = table.column("side").to_numpy(), table.column("copies").to_numpy()
         row, x, p = table.column("row").to_numpy(), matrix(table.column("embedding")), matrix(table.column("p"))
-        order = np.lexsort([row, *p.T[::-1]])
+        # in order of cells, so that neighbours in the sequence are neighbours in every direction
+        order = np.lexsort([row, *np.floor(p / width).T[::-1]])
         side, row, x, p, copies = side[order], row[order], x[order], p[order], copies[order]
         norm = np.sqrt((x * x).sum(axis=1))
         left = np.flatnonzero(side == 0)
@@ -156,7 +159,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
         return F.aggregate(F.zip_with("embedding", weights, lambda u, w: u * w), F.lit(0.0), lambda a, y: a + F.coalesce(y, F.lit(0.0))) / F.col("norm")
 
     placed = good.withColumn("norm", norm).withColumn("p", F.array(*(along(a) for a in axes)))
-    names = [f"c{i}" for i in range(len(axes))]
+    names = [f"c{i}" for i in range(min(GRID, len(axes)))]
     cells = [F.floor(F.col("p")[i] / width).alias(c) for i, c in enumerate(names)]
     ranges = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["label", "d", *names, "row"]
@@ -178,12 +181,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     near = (left["label"] == right["label_"]) & (left["d"] == right["d_"]) & (left["interval"] <= right["interval_"])
     for i in range(min(2, len(axes))):
         near = near & (left[f"cell{i}"] == right[f"cell{i}"])
-    for i in range(len(axes)):
-        near = near & (F.col(f"lo{i}") - F.col(f"hi{i}_") <= width + SLACK) & (F.col(f"lo{i}_") - F.col(f"hi{i}") <= width + SLACK)
-    pairs = keep(left.join(right, near).select(F.col("interval").alias("i"), F.col("interval_").alias("j")).distinct(), "interval-pairs")
-    sides = pairs.select("i", "j", F.col("i").alias("interval"), F.lit(0).alias("side")).union(pairs.where("i < j").select("i", "j", F.col("j"), F.lit(1)))
-    inputs = sides.join(seq.select("interval", "row", "copies", "embedding", "p"), "interval").select("i", "j", "side", "row", "copies", "embedding", "p")
-    found = keep(inputs.groupBy("i", "j").applyInArrow(_compare(cosine, width), "a long, b long, n long"), "vector-links")
+    apart = [F.greatest(F.col(f"lo{i}") - F.col(f"hi{i}_"), F.col(f"lo{i}_") - F.col(f"hi{i}"), F.lit(0.0)) for i in range(len(axes))]
+    near = near & (sum((g * g for g in apart), F.lit(0.0)) <= (width + SLACK) ** 2)
+    pairs = keep(left.join(right, near).select("label", "d", F.col("interval").alias("i"), F.col("interval_").alias("j")).distinct(), "interval-pairs")
+    tile = [F.floor(F.col(c) / TILE).cast("long").alias(t) for c, t in (("i", "ti"), ("j", "tj"))]
+    tiles = pairs.select("label", "d", *tile, "i", "j")
+    sides = tiles.select("label", "d", "ti", "tj", F.col("i").alias("interval"), F.lit(0).alias("side")).union(tiles.select("label", "d", "ti", "tj", "j", F.when(F.col("ti") == F.col("tj"), 0).otherwise(1))).distinct()
+    inputs = sides.join(seq.select("interval", "row", "copies", "embedding", "p"), "interval").select("label", "d", "ti", "tj", "side", "row", "copies", "embedding", "p")
+    found = keep(inputs.groupBy("label", "d", "ti", "tj").applyInArrow(_compare(cosine, width), "a long, b long, n long"), "vector-links")
 
     counts = found.where("n > 0").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("others"))
     labels = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "row").withColumnRenamed("label", "root")
