@@ -81,10 +81,10 @@ def test_same_event_rules(spark, tmp_path):
     same, other = "word " * 20, " ending alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [(1, "budget vote delayed again", "en"), (2, "budget vote passed", "en"), (3, same + other, "en"), (4, same + " 0123456789 9876543210 1357924680", "en"), (5, "budget vote passed", "de"), (6, None, "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    near = {(r.a, r.b): r.similarity for r in core.same_event_pairs(spark, str(tmp_path)).collect()}
+    near = {(r.a, r.b): r.similarity for r in similar.all_pairs(core._title_lines(spark, str(tmp_path)), core.SAME_EVENT).collect()}
     assert set(near) == {(1, 2), (1, 5), (2, 5)} and 0.3 < near[1, 2] < 0.6
     assert {r.id: r.group_id for r in core.same_event_groups(spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6}
-    assert {(r.id, r.other) for r in core.same_event_related3(spark, str(tmp_path)).collect()} == {(1, 2), (2, 1)}
+    assert {(r.id, r.other) for r in similar.nearest_sets(core._title_lines(spark, str(tmp_path), "lang"), 3, core.SAME_EVENT, group="lang").collect()} == {(1, 2), (2, 1)}
     gate = spark.range(1).select(events.quality_gate(F.lit(False), F.lit(1), F.lit(1.0), F.lit(2)).alias("ok")).first()
     assert gate.ok
 
