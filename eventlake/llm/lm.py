@@ -35,8 +35,8 @@ from eventlake.plans.stage import keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Weight of the words' own probabilities against counts of pairs.
-MU = 30.0
+#: Weight of the words' own probabilities against counts of pairs: near the likeliest for held-out documents (README).
+MU = 300.0
 #: Tokens packed together, at most; documents in them, at most; training tokens per shard, about.
 PIECE, DOCS, SHARD = 1 << 20, 1 << 12, 2_000_000
 #: Bits of the word before that a trie keeps.
