@@ -39,6 +39,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MU = 300.0
 #: Tokens packed together, at most; documents in them, at most; training tokens per shard, about.
 PIECE, DOCS, SHARD = 1 << 20, 1 << 12, 2_000_000
+#: Words that are dealt over all shards, at most; a less frequent one is wholly in its shard.
+FREQUENT = 1 << 20
 #: Bits of the word before that a trie keeps.
 CONTEXT = 40
 CODES = (1 << 16) - 1
@@ -299,8 +301,8 @@ class Counted:
         counts = keep(trained.select(F.explode(tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "vocabulary")
         self.n_tokens, self.n_words = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).collect()[0])
         self.shards = max(1, math.ceil(self.n_tokens / per_shard))
-        # above a quarter of a shard's tokens: four words per shard at most
-        frequent = counts.where(F.col("n") > self.n_tokens / (4 * self.shards)).collect()
+        # above a quarter of a shard's tokens; FREQUENT words at most, as every task knows them
+        frequent = counts.where(F.col("n") > self.n_tokens / min(4 * self.shards, FREQUENT)).collect()
         hot = np.array([x["w"] for x in frequent], np.int64).view(np.uint64)
         order = np.argsort(hot)
         self.hot, self.hot_counts = hot[order], np.array([x["n"] for x in frequent], np.float64)[order]
