@@ -21,7 +21,8 @@ def parse_date_multi(c: Column) -> Column:
         bare = F.regexp_replace(bare, rf"(?i)(?<=\d) +{name}$", f" {'-' if hours < 0 else '+'}{abs(hours):02d}00")
     # an ISO time's offset may stand without a colon
     bare = F.regexp_replace(bare, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}) ?([+-]\d{2})(\d{2})$", "$1$2:$3")
-    return F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in FORMATS))
+    # bound once, or the text would be cleaned anew for every format
+    return F.get(F.transform(F.array(bare), lambda b: F.coalesce(*(F.try_to_timestamp(b, F.lit(f)) for f in FORMATS))), F.lit(0))
 
 
 #: Where pages say when they were published, in order of trust.
@@ -36,8 +37,8 @@ META_DATES = (
 
 def meta_date(html: Column) -> Column:
     """The first of the page's dates that reads as one between 2005 and 2100, else null."""
-    found = [parse_date_multi(F.left(F.regexp_extract(html, p, 1), F.lit(30))) for p in META_DATES]
-    return F.coalesce(*(F.when(F.year(d).between(2005, 2100), d) for d in found))
+    said = F.array(*(F.left(F.regexp_extract(html, p, 1), F.lit(30)) for p in META_DATES))
+    return F.get(F.filter(F.transform(said, parse_date_multi), lambda d: F.year(d).between(2005, 2100)), F.lit(0))
 
 
 def backfill_date(published: Column, page: Column, now: Column) -> Column:

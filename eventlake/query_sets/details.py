@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.functions import scores, text
-from eventlake.operators import caches, extract, merge, prefilter
+from eventlake.operators import caches, extract, merge, prefilter, trim
 from eventlake.plans.stage import shared_dir
 from eventlake.query_sets.registry import query, table
 from eventlake.sources import scans, sinks
@@ -187,3 +187,55 @@ def merged_tags(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     own = [F.when(k % 3 != 0, F.array(F.lit(" a"), F.lit("zz"))), F.when(k % 4 != 0, F.array(F.lit("b"), F.lit("a ").substr(3, 1)))]
     return table(spark, d, "orders").select(k.alias("id"), F.array_join(scores.merge_tags(*own, F.array(F.lit("a"), F.lit("b"))), ",").alias("tags"))
+
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 5 THEN NULL WHEN 2 THEN date_trunc('day', o_orderdate)::TIMESTAMP WHEN 3 THEN date_trunc('day', o_orderdate)::TIMESTAMP ELSE date_trunc('second', o_orderdate)::TIMESTAMP END AS at,
+ CASE WHEN o_orderkey % 6 <> 5 AND year(o_orderdate) >= 2005 THEN date_trunc('second', o_orderdate)::TIMESTAMP END AS meta FROM orders""")
+def parsed_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates of orders in six spellings, one of which is none, and as pages state them."""
+    i, c = F.col("o_orderkey") % 6, F.col("o_orderdate")
+    said = F.when(i == 0, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).when(i == 1, F.date_format(c, "EEE, d MMM yyyy HH:mm:ss")).when(i == 2, F.date_format(c, "yyyy/MM/dd")).when(i == 3, F.date_format(c, "MMMM d, yyyy")).when(i == 4, F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS")).otherwise("soon")
+    page = F.concat(F.lit('<meta property="article:published_time" content="'), F.when(i == 5, "soon").otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")), F.lit('">'))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), scores.parse_date_multi(said).cast("timestamp_ntz").alias("at"), scores.meta_date(page).cast("timestamp_ntz").alias("meta"))
+
+
+@query("SELECT p_partkey AS id, 'a & ' || p_name || ' < b' AS stripped, p_name || ': x' AS reason, 'see ' || p_name || ' at and' AS spoken FROM part")
+def cleaned_texts(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_name")
+    markup = F.concat(F.lit("<p class='x'>a &amp; <b>"), n, F.lit("</b>\n &lt; b</p> "))
+    reason = F.concat(F.lit("Why:  Why： "), n, F.lit(": x"))
+    spoken = F.concat(F.lit("```\ncode\n``` see ["), n, F.lit("](https://x.example/y) at https://z.example <br>and"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.strip_html(markup).alias("stripped"), text.clean_reason(reason, ("Why",)).alias("reason"), text.clean_narration(spoken).alias("spoken"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '(\r?\n){2,}'), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents),
+ b AS (SELECT doc_id, CASE WHEN len(p) = 1 AND length(p[1]) > 1600 THEN list_filter(string_split(regexp_replace(p[1], '([。！？.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') ELSE p END AS b FROM p)
+ SELECT doc_id, unnest(generate_series(1, len(b)))::INT AS place, md5(unnest(b)) AS block FROM b""")
+def text_blocks(spark: SparkSession, d: str) -> DataFrame:
+    blocks = F.posexplode(trim.text_to_blocks(F.col("text"))).alias("at", "block")
+    return table(spark, d, "documents").select("doc_id", blocks).select("doc_id", (F.col("at") + 1).alias("place"), F.md5("block").alias("block"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS id, 'Order ' || o_orderkey || ' & more' AS title FROM orders ORDER BY o_orderdate DESC, o_orderkey::VARCHAR LIMIT 50")
+def atom_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The newest entries, written as a feed and read back."""
+    path, key = _folder(spark), F.col("o_orderkey").cast("string")
+    e = table(spark, d, "orders").select(key.alias("id"), F.concat(F.lit("Order "), key, F.lit(" & more")).alias("title"), F.concat(F.lit("https://x.example/"), key).alias("link"), F.col("o_orderdate").alias("updated"), F.lit("s").alias("summary"))
+    sinks.write_atom_rows(e, path)
+    return spark.read.format("xml").option("rowTag", "entry").schema("id string, title string").load(path)
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, NULL AS name FROM orders UNION ALL SELECT c_custkey, NULL, c_name FROM customer")
+def united_sources(spark: SparkSession, d: str) -> DataFrame:
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    return scans.union_sources(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+
+
+@query("SELECT o_orderkey AS event_id FROM orders WHERE length(repeat('x', o_custkey::INT)) >= 80 AND o_orderkey % 3 <> 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 8")
+def spoken_next(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as events with scripts; every third was spoken already."""
+    o = table(spark, d, "orders")
+    s = o.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("seen"), F.repeat(F.lit("x"), F.col("o_custkey").cast("int")).alias("script"))
+    spoken = s.select("event_id", F.when(F.col("event_id") % 3 == 0, F.sha2("script", 256)).otherwise("old").alias("hash"))
+    return trim.narration_queue(s, spoken).select("event_id")
