@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from eventlake.llm.tokens import encoder, slices, strings
+from eventlake.llm.tokens import run_encoder, slices
 from eventlake.plans.stage import keep
 
 MAGIC = b"WMX2"
@@ -182,7 +182,7 @@ def load(file: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 
 def _writer(path: str, shard_tokens: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, spaced=True, remember=REMEMBER)
+        enc = run_encoder(path, REMEMBER)
         end = np.array([END_ID], enc.dtype).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
@@ -196,7 +196,7 @@ def _writer(path: str, shard_tokens: int):
 
         for batch in batches:
             for rows in slices(batch, 1, SLICE):
-                for doc, r in zip(rows.column(0).to_pylist(), enc.batch(strings(rows.column(1))), strict=True):
+                for doc, r in zip(rows.column(0).to_pylist(), enc.batch(rows.column(1)), strict=True):
                     docs.append(doc)
                     raw.append(r + end)
                     held += len(r) // enc.width + 1
