@@ -149,7 +149,7 @@ def _short(path: str, digest: bool):
     """carried columns, text -> the carried columns and the result; equal texts of a slice are encoded once."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, spaced=False)
+        enc = encoder(path)
         names = tokens_by_id(enc.tok)
         numbers = [str(i) for i in range(len(names))]
         for batch in batches:
@@ -165,7 +165,7 @@ def _short(path: str, digest: bool):
 def _leaves(path: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """key, at, leaf -> key, at, the runs without white space at both ends, and the ids of what lies between."""
-        enc = encoder(path, spaced=False)
+        enc = encoder(path)
         for batch in batches:
             out = []
             for text in batch.column(2).to_pylist():

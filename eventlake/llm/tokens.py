@@ -2,8 +2,8 @@
 
 A byte-pair encoder that first splits text never merges across the boundary between a non-space and a space, so a text's
 ids are those of its space-delimited pieces, one after the other. Each worker keeps the ids of pieces it has seen; new ones
-are encoded together in one call, and told apart by the spaces that their tokens begin with or, for tokenizers that drop
-spaces, by a special token between them that the tokenizer itself cuts at.
+are encoded together in one call, and told apart by what stands between them: a special token that the tokenizer itself
+cuts at or, for tokenizers that keep white space, line breaks and the spaces that their tokens begin with.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Collection, Iterable, Iterator
+from collections.abc import Collection, Iterator
 from functools import cache
 
 import numpy as np
@@ -42,22 +42,16 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class PieceEncoder:
-    """ids of texts as little-endian unsigned 16-bit (or, for large vocabularies, 32-bit) bytes.
+    """ids of texts as little-endian unsigned 16-bit (or, for large vocabularies, 32-bit) bytes, for tokenizers that drop
+    white space, so that every piece stands alone."""
 
-    `spaced`: the tokenizer keeps white space, so pieces carry the space before them, and a piece that is empty or ends
-    in white space must stay with what follows; such texts are encoded in one call. Otherwise white space is dropped and
-    every piece stands alone.
-    """
-
-    def __init__(self, path: str, spaced: bool, remember: int = REMEMBER, cut: str = "<|endoftext|>"):
-        self.tok, self.spaced, self.remember, self.cut = tokenizer(path), spaced, remember, cut
+    def __init__(self, path: str, remember: int = REMEMBER, cut: str = "<|endoftext|>"):
+        self.tok, self.remember, self.cut = tokenizer(path), remember, cut
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.width = np.dtype(self.dtype).itemsize
         self.cut_id = self.tok.token_to_id(cut)
-        #: Whether a token begins with a space, for the alphabet of byte-level tokenizers.
-        self.begins = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
         self.marks = {m: self.ids(m).tobytes() for m in MARKS}
-        self.seen: dict[str, bytes | None] = {}
+        self.seen: dict[str, bytes] = {}
         self.held = 0
 
     def ids(self, text: str) -> np.ndarray:
@@ -80,46 +74,22 @@ class PieceEncoder:
         done = dict(zip(plain, self._cut(ids[:-1], np.flatnonzero(ids[:-1] == self.cut_id), 1), strict=True)) if plain else {}
         return [done[t] if t in done else self.ids(t).tobytes() for t in texts]
 
-    def _encode_spaced(self, pieces: list[str]) -> list[bytes]:
-        """Pieces without spaces that don't end in white space, each with one space before it.
-
-        In the text that they form together, a token begins with a space exactly where a piece begins.
-        """
-        ids = self._ids([" " + " ".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)])
-        at = np.flatnonzero(self.begins[ids])
-        if len(at) != len(pieces) or (pieces and at[0] != 0):
-            return self._encode([" " + p for p in pieces])
-        return self._cut(ids, at[1:], 0) if pieces else []
-
     def learn(self, pieces: list[str]) -> None:
         """A piece that ends in a small letter and a mark is its stem and the mark, so that only stems are encoded."""
         tails = {p for p in pieces if p[-1:] in MARKS and p[-2:-1].islower() and p[-2] <= "\u024f"}
         stems = {p[:-1] for p in tails if p[:-1] not in self.seen}
         stems.update(p for p in pieces if p not in tails)
-        self._learn(list(stems))
+        self.seen.update(zip(stems, self._encode(list(stems)), strict=True))
         self.seen.update((p, self.seen[p[:-1]] + self.marks[p[-1]]) for p in tails)
 
-    def _learn(self, pieces: list[str]) -> None:
-        if not self.spaced:
-            self.seen.update(zip(pieces, self._encode(pieces), strict=True))
-            return
-        good = [p for p in pieces if p and not p[-1].isspace()]
-        self.seen.update(zip(good, self._encode_spaced(good), strict=True))
-        self.seen.update((p, None) for p in pieces if not p or p[-1].isspace())
-
     def learn_all(self, new: set[str]) -> None:
         """Remember these pieces; where they don't fit beside the others, the others are forgotten."""
         missing = [p for p in new if p not in self.seen]
-        if self.held + self._size(missing) > self.remember:
+        if self.held + _size(missing) > self.remember:
             self.seen = {p: self.seen[p] for p in new if p in self.seen}
-            self.held = self._size(self.seen)
+            self.held = _size(self.seen)
         self.learn(missing)
-        self.held += self._size(missing)
-
-    @staticmethod
-    def _size(pieces: Iterable[str]) -> int:
-        """About the bytes that these take with their ids, of which there are as many bytes at most in practice."""
-        return sum(ENTRY + 2 * len(p) for p in pieces)
+        self.held += _size(missing)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. The batch should be small enough that its pieces fit in memory beside the remembered ones.
@@ -127,38 +97,19 @@ class PieceEncoder:
         Pieces are numbered by Arrow, so that Python handles each distinct one once; ids are then gathered by number.
         """
         column = pa.array(texts, pa.large_string())
-        cut = pc.split_pattern(column if self.spaced else pc.replace_substring(column, "\n", " "), " ")
+        cut = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         begins = np.asarray(cut.offsets)[:-1]
         coded = cut.flatten().dictionary_encode()
         at, distinct = coded.indices.to_numpy().astype(np.int64), strings(coded.dictionary)
-        wanted = set(distinct)
-        if self.spaced:  # a text's first piece has no space before it
-            inner = np.bincount(np.delete(at, begins), minlength=len(distinct)) > 0
-            wanted = {p for p, used in zip(distinct, inner.tolist(), strict=True) if used}
-            first, at[begins] = np.unique(at[begins], return_inverse=True)
-            at[begins] += len(distinct)
-            heads = [distinct[k] for k in first.tolist()]
-        self.learn_all(wanted)
-        ids = [self.seen[p] if p in wanted else b"" for p in distinct]
-        whole = np.zeros(len(texts), bool)
-        if self.spaced:
-            # a piece that ends in white space belongs to the next one, so that its text is encoded in one call
-            open_ = np.array([k is None for k in ids] + [p[-1:].isspace() for p in heads])
-            last = np.append(begins[1:], len(at)) - 1
-            inside = open_[at]
-            inside[last[last == begins]] = False
-            whole = np.logical_or.reduceat(inside, begins) if len(begins) else whole
-            ids = [k or b"" for k in ids] + self._encode(heads)
+        self.learn_all(set(distinct))
+        ids = [self.seen[p] for p in distinct]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         flat = np.frombuffer(b"".join(ids), self.dtype)
         n = size[at]
         ends = np.cumsum(n)
         raw = flat[np.repeat(np.cumsum(size)[at] - ends, n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
         to = (ends[np.append(begins[1:], len(at)) - 1] * self.width).tolist() if len(begins) else []
-        out = [raw[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)] if to else []
-        for k in np.flatnonzero(whole).tolist():
-            out[k] = self.ids(texts[k]).tobytes()
-        return out
+        return [raw[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)] if to else []
 
 
 class RunEncoder:
@@ -290,9 +241,9 @@ def strings(column: pa.Array) -> list[str]:
 
 
 @cache
-def encoder(path: str, spaced: bool, remember: int = REMEMBER) -> PieceEncoder:
+def encoder(path: str, remember: int = REMEMBER) -> PieceEncoder:
     """One in each Python worker, whose later tasks find the pieces that earlier ones learnt."""
-    return PieceEncoder(path, spaced, remember)
+    return PieceEncoder(path, remember)
 
 
 def slices(batch: pa.RecordBatch, text: int, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
