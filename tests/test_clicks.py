@@ -1,0 +1,32 @@
+"""Click rows of tables larger than the test ones against their SQL."""
+
+from datetime import datetime, timedelta
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from eventlake import queries as core
+
+
+def same_as_sql(spark, folder, name, **tables):
+    """The rows of a query and of its SQL on tables of the test's own."""
+    db = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{t}.parquet")
+        db.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    df = core.queries()[name](spark, str(folder))
+    cur = db.execute(core.oracle_sql()[name])
+    names = [x[0] for x in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    got, want = ({*map(tuple, df.select(*names).collect())}, {*cur.fetchall()})
+    assert got == want
+    return got
+
+
+@pytest.mark.parametrize("name", ["click_row_errors", "click_quality"])
+def test_many_clicks(spark, tmp_path, name):
+    ids = [0, 1, 2, 999_998, 999_999, 1_000_000, 1_000_001, 1_000_003, 2_000_000, 2_000_001, 5_999_999]
+    kinds = ["view", "click", "purchase", "signup", "error"]
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=i), i % 7, kinds[i % 5], 1.0, "{}") for i in ids]
+    same_as_sql(spark, tmp_path, name, events=spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"))
