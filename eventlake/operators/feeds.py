@@ -155,14 +155,14 @@ def match_reasons(topics: Column, vendors: Column, followed_topics: Column, foll
     return ordered_union(F.array_intersect(topics, followed_topics), F.array_intersect(vendors, followed_vendors), n)
 
 
-def follow_state(topics: Column, vendors: Column, favourites: Column, dismissed: Column, caps: tuple[int, ...] = (50, 50, 200, 500), clip: int = 80) -> Column:
-    """A user's lists, trimmed, clipped, each value once, and no longer than their caps."""
+def follow_state(topics: Column, vendors: Column, favourites: Column, dismissed: Column, caps: tuple[int, ...] = (50, 50, 200, 500), clips: tuple[int, ...] = (80, 80, 80, 80)) -> Column:
+    """A user's lists, trimmed, clipped, each value once, and no longer than their caps. caps and clips: one for each list."""
 
-    def neat(c: Column, n: int) -> Column:
+    def neat(c: Column, n: int, clip: int) -> Column:
         return F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast(NONE)), lambda x: F.left(F.trim(x), F.lit(clip))), lambda x: x != "")), 1, n)
 
-    named = zip((topics, vendors, favourites, dismissed), caps, ("topics", "vendors", "favourites", "dismissed"), strict=True)
-    return F.struct(*(neat(c, n).alias(name) for c, n, name in named))
+    named = zip((topics, vendors, favourites, dismissed), caps, clips, ("topics", "vendors", "favourites", "dismissed"), strict=True)
+    return F.struct(*(neat(c, n, clip).alias(name) for c, n, clip, name in named))
 
 
 def sanitize_behavior(rows: DataFrame, names: list[str], pages: list[str]) -> DataFrame:

@@ -131,7 +131,7 @@ def match_reasons(spark: SparkSession, d: str) -> DataFrame:
 def follow_state(spark: SparkSession, d: str) -> DataFrame:
     none = F.array().cast("array<string>")
     u = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.collect_list(F.concat(F.lit(" "), "o_orderpriority")).alias("t"), F.collect_list(F.col("o_orderkey").cast("string")).alias("f"))
-    s = feeds.follow_state(F.col("t"), none, F.col("f"), none, (50, 50, 2, 500), 3)
+    s = feeds.follow_state(F.col("t"), none, F.col("f"), none, (50, 50, 2, 500), (3, 80, 80, 80))
     return u.select("user_id", F.size(s["topics"]).cast("long").alias("topics"), F.size(s["favourites"]).cast("long").alias("favourites"))
 
 
