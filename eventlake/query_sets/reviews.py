@@ -142,7 +142,7 @@ def star(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH h AS (SELECT CASE WHEN l_partkey % 4 = 0 THEN 'https://news.ycombinator.com/item?id=' || l_orderkey ELSE 'u' || l_suppkey END AS link, l_orderkey * 10 + l_linenumber AS pos, l_orderkey, l_partkey, CAST(l_quantity AS INT) AS points FROM lineitem WHERE l_quantity >= 30) SELECT link, min_by('t' || l_partkey, (pos, CAST(l_orderkey AS VARCHAR), l_partkey)) AS title FROM h GROUP BY link")
 def stories(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
-    hits = table(spark, d, "lineitem").select(((c("l_orderkey") * 10 + c("l_linenumber")) * 1000000 + c("l_partkey")).alias("at"), F.concat(F.lit("t"), c("l_partkey").cast("string")).alias("title"), F.when(c("l_partkey") % 4 != 0, F.concat(F.lit("u"), c("l_suppkey").cast("string"))).alias("url"), c("l_orderkey").cast("string").alias("objectID"), F.lit(0).cast("long").alias("created_at_i"), c("l_quantity").cast("int").alias("points"), F.lit(None).cast("int").alias("num_comments"))
+    hits = table(spark, d, "lineitem").select(F.struct((c("l_orderkey") * 10 + c("l_linenumber")).alias("pos"), c("l_orderkey").cast("string").alias("order"), c("l_partkey").alias("part")).alias("at"), F.concat(F.lit("t"), c("l_partkey").cast("string")).alias("title"), F.when(c("l_partkey") % 4 != 0, F.concat(F.lit("u"), c("l_suppkey").cast("string"))).alias("url"), c("l_orderkey").cast("string").alias("objectID"), F.lit(0).cast("long").alias("created_at_i"), c("l_quantity").cast("int").alias("points"), F.lit(None).cast("int").alias("num_comments"))
     return scans.stories(hits).select("link", "title")
 
 
