@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from eventlake.functions.scores import safe_ratio
 
@@ -123,3 +124,17 @@ def sliding_devices(sketches: DataFrame, days: int = 7) -> DataFrame:
     shifted = sketches.select(F.explode(F.sequence(F.col("day"), F.date_add("day", days - 1))).alias("day"), "sketch")
     merged = shifted.groupBy("day").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("devices"))
     return merged.join(sketches.select("day"), "day", "left_semi")
+
+
+def exact_sliding_devices(events: DataFrame, device: str, ts: str, days: int = 7) -> DataFrame:
+    """day, devices: the number of distinct devices in the `days` up to each day that has events.
+
+    A device counts from a day on which it is active for `days`, or until it is active again: a step up and a step down, so
+    that each day's device costs two steps whatever the window. Their running sum is over one row a day.
+    """
+    active = events.where(F.col(ts).isNotNull()).select(F.to_date(ts).alias("day"), F.col(device).alias("device")).distinct()
+    active = active.withColumn("again", F.lead("day").over(W.partitionBy("device").orderBy("day")))
+    up = F.when(F.col("device").isNotNull(), 1).otherwise(0).cast("long")
+    steps = F.array(F.struct("day", up.alias("step"), F.lit(True).alias("seen")), F.struct(F.least(F.date_add("day", days), "again").alias("day"), (-up).alias("step"), F.lit(False).alias("seen")))
+    daily = active.select(F.inline(steps)).groupBy("day").agg(F.sum("step").alias("step"), F.bool_or("seen").alias("seen"))
+    return daily.withColumn("devices", F.sum("step").over(W.partitionBy(F.lit(0)).orderBy("day"))).where("seen").select("day", "devices")
