@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from eventlake.plans.stage import keep
+
 # The phrases of source sites, matched without regard to case.
 ARTICLE_SIGNAL = r"\b(?:article|post|entry|story)(?:\s+(?:body|content|text))?\b|\b(?:body|content)\s+(?:article|post|story)\b|\b(?:articlebody|rich\s*text|markdown|prose)\b"
 ARTICLE_NOISE = r"\b(?:archive|author|card|carousel|comment|footer|grid|header|hero|index|latest|list|nav|newsletter|popular|promo|recommended|related|share|sidebar|teaser)\b"
@@ -297,6 +299,24 @@ def narration(segments: DataFrame, limit: int = 350, most: int = 8, key: str = "
 
 
 def narration_queue(scripts: DataFrame, manifest: DataFrame, limit: int = 8, least: int = 80) -> DataFrame:
-    """Newest events whose script is long enough and has changed since it was spoken. scripts: event_id, seen, script; manifest: event_id, hash."""
-    s = scripts.where(F.length("script") >= least).withColumn("hash", F.sha2("script", 256))
-    return s.join(manifest.select("event_id", "hash"), ["event_id", "hash"], "left_anti").orderBy(F.desc("seen"), "event_id").limit(limit)
+    """Newest events whose script is long enough and has changed since it was spoken. scripts: event_id, seen, script; manifest: event_id, hash.
+
+    Scripts are read from the newest events on, as only the first ones that are due count: those of the newest few, then of
+    more, and only where these don't hold enough, all.
+    """
+
+    def due(s: DataFrame, spoken: DataFrame) -> DataFrame:
+        told = s.where(F.length("script") >= least).withColumn("hash", F.sha2("script", 256))
+        return told.join(spoken.select("event_id", "hash"), ["event_id", "hash"], "left_anti").orderBy(F.desc("seen"), "event_id").limit(limit)
+
+    for n in (8 * limit, 128 * limit):
+        newest = scripts.select("event_id", "seen").orderBy(F.desc("seen"), "event_id").limit(n).withColumn("seen", F.col("seen").cast("string")).collect()  # keys only
+        if len(newest) < n or newest[-1].seen is None:
+            break
+        ids = sorted({r.event_id for r in newest})
+        last = F.lit(newest[-1].seen).cast(scripts.schema["seen"].dataType)
+        head = scripts.where((F.col("seen") > last) | ((F.col("seen") == last) & (F.col("event_id") <= F.lit(newest[-1].event_id))))
+        found = keep(due(head.where(F.col("event_id").isin(ids)), manifest.where(F.col("event_id").isin(ids))), "narration-due")
+        if found.count() == limit:
+            return found.orderBy(F.desc("seen"), "event_id")
+    return due(scripts, manifest)
