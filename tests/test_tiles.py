@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlake import queries as core
+from eventlake.functions import text
 from eventlake.operators import graph, resolve, tiles
 
 
@@ -111,3 +112,16 @@ def test_pairs_are_neither_joined_nor_shuffled(spark, tmp_path, name):
     plan = core.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     top = plan.split("MapInArrow")[0]
     assert "MapInArrow" in plan and "Aggregate" not in top and ("Join" not in top or name == "similar_title_pairs")
+
+
+def test_bigrams_of_long_lines(spark):
+    """A title is cleaned once, and not for each of its pieces."""
+    lines = ["", "!", "x", "Ab, a\U0001d4b6b", "née  ÉE_9", "\U0001f600a\U0001d4b6\U0001d4b7", "".join(chr(97 + i * i % 26) + chr(97 + i % 25) for i in range(30_000)), None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").select("i", text.title_bigrams(F.col("t")).alias("g"))
+    got = {r.i: r.g for r in df.collect()}
+    for i, t in enumerate(lines):
+        s = "".join(c for c in (t or "").lower() if c.isalnum() or c == "_")
+        want = list(dict.fromkeys(s[k : k + 2] for k in range(max(1, len(s) - 1)))) if s else []
+        assert (got[i] or []) == want, t
+    told = df._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" not in told.split("lambdafunction", 1)[1].split("AS g")[0]
