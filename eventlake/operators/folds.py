@@ -74,8 +74,12 @@ def click_dedup(clicks: DataFrame, gap_ms: int) -> DataFrame:
 
 
 class _Page:
-    """Diverse pages over one ordered list. Rows of one kind (vendor, source, category, quality) can stand for each other,
-    so that a step looks at the first row of each kind that fits, not at all rows."""
+    """Diverse pages over one ordered list. A step takes the first row that fits behind the one before, which is most often
+    among the next few. Else, as rows of one kind (vendor, source, category, quality) can stand for each other, it looks at the
+    first row of each kind that fits, not at all rows."""
+
+    #: Rows that a step looks at one by one.
+    LOOK = 64
 
     def __init__(self, kinds: list[tuple], vendor_cap: int, soft: int, source_caps: dict, adjacent: bool):
         self.kinds, self.vendor_cap, self.soft, self.source_caps, self.adjacent = kinds, vendor_cap, soft, source_caps, adjacent
@@ -90,20 +94,21 @@ class _Page:
         for level in range(3):
             at = -1
             while len(chosen) < size:
-                best, kind = None, None
-                for k, rows in self.left.items():
-                    vendor, source, category, quality = k
-                    if vendor is not None and counts[0].get(vendor, 0) >= self.vendor_cap:
-                        continue
-                    if source in self.source_caps and counts[1].get(source, 0) >= self.source_caps[source]:
-                        continue
-                    if level < 2 and not self.adjacent and chosen and source is not None and self.kinds[chosen[-1]][1] == source:
-                        continue
-                    if level < 2 and counts[2].get(category, 0) >= self.soft and not (level == 1 and quality):
-                        continue
-                    i = bisect_right(rows, at)
-                    if i < len(rows) and (best is None or rows[i] < best):
-                        best, kind = rows[i], k
+                best, kind, ended = None, None, False
+                start = bisect_right(self.rest, at)
+                for i in self.rest[start : start + self.LOOK]:
+                    if self._fits(self.kinds[i], level, counts, chosen):
+                        best, kind = i, self.kinds[i]
+                        break
+                else:
+                    ended = start + self.LOOK >= len(self.rest)
+                if best is None and not ended:
+                    for k, rows in self.left.items():
+                        if not self._fits(k, level, counts, chosen):
+                            continue
+                        i = bisect_right(rows, at)
+                        if i < len(rows) and (best is None or rows[i] < best):
+                            best, kind = rows[i], k
                 if best is None:
                     break
                 at = best
@@ -117,6 +122,16 @@ class _Page:
             chosen.append(best)
         return chosen
 
+    def _fits(self, kind: tuple, level: int, counts: list[dict], chosen: list[int]) -> bool:
+        vendor, source, category, quality = kind
+        if vendor is not None and counts[0].get(vendor, 0) >= self.vendor_cap:
+            return False
+        if source in self.source_caps and counts[1].get(source, 0) >= self.source_caps[source]:
+            return False
+        if level < 2 and not self.adjacent and chosen and source is not None and self.kinds[chosen[-1]][1] == source:
+            return False
+        return level == 2 or counts[2].get(category, 0) < self.soft or (level == 1 and quality)
+
     def _drop(self, i: int, kind: tuple) -> None:
         rows = self.left[kind]
         rows.pop(bisect_right(rows, i) - 1)
