@@ -245,25 +245,28 @@ def renormalize(events: DataFrame, key: str = "event_id", blocks: str = "blocks"
     blocks: array of structs with type, text, links and link_chars (and width, height, alt where known), in order. Only events
     of which a pass took something are looked at again. Events without blocks stay as they are.
     """
-    rows = events.select(key, F.posexplode(blocks).alias("ord", "block")).select(key, "ord", "block", "block.*")
-    open_ = keep(rows, "stored-blocks")
-    stored, done = open_, None
+    # blocks are written once; passes write which of them are left
+    stored = keep(events.select(key, F.posexplode(blocks).alias("ord", "block")), "stored-blocks")
+    open_, done = stored, None
+    before = stored.groupBy(key).agg(F.count("*").alias("n"))
     for _ in range(MOST_PASSES):
-        left = keep(trimmed(open_, key), "renormalized")
-        took = open_.groupBy(key).agg(F.count("*").alias("n")).join(left.groupBy(key).agg(F.count("*").alias("m")), key, "left").where(F.col("n") > F.coalesce("m", F.lit(0))).select(key)
-        took = keep(took, "took")
-        settled = left.join(took, key, "left_anti").select(key, "ord", "block")
+        left = keep(trimmed(open_.select(key, "ord", "block.*"), key).select(key, "ord"), "renormalized")
+        after = left.groupBy(key).agg(F.count("*").alias("m"))
+        took = keep(before.join(after, key, "left").where(F.col("n") > F.coalesce("m", F.lit(0))).select(key), "took")
+        settled = left.join(took, key, "left_anti")
         done = settled if done is None else done.unionByName(settled)
-        open_ = left.join(took, key, "left_semi")
         if took.isEmpty():
             break
+        again = left.join(took, key, "left_semi")
+        before = again.groupBy(key).agg(F.count("*").alias("n"))
+        open_ = stored.join(took, key, "left_semi").join(again, [key, "ord"], "left_semi")
     else:
         raise RuntimeError(f"blocks still go after {MOST_PASSES} passes")
-    built = done.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "block"))), lambda x: x["block"]).alias("_blocks"))
+    built = done.groupBy(key).agg(F.sort_array(F.collect_list("ord")).alias("_left"))
     had = stored.groupBy(key).agg(F.count("*").alias("_had"))
     j = events.join(had, key, "left").join(built, key, "left")
-    new = F.when(F.col("_had").isNull(), F.col(blocks)).otherwise(F.coalesce("_blocks", F.slice(F.col(blocks), 1, 0)))
-    return j.withColumn(blocks, new).withColumn("removed", F.coalesce(F.col("_had") - F.size(blocks), F.lit(0)).cast("long")).drop("_had", "_blocks")
+    new = F.when(F.col("_had").isNull(), F.col(blocks)).otherwise(F.transform(F.coalesce("_left", F.array().cast("array<int>")), lambda i: F.get(F.col(blocks), i)))
+    return j.withColumn(blocks, new).withColumn("removed", F.coalesce(F.col("_had") - F.size(blocks), F.lit(0)).cast("long")).drop("_had", "_left")
 
 
 @F.udtf(returnType="ord int, type string, level int, text string, link_chars int, links array<string>, src string, alt string, width int, height int")

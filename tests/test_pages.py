@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from eventlake.operators import folds
+from eventlake.operators import bodies, folds
 
 
 def pages(rows, adjacent, size=20):
@@ -40,3 +40,14 @@ def test_a_step_looks_at_few_rows():
     while p.rest:
         p.take(min(20, len(p.rest)), fill=True)
     assert looked[0] <= 5_000
+
+
+def test_stored_blocks_are_written_once(spark, monkeypatch):
+    written = []
+    real = type(spark.range(0).write).parquet
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", lambda self, path, *a, **k: (written.append(path), real(self, path, *a, **k))[1])
+    rows = [("e", [("paragraph", f"a paragraph of some length, number {i}", [], 0) for i in range(3)])]
+    df = spark.createDataFrame(rows, "event_id string, blocks array<struct<type:string,text:string,links:array<string>,link_chars:int>>")
+    out = bodies.renormalize(df)
+    held = [c for p in written if ("stored-blocks" in p or "renormalized" in p) for c in spark.read.parquet(p).columns]
+    assert held.count("block") == 1 and "text" not in held and out.first().removed + len(out.first().blocks) == 3
